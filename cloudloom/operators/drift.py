@@ -1,0 +1,348 @@
+"""Schemas that drift between records: versions, migrations to one table, and a report of every change.
+
+Each readable dump (a JSON object) has a shape: its leaves as (field, path, JSON type). The field of a
+path is the header column it stands for, else the path itself. Which column a foreign name stands for
+is learned from all dumps: its values must agree with that column of the file's header in at least
+``MATCH`` of the cases, and it must never stand beside the column in one dump. The shape's fingerprint is
+the schema version; a dump whose fingerprint equals the one before needs no migration, otherwise the
+steps between the two versions (rename, add, remove, cast) are worked out and recorded.
+
+How it scales: one shuffle by (feed, block of sequence numbers), then a fold over the stream. A feed longer
+than ``BLOCK`` dumps is folded in blocks; the states at their ends, one small row a block, are chained so
+that every block starts from the state before it. Names are learned from counts per path, combined on the map side.
+
+Defined cases: null, blank, cut and non-object payloads are unreadable and skipped; a dump sent again counts once per
+dump_id; null feed, sequence number or dump_id leaves a dump out; a null value holds the field and keeps its
+type; an empty object has no leaf; of two names for one field in a dump the column's own, else the first by name, is taken;
+an empty table gives empty results; other columns are ignored.
+"""
+
+from __future__ import annotations
+
+import json
+from collections import defaultdict
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from cloudloom.runtime import is_small, materialize
+
+#: Share of comparable values that must agree for a name to stand for a column.
+MATCH = 0.9
+#: Sequence numbers of a feed that one task folds.
+BLOCK = 4096
+#: Names the learned map may hold; they are sent to every task.
+NAMES = 100_000
+#: Columns of a header table that are not header fields.
+NOT_FIELDS = ("file_id", "file_name", "received_at")
+#: The compressed flag in a format id.
+FORMAT_FIELD, COMPRESSED_BIT = "point_data_format_id", 128
+
+
+def _refuse(token: str):
+    raise ValueError(token)
+
+
+def parse(payload: str | None) -> dict | None:
+    """The JSON object in ``payload``, or None if there is none."""
+    if not payload:
+        return None
+    try:
+        got = json.loads(payload, parse_constant=_refuse)
+    except (ValueError, RecursionError):
+        return None
+    return got if isinstance(got, dict) else None
+
+
+def leaves(node: dict, at: str = "") -> Iterator[tuple[str, object]]:
+    stack = [(at, node)]
+    while stack:
+        path, value = stack.pop()
+        if isinstance(value, dict):
+            stack.extend((f"{path}.{k}" if path else k, v) for k, v in value.items())
+        else:
+            yield path.encode("utf-8", "replace").decode(), value
+
+
+def json_type(value: object) -> str | None:
+    if value is None:
+        return None
+    for kind, name in ((bool, "boolean"), (int, "integer"), (float, "number"), (str, "string"), (list, "array")):
+        if isinstance(value, kind):
+            return name
+    return "object"
+
+
+def plain(value: object) -> object:
+    """The value behind its spelling: 4.0, "0004", "0x04" and [4] are 4."""
+    if isinstance(value, list):
+        return plain(value[0]) if len(value) == 1 else tuple(map(str, value))
+    if isinstance(value, bool):
+        return None
+    if isinstance(value, float) and value.is_integer():
+        return int(value)
+    if isinstance(value, str):
+        text = value.strip()
+        try:
+            return int(text, 16) if text[:2].lower() == "0x" else int(text)
+        except ValueError:
+            try:
+                return plain(float(text)) if text[:1].isdigit() or text[:1] in "+-." else text
+            except (ValueError, OverflowError):
+                return text
+    return value
+
+
+def _agrees(field: str, value: object, header: object) -> bool:
+    if field == FORMAT_FIELD and isinstance(value, int):
+        return value & ~COMPRESSED_BIT == header
+    return value == header
+
+
+def _once(dumps: DataFrame) -> DataFrame:
+    return dumps.select("dump_id", "feed_id", "seq_no", "file_id", "payload").where(
+        "dump_id is not null and feed_id is not null and seq_no is not null and payload is not null"
+    ).dropDuplicates(["dump_id"])
+
+
+def header_fields(headers: DataFrame) -> list[str]:
+    return [c for c in headers.columns if c not in NOT_FIELDS]
+
+
+def learn_names(dumps: DataFrame, headers: DataFrame) -> dict[str, str]:
+    """Foreign path -> header column, from all dumps against the headers of their files."""
+    simple = [f.name for f in headers.schema if f.name not in NOT_FIELDS and not isinstance(f.dataType, T.ArrayType)]
+    known = headers.where("file_id is not null").dropDuplicates(["file_id"]).select("file_id", *simple)
+    fields = header_fields(headers)
+
+    def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[tuple[str, str], list[int]] = defaultdict(lambda: [0, 0, 0])
+
+        def flush() -> pa.RecordBatch:
+            rows = [(p, f, *c) for (p, f), c in counts.items()]
+            counts.clear()
+            return pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in rows], schema)
+
+        for b in batches:
+            cols = {f: b[f].to_pylist() for f in simple}
+            for k, text in enumerate(b["payload"].to_pylist()):
+                if (got := parse(text)) is None:
+                    continue
+                held = dict(leaves(got))
+                for path, value in held.items():
+                    if path in fields:
+                        continue
+                    v = plain(value)
+                    for f in simple:
+                        c = counts[path, f]
+                        c[2] += f in held
+                        if v is not None and cols[f][k] is not None:
+                            c[0] += 1
+                            c[1] += _agrees(f, v, cols[f][k])
+            if len(counts) > 100_000:
+                yield flush()
+        if counts:
+            yield flush()
+
+    kind = "path string, field string, seen long, hits long, beside long"
+    schema = pa.schema([("path", pa.string()), ("field", pa.string()), ("seen", pa.int64()), ("hits", pa.int64()), ("beside", pa.int64())])
+    found = dumps.join(known, "file_id").select("payload", *simple).mapInArrow(evidence, kind)
+    found = found.groupBy("path", "field").agg(*[F.sum(c).alias(c) for c in ("seen", "hits", "beside")])
+    # of several columns that fit, the one with most hits, then the one most like the name
+    best = found.where((F.col("beside") == 0) & (F.col("hits") >= MATCH * F.col("seen")) & (F.col("hits") > 0)).groupBy("path").agg(
+        F.max_by("field", F.struct(F.col("hits") / F.col("seen"), "hits", -F.levenshtein("path", "field"), "field")).alias("field")
+    )
+    best = materialize(best)
+    if not is_small(best, NAMES):
+        raise ValueError(f"more than {NAMES} names stand for header fields")
+    return {r.path: r.field for r in best.collect()}
+
+
+def _fields_of(got: dict, fields: frozenset[str], names: dict[str, str]) -> dict[str, tuple[str, object]]:
+    held: dict[str, tuple[str, object]] = {}
+    for path, value in sorted(leaves(got)):
+        f = path if path in fields else names.get(path, path)
+        if f not in held or path == f:
+            held[f] = (path, value)
+    return held
+
+
+def shapes(dumps: DataFrame, headers: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Per readable dump: its shape as JSON, sorted by field, and the fingerprint of that shape."""
+    fields = frozenset(header_fields(headers))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for text in b["payload"].to_pylist():
+                got = parse(text)
+                out.append(None if got is None else json.dumps(sorted([f, p, json_type(v)] for f, (p, v) in _fields_of(got, fields, names).items())))
+            yield pa.RecordBatch.from_arrays([b["feed_id"], b["seq_no"], b["dump_id"], pa.array(out, pa.string())], names=["feed_id", "seq_no", "dump_id", "shape"])
+
+    got = dumps.select(F.col("feed_id").cast("long"), F.col("seq_no").cast("long"), F.col("dump_id").cast("long"), "payload")
+    got = got.mapInArrow(run, "feed_id long, seq_no long, dump_id long, shape string").where("shape is not null")
+    return got.withColumn("fingerprint", F.xxhash64("shape"))
+
+
+_CHANGES = "feed_id long, dump_id long, field_name string, change string"
+
+
+def migration(state: dict[str, list], shape: dict[str, list]) -> list[tuple[str, str]]:
+    """Steps from ``state`` to ``shape`` (field -> [path, type]); ``state`` becomes the new one, with types kept under nulls."""
+    steps = [(f, "removed") for f in state if f not in shape]
+    for f, (path, kind) in shape.items():
+        if f not in state:
+            steps.append((f, "added"))
+            continue
+        was_path, was_kind = state[f]
+        if path != was_path:
+            steps.append((f, "renamed"))
+        if kind is None:
+            shape[f] = [path, was_kind]
+        elif was_kind is not None and kind != was_kind:
+            steps.append((f, "retyped"))
+    state.clear()
+    state.update(shape)
+    return steps
+
+
+def _load(shape: str) -> dict[str, list]:
+    return {f: [p, t] for f, p, t in json.loads(shape)}
+
+
+def _fold(emit_states: bool):
+    """Folds dumps sorted by (feed, block, seq). A row without dump_id brings the state before its block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, state, last, since = None, None, None, None
+        for b in batches:
+            out = []
+            for feed, block, dump, shape in zip(*[b[c].to_pylist() for c in ("feed_id", "block", "dump_id", "shape")]):
+                if (feed, block) != at:
+                    if emit_states and state is not None:
+                        out.append((*at, json.dumps([state, sorted(since)])))
+                    at, state, last, since = (feed, block), None, None, None
+                if shape == last:
+                    continue
+                new = _load(shape)
+                if state is None:
+                    state, since = new, set(new)
+                else:
+                    steps = migration(state, new)
+                    since &= state.keys()
+                    if not emit_states:
+                        out += [(feed, dump, f, c) for f, c in steps]
+                # a shape with nulls means the state, not the shape alone, so only whole shapes are told apart by text
+                last = shape
+            if out:
+                yield _changes_batch(out) if not emit_states else _states_batch(out)
+        if emit_states and state is not None:
+            yield _states_batch([(*at, json.dumps([state, sorted(since)]))])
+
+    return run
+
+
+def _changes_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["feed_id", "dump_id", "field_name", "change"])
+
+
+def _states_batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string()))], names=["feed_id", "block", "state"])
+
+
+def _chain(rows: pd.DataFrame) -> pd.DataFrame:
+    """From each block's own end state to the state before every later block of the feed."""
+    rows = rows.sort_values("block")
+    out, before = [], None
+    for feed, block, text in rows[["feed_id", "block", "state"]].itertuples(index=False):
+        state, since = json.loads(text)
+        if before is not None:
+            out.append((feed, block, json.dumps([[f, p, t] for f, (p, t) in before.items()])))
+            for f in since:
+                if state[f][1] is None and f in before:
+                    state[f][1] = before[f][1]
+        before = state
+    return pd.DataFrame(out, columns=["feed_id", "block", "shape"])
+
+
+def diff(shaped: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Changes between each readable dump and the one before it in its feed."""
+    cut = shaped.withColumn("block", F.floor(F.col("seq_no") / block)).select("feed_id", "block", "seq_no", "dump_id", "shape")
+    if shaped.where((F.col("seq_no") >= block) | (F.col("seq_no") < 0)).isEmpty():
+        whole = cut
+    else:
+        ends = cut.repartition("feed_id", "block").sortWithinPartitions("feed_id", "block", "seq_no").mapInArrow(_fold(True), "feed_id long, block long, state string")
+        before = ends.groupBy("feed_id").applyInPandas(_chain, "feed_id long, block long, shape string")
+        whole = cut.unionByName(before.withColumns({"seq_no": F.lit(None).cast("long"), "dump_id": F.lit(None).cast("long")}))
+    ordered = whole.repartition("feed_id", "block").sortWithinPartitions("feed_id", "block", F.col("seq_no").asc_nulls_first())
+    return ordered.mapInArrow(_fold(False), _CHANGES)
+
+
+def changes(dumps: DataFrame, headers: DataFrame, block: int = BLOCK) -> DataFrame:
+    """One row per change: feed_id, dump_id, field_name, change (added, removed, renamed, retyped)."""
+    once = materialize(_once(dumps))
+    return diff(materialize(shapes(once, headers, learn_names(once, headers))), block)
+
+
+def versions(dumps: DataFrame, headers: DataFrame) -> DataFrame:
+    """Schema registry: per feed and fingerprint, its first sequence number and dump, number of dumps, and the shape."""
+    once = materialize(_once(dumps))
+    shaped = shapes(once, headers, learn_names(once, headers))
+    return shaped.groupBy("feed_id", "fingerprint").agg(
+        F.min("seq_no").alias("first_seq_no"), F.min_by("dump_id", "seq_no").alias("first_dump_id"), F.count(F.lit(1)).alias("dumps"), F.min("shape").alias("shape")
+    )
+
+
+def _cast(value: object, kind: T.DataType, field: str) -> object:
+    """Cast rule of a column; what can't be cast is null."""
+    try:
+        if value is None:
+            return None
+        if isinstance(kind, T.ArrayType):
+            return [int(plain(v)) for v in value] if isinstance(value, list) else None
+        if isinstance(kind, T.StringType):
+            return value if isinstance(value, str) else json.dumps(value)
+        v = plain(value)
+        if isinstance(kind, (T.DoubleType, T.FloatType)):
+            return float(v)
+        if not isinstance(v, int):
+            return None
+        v = v & ~COMPRESSED_BIT if field == FORMAT_FIELD else v
+        bits = {"smallint": 15, "int": 31, "bigint": 63, "tinyint": 7}[kind.simpleString()]
+        return v if -(1 << bits) <= v < 1 << bits else None
+    except (TypeError, ValueError, KeyError):
+        return None
+
+
+def conform(dumps: DataFrame, headers: DataFrame) -> DataFrame:
+    """All readable dumps in the columns of the header table, after rename, default (null) and cast rules.
+
+    Columns: feed_id, seq_no, dump_id, file_id, then the header fields, and received_at of the first arrival.
+    """
+    arrival = dumps.where("dump_id is not null").groupBy("dump_id").agg(F.min("received_at").alias("received_at"))
+    once = materialize(_once(dumps))
+    names, wanted = learn_names(once, headers), [f for f in headers.schema if f.name not in NOT_FIELDS]
+    fields = frozenset(f.name for f in wanted)
+    lead = T.StructType([T.StructField(c, T.LongType()) for c in ("feed_id", "seq_no", "dump_id", "file_id")])
+    out_type = T.StructType([*lead, *[T.StructField(f.name, f.dataType) for f in wanted]])
+    arrow = to_arrow_schema(out_type)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for *ids, text in zip(*[b[c].to_pylist() for c in ("feed_id", "seq_no", "dump_id", "file_id", "payload")]):
+                if (got := parse(text)) is None:
+                    continue
+                held = _fields_of(got, fields, names)
+                rows.append([*ids, *[_cast(held[f.name][1], f.dataType, f.name) if f.name in held else None for f in wanted]])
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), arrow.types)], schema=arrow)
+
+    flat = once.select(*[F.col(c).cast("long") for c in lead.names], "payload").mapInArrow(run, out_type)
+    return flat.join(arrival, "dump_id")
