@@ -1,3 +1,482 @@
-"""x"""
-QUERIES={}
-SQL={}
+"""Queries of the point-cloud operators, over a cloud derived from the events table and over las_points, with their SQL.
+
+``events`` is read as a cloud of one file: its dense ids are the ordinals, coordinates are derived by integer arithmetic that
+any engine repeats exactly. Scale and offset of that cloud are 0.01 and 0.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from cloudloom.functions import bits, coords
+from cloudloom.operators import folds, regions, runindex
+from cloudloom.runtime import is_small, table
+
+SCALE, OFFSET = 0.01, 0.0
+RECT = (20.0, 30.0, 80.0, 120.0)
+SMALL_RECT = (50.0, 50.0, 60.0, 60.0)
+CIRCLE = (100.0, 100.0, 40.0)
+CHUNK = 500
+#: Cell size and thresholds of the index queries, small enough for the index to have work on small tables.
+INDEX = {"cell_size": 4.0, "minimum_points": 50, "maximum_intervals": -20}
+RUN_GAP = 1000
+
+
+def cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i, u = F.col("event_id"), F.col("user_id")
+    turn = i % 7 + 1
+    raw = table(spark, sf_dir, "events").select(
+        i.alias("point_index"),
+        ((i * 37 + u * 7919) % 20011).cast("int").alias("X"),
+        ((i * 91 + u * 104729) % 20011).cast("int").alias("Y"),
+        ((i * 31 + u * 17) % 1009).cast("int").alias("Z"),
+        ((i * 13) % 65536).cast("int").alias("intensity"),
+        (turn + turn * 8 + (i % 2) * 64 + (F.floor(i / 2) % 2) * 128).cast("int").alias("returns_and_flags"),
+        (u % 256).cast("int").alias("classification_byte"),
+        F.col("value").alias("gps_time"),
+    )
+    return raw
+
+
+def scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pc = cloud(spark, sf_dir)
+    return pc.select(
+        "*", *[coords.scale(F.col(a), SCALE, OFFSET).alias(f"s{a.lower()}") for a in ("X", "Y", "Z")]
+    )
+
+
+def _xy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cloud(spark, sf_dir).select("point_index", coords.scale(F.col("X"), SCALE, OFFSET).alias("x"), coords.scale(F.col("Y"), SCALE, OFFSET).alias("y"))
+
+
+# scans, projections, scalar functions
+
+
+def project_columns(spark, sf_dir):
+    return cloud(spark, sf_dir).select("point_index", "X", "intensity", "gps_time")
+
+
+def scaled_xyz(spark, sf_dir):
+    return scaled(spark, sf_dir).select("point_index", "sx", "sy", "sz")
+
+
+def unscale_roundtrip(spark, sf_dir):
+    q = coords.quantize(F.col("gps_time"), 0.5, 100.0)
+    return cloud(spark, sf_dir).select("point_index", q.alias("q"), coords.scale(q, 0.5, 100.0).alias("back"))
+
+
+def unpack_fields(spark, sf_dir):
+    names = [f for f, (b, _, _) in bits.PACKED.items() if b in ("returns_and_flags", "classification_byte")]
+    return cloud(spark, sf_dir).select("point_index", *[bits.unpack(F.col(bits.PACKED[f][0]), f).alias(f) for f in names])
+
+
+def pack_flags(spark, sf_dir):
+    up = unpack_fields(spark, sf_dir)
+    by = {b: {f: F.col(f) for f, (o, _, _) in bits.PACKED.items() if o == b} for b in ("returns_and_flags", "classification_byte")}
+    return up.select("point_index", *[bits.pack(fields).alias(b) for b, fields in by.items()])
+
+
+def legacy_returns(spark, sf_dir):
+    n, r = (F.col("point_index") % 15 + 1).cast("int"), (F.col("point_index") % 11 + 1).cast("int")
+    number, count = bits.legacy_returns(r, n)
+    return cloud(spark, sf_dir).select("point_index", number.alias("return_number"), count.alias("number_of_returns"))
+
+
+def scan_rank(spark, sf_dir):
+    angle = (F.col("point_index") % 60001 - 30000).cast("int")
+    return cloud(spark, sf_dir).select("point_index", bits.scan_rank(angle).alias("rank"), bits.scan_angle((F.col("point_index") % 256 - 128).cast("int")).alias("angle"))
+
+
+def class_bytes(spark, sf_dir):
+    cls, flags = (F.col("point_index") % 256).cast("int"), (F.col("point_index") % 16).cast("int")
+    return cloud(spark, sf_dir).select(
+        "point_index", bits.legacy_class_byte(flags, cls).alias("legacy_byte"), bits.wide_class(cls % 32, cls).alias("wide"), bits.fold_u8(F.col("X") - 5000).cast("int").alias("folded")
+    )
+
+
+def colour_struct(spark, sf_dir):
+    """Four colour channels of las_points as one value; a missing one counts as 0."""
+    pts = table(spark, sf_dir, "las_points").where("red is not null")
+    packed = F.struct("red", "green", "blue", F.lit(0).alias("nir"))
+    return pts.select("file_id", "point_index", packed.alias("rgb")).select("file_id", "point_index", "rgb.red", "rgb.green", "rgb.blue", "rgb.nir").distinct()
+
+
+# predicates
+
+
+def within_rect(spark, sf_dir):
+    return regions.within(_xy(spark, sf_dir), rect=RECT)
+
+
+def within_circle(spark, sf_dir):
+    return regions.within(_xy(spark, sf_dir), circle=CIRCLE)
+
+
+def adjoining_rects(spark, sf_dir):
+    """Half-open rectangles split the points: counts of four that tile a square."""
+    xy = _xy(spark, sf_dir)
+    tiles = [(a, b, a + 50.0, b + 50.0) for a in (0.0, 50.0) for b in (0.0, 50.0)]
+    which = F.coalesce(*[F.when(regions.in_rect(F.col("x"), F.col("y"), *t), F.lit(k)) for k, t in enumerate(tiles)])
+    return xy.withColumn("tile", which).where("tile is not null").groupBy("tile").agg(F.count(F.lit(1)).alias("n"))
+
+
+def classification_thin(spark, sf_dir):
+    pts = table(spark, sf_dir, "las_points").where(F.col("classification") == 2)
+    return pts.select("file_id", "point_index", "X", "Y", "Z").distinct()
+
+
+def field_ranges(spark, sf_dir):
+    """Points of las_points whose fields are out of the ranges a record can hold."""
+    bad = F.coalesce(~F.col("intensity").between(0, 65535), F.lit(False)) | F.coalesce(~F.col("classification").between(0, 31), F.lit(False))
+    return table(spark, sf_dir, "las_points").where(bad).select("point_id", "intensity", "classification").distinct()
+
+
+def scaled_rect(spark, sf_dir):
+    """A rectangle over las_points: raw bounds reach the scan, the exact scaled test follows."""
+    r = (-20000.0, -10000.0, 60000.0, 10000.0)
+    lo_x, hi_x = coords.raw_bounds(r[0], r[2], SCALE, OFFSET)
+    lo_y, hi_y = coords.raw_bounds(r[1], r[3], SCALE, OFFSET)
+    pts = table(spark, sf_dir, "las_points").where(F.col("X").between(lo_x, hi_x) & F.col("Y").between(lo_y, hi_y))
+    xy = pts.select("point_id", coords.scale(F.col("X"), SCALE, OFFSET).alias("x"), coords.scale(F.col("Y"), SCALE, OFFSET).alias("y"))
+    return regions.within(xy, rect=r).distinct()
+
+
+# slices
+
+
+def points_slice(spark, sf_dir):
+    return regions.points_slice(cloud(spark, sf_dir), 100, 250).select("point_index", "X", "Y", "Z")
+
+
+def seek_point(spark, sf_dir):
+    return regions.seek(cloud(spark, sf_dir), 777).select("point_index", "X", "Y", "Z")
+
+
+def preview(spark, sf_dir):
+    return regions.preview(cloud(spark, sf_dir), 10).select("point_index", "X", "Y", "Z", "intensity")
+
+
+def chunk_of_point(spark, sf_dir):
+    return cloud(spark, sf_dir).select("point_index", regions.chunk_of(F.col("point_index"), CHUNK).alias("chunk_index"))
+
+
+def adaptive_chunks(spark, sf_dir):
+    """The chunk of every point of compressed files, from the chunk table."""
+    pts = table(spark, sf_dir, "las_points").select("file_id", "point_index").distinct()
+    return regions.with_chunk(pts, table(spark, sf_dir, "las_chunks").distinct(), ["file_id"]).select("file_id", "point_index", "chunk_index")
+
+
+def chunk_starts(spark, sf_dir):
+    """Ordinal at which each chunk starts, from the counts before it."""
+    w = Window.partitionBy("file_id").orderBy("chunk_index").rowsBetween(Window.unboundedPreceding, -1)
+    ch = table(spark, sf_dir, "las_chunks").select("file_id", "chunk_index", "point_count", "byte_offset").distinct()
+    return ch.select("file_id", "chunk_index", F.coalesce(F.sum("point_count").over(w), F.lit(0)).alias("first_index"), "byte_offset")
+
+
+# folds
+
+
+def count_points(spark, sf_dir):
+    return cloud(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"))
+
+
+def bounds(spark, sf_dir):
+    return folds.bounds(cloud(spark, sf_dir))
+
+
+def bounds_scaled(spark, sf_dir):
+    b = folds.bounds(cloud(spark, sf_dir), ("X", "Y", "Z"))
+    return b.select(*[coords.scale(F.col(c), SCALE, OFFSET).alias(c.lower()) for c in b.columns])
+
+
+def header_stats(spark, sf_dir):
+    s = scaled(spark, sf_dir).select(bits.unpack(F.col("returns_and_flags"), "return_number").alias("return_number"), F.col("sx").alias("x"), F.col("sy").alias("y"), F.col("sz").alias("z"))
+    return folds.header_stats(s)
+
+
+def by_return(spark, sf_dir):
+    return folds.by_return(cloud(spark, sf_dir).withColumn("rn", bits.unpack(F.col("returns_and_flags"), "return_number")), "rn")
+
+
+def dsm_max(spark, sf_dir):
+    return folds.raster(cloud(spark, sf_dir), F.col("X"), F.col("Y"), F.col("Z"), 0.0, 20010.0, 500.0)
+
+
+def dsm_dense(spark, sf_dir):
+    sparse = folds.raster(cloud(spark, sf_dir), F.col("X"), F.col("Y"), F.col("Z"), 0.0, 20010.0, 100.0)
+    return folds.dense_raster(sparse, 201, 201).where("not isnan(value)")
+
+
+def checksum(spark, sf_dir):
+    up = unpack_fields(spark, sf_dir).join(cloud(spark, sf_dir).drop("returns_and_flags", "classification_byte"), "point_index")
+    return folds.checksum(up.withColumn("file", F.lit("events")))
+
+
+def selection_checksum(spark, sf_dir):
+    """Ordered checksum of the ordinals a rectangle selects."""
+    return folds.index_checksum(within_rect(spark, sf_dir).withColumn("file", F.lit("events")))
+
+
+def file_summary(spark, sf_dir):
+    """Header facts beside what the points say, per file."""
+    h = table(spark, sf_dir, "las_headers").drop("received_at").distinct().select(
+        "file_id", "version_minor", "point_data_format_id", "point_data_record_length", "number_of_point_records", "x_scale_factor"
+    )
+    p = table(spark, sf_dir, "las_points").groupBy("point_id", "file_id").agg(F.min("X").alias("X"), F.min("Y").alias("Y"))
+    p = p.groupBy("file_id").agg(F.count(F.lit(1)).alias("points"), *[f(a).alias(f"{n}_{a}") for a in ("X", "Y") for n, f in (("min", F.min), ("max", F.max))])
+    return h.join(p, "file_id", "left").select(
+        "file_id", "version_minor", "point_data_format_id", "point_data_record_length", "number_of_point_records", "points",
+        *[(F.col(c) * F.col("x_scale_factor")).alias(f"points_{c.lower()}") for c in ("min_X", "max_X", "min_Y", "max_Y")],
+    )
+
+
+def item_users(spark, sf_dir):
+    """Sorted set of the writers of metadata records per file."""
+    return table(spark, sf_dir, "las_vlrs").groupBy("file_id").agg(F.array_join(F.sort_array(F.collect_set("user_id")), ",").alias("users"), F.count_distinct("vlr_index").alias("records"))
+
+
+# index
+
+
+def _leafed(spark, sf_dir) -> DataFrame:
+    """Cells of 512 raw units, numbered row by row: simple cells that SQL can repeat."""
+    return cloud(spark, sf_dir).withColumn("cell", (F.shiftright("Y", 9) * 64 + F.shiftright("X", 9)).cast("long"))
+
+
+def cell_counts(spark, sf_dir):
+    return runindex.cell_counts(_leafed(spark, sf_dir))
+
+
+def cell_runs(spark, sf_dir):
+    r = runindex.cell_runs(_leafed(spark, sf_dir), gap=RUN_GAP)
+    return r.select("cell", "run_start", "run_end", F.col("n").alias("points"))
+
+
+def coalesced_runs(spark, sf_dir):
+    r = runindex.cell_runs(_leafed(spark, sf_dir).where("cell % 5 = 0"), gap=20)
+    return runindex.merge_runs(r, [], 20).select("run_start", "run_end")
+
+
+def coarsen_one_level(spark, sf_dir):
+    """Joins four present siblings of the deepest level that hold fewer than 600 points together, once."""
+    level = 4
+    leaf = F.lit(runindex.level_offset(level)) + sum(
+        F.shiftleft(F.shiftright(c, 11 + k).bitwiseAND(F.lit(1)), 2 * k + s) for k in range(level) for c, s in (("X", 0), ("Y", 1))
+    )
+    counts = runindex.cell_counts(cloud(spark, sf_dir).select(leaf.cast("long").alias("cell")))
+    return _one_level(counts, level, 600)
+
+
+def _one_level(counts: DataFrame, level: int, minimum: int) -> DataFrame:
+    low, up = runindex.level_offset(level), runindex.level_offset(level - 1)
+    parent = F.lit(up) + F.shiftright(F.col("cell") - F.lit(low), 2)
+    w = Window.partitionBy(parent)
+    fits = (F.count(F.lit(1)).over(w) == 4) & (F.sum("full").over(w) < minimum)
+    return counts.withColumn("final", F.when(fits, parent).otherwise(F.col("cell"))).groupBy(F.col("final").alias("cell")).agg(F.sum("full").alias("full"))
+
+
+def limit_runs(spark, sf_dir):
+    """At most two runs a cell on average: the smallest gaps are closed first."""
+    r = runindex.cell_runs(_leafed(spark, sf_dir), gap=RUN_GAP)
+    return runindex.limit_runs(r, -2).select("cell", "run_start", "run_end")
+
+
+def covered_points(spark, sf_dir):
+    r = runindex.cell_runs(_leafed(spark, sf_dir), gap=RUN_GAP)
+    return r.groupBy("cell").agg(F.sum(F.col("run_end") - F.col("run_start") + 1).alias("covered"), F.sum("n").alias("points"))
+
+
+def indexed_rect(spark, sf_dir):
+    xy = _xy(spark, sf_dir)
+    return runindex.build(xy, **INDEX).within(xy, rect=RECT)
+
+
+def indexed_circle(spark, sf_dir):
+    xy = _xy(spark, sf_dir)
+    return runindex.build(xy, **INDEX).within(xy, circle=CIRCLE)
+
+
+def index_candidates(spark, sf_dir):
+    """Candidate runs of a small rectangle."""
+    return runindex.build(_xy(spark, sf_dir), **INDEX).candidates(rect=SMALL_RECT)
+
+
+def index_cells(spark, sf_dir):
+    """The index itself: cells, their points and runs."""
+    return runindex.build(_xy(spark, sf_dir), **INDEX).runs
+
+
+# extensions: what the plain engine leaves to its callers
+
+
+def zone_counts(spark, sf_dir):
+    """Points of las_points per zone: a spatial join with half-open rectangles and open circles."""
+    zones = table(spark, sf_dir, "zones")
+    pts = table(spark, sf_dir, "las_points").where("X is not null").groupBy("point_id").agg(F.min("X").cast("long").alias("X"), F.min("Y").cast("long").alias("Y"))
+    dx, dy = F.col("X") - F.col("centre_x"), F.col("Y") - F.col("centre_y")
+    rect = (F.col("shape") == "rect") & (F.col("X") >= F.col("min_x")) & (F.col("X") < F.col("max_x")) & (F.col("Y") >= F.col("min_y")) & (F.col("Y") < F.col("max_y"))
+    circle = (F.col("shape") == "circle") & (dx * dx + dy * dy < F.col("radius").cast("long") * F.col("radius"))
+    side = F.broadcast(zones) if is_small(zones, 10_000) else zones
+    return pts.join(side, rect | circle).groupBy("zone_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def top_sources(spark, sf_dir):
+    """The ten sources with most points."""
+    n = table(spark, sf_dir, "las_points").where("point_source_ID is not null").groupBy("point_source_ID").agg(F.count_distinct("point_id").alias("n"))
+    return n.orderBy(F.desc("n"), "point_source_ID").limit(10)
+
+
+def return_cube(spark, sf_dir):
+    pts = table(spark, sf_dir, "las_points").select("point_id", "classification", "return_number").distinct()
+    c = pts.cube("classification", "return_number").agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("g"))
+    return c.select("classification", "return_number", "n", F.col("g").cast("long").alias("g"))
+
+
+def asof_header(spark, sf_dir):
+    """For each dump the last header of its file received before it (as-of join by window)."""
+    d = table(spark, sf_dir, "header_dumps").select("dump_id", "file_id", F.col("received_at").alias("at")).groupBy("dump_id", "file_id").agg(F.min("at").alias("at"))
+    h = table(spark, sf_dir, "las_headers").select("file_id", F.col("received_at").alias("at")).distinct()
+    both = d.withColumn("header_at", F.lit(None).cast("timestamp")).unionByName(h.select(F.lit(None).cast("long").alias("dump_id"), "file_id", "at", F.col("at").alias("header_at")))
+    w = Window.partitionBy("file_id").orderBy("at", F.col("dump_id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("header_at", F.last("header_at", True).over(w)).where("dump_id is not null").select("dump_id", F.unix_micros("header_at").alias("header_us"))
+
+
+def gps_steps(spark, sf_dir):
+    """Distinct steps of gps_time from one point of a file to the next."""
+    pts = table(spark, sf_dir, "las_points").where("gps_time is not null").select("file_id", "point_index", "gps_time").distinct()
+    step = F.col("gps_time") - F.lag("gps_time").over(Window.partitionBy("file_id").orderBy("point_index"))
+    return pts.withColumn("step", step).where("step is not null").groupBy("file_id").agg(F.min("step").alias("least"), F.max("step").alias("most"), F.count(F.lit(1)).alias("steps"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        project_columns, scaled_xyz, unscale_roundtrip, unpack_fields, pack_flags, legacy_returns, scan_rank, class_bytes, colour_struct,
+        within_rect, within_circle, adjoining_rects, classification_thin, field_ranges, scaled_rect,
+        points_slice, seek_point, preview, chunk_of_point, adaptive_chunks, chunk_starts,
+        count_points, bounds, bounds_scaled, header_stats, by_return, dsm_max, dsm_dense, checksum, selection_checksum, file_summary, item_users,
+        cell_counts, cell_runs, coalesced_runs, coarsen_one_level, limit_runs, covered_points, indexed_rect, indexed_circle, index_candidates, index_cells,
+        zone_counts, top_sources, return_cube, asof_header, gps_steps,
+    )
+}
+
+_PC = """WITH pc AS (SELECT event_id AS point_index,
+  CAST((event_id*37 + user_id*7919) % 20011 AS INT) AS X, CAST((event_id*91 + user_id*104729) % 20011 AS INT) AS Y,
+  CAST((event_id*31 + user_id*17) % 1009 AS INT) AS Z, CAST((event_id*13) % 65536 AS INT) AS intensity,
+  CAST((event_id % 7) + 1 + ((event_id % 7) + 1)*8 + (event_id % 2)*64 + ((event_id // 2) % 2)*128 AS INT) AS returns_and_flags,
+  CAST(user_id % 256 AS INT) AS classification_byte, value AS gps_time FROM events),
+xy AS (SELECT point_index, X * 0.01::DOUBLE + 0.0::DOUBLE AS x, Y * 0.01::DOUBLE + 0.0::DOUBLE AS y FROM pc),
+leafed AS (SELECT *, CAST((Y >> 9) * 64 + (X >> 9) AS BIGINT) AS cell FROM pc)"""
+
+
+def _unpacked(field: str) -> str:
+    byte, shift, mask = bits.PACKED[field]
+    return f"CAST(({byte} >> {shift}) & {mask} AS SMALLINT) AS {field}"
+
+
+_FIELDS = [f for f, (b, _, _) in bits.PACKED.items() if b in ("returns_and_flags", "classification_byte")]
+_RECT_SQL = f"x >= {RECT[0]}::DOUBLE AND x < {RECT[2]}::DOUBLE AND y >= {RECT[1]}::DOUBLE AND y < {RECT[3]}::DOUBLE"
+_CIRCLE_SQL = f"(x - {CIRCLE[0]}::DOUBLE) * (x - {CIRCLE[0]}::DOUBLE) + (y - {CIRCLE[1]}::DOUBLE) * (y - {CIRCLE[1]}::DOUBLE) < {CIRCLE[2] ** 2}::DOUBLE"
+
+
+def _away(v: str) -> str:
+    return f"trunc(CASE WHEN {v} >= 0 THEN {v} + 0.5::DOUBLE ELSE {v} - 0.5::DOUBLE END)"
+
+
+_RUNS = f""", lagged AS (SELECT cell, point_index, point_index - lag(point_index) OVER (PARTITION BY cell ORDER BY point_index) AS step FROM leafed),
+isl AS (SELECT *, sum(CASE WHEN step <= {RUN_GAP} THEN 0 ELSE 1 END) OVER (PARTITION BY cell ORDER BY point_index) AS island FROM lagged),
+runs AS (SELECT cell, island, min(point_index) AS run_start, max(point_index) AS run_end, count(*) AS points FROM isl GROUP BY cell, island)"""
+
+SQL = {
+    "project_columns": _PC + " SELECT point_index, X, intensity, gps_time FROM pc",
+    "scaled_xyz": _PC + " SELECT point_index, X * 0.01::DOUBLE AS sx, Y * 0.01::DOUBLE AS sy, Z * 0.01::DOUBLE AS sz FROM pc",
+    "unscale_roundtrip": _PC + f", q AS (SELECT point_index, CAST({_away('((gps_time - 100::DOUBLE) / 0.5::DOUBLE)')} AS INT) AS q FROM pc) SELECT point_index, q, q * 0.5::DOUBLE + 100::DOUBLE AS back FROM q",
+    "unpack_fields": _PC + f" SELECT point_index, {', '.join(map(_unpacked, _FIELDS))} FROM pc",
+    "pack_flags": _PC + " SELECT point_index, returns_and_flags, classification_byte FROM pc",
+    "legacy_returns": _PC
+    + """, a AS (SELECT point_index, point_index % 11 + 1 AS r, point_index % 15 + 1 AS n FROM pc)
+SELECT point_index, CAST(CASE WHEN n > 7 AND r > 6 THEN CASE WHEN r >= n THEN 7 ELSE 6 END ELSE r END AS SMALLINT) AS return_number,
+  CAST(least(n, 7) AS SMALLINT) AS number_of_returns FROM a""",
+    "scan_rank": _PC
+    + f""", a AS (SELECT point_index, CAST(0.006::FLOAT * CAST(point_index % 60001 - 30000 AS FLOAT) AS DOUBLE) AS d,
+  CAST(CAST(CAST(CAST(point_index % 256 - 128 AS FLOAT) AS DOUBLE) / CAST(0.006::FLOAT AS DOUBLE) AS FLOAT) AS DOUBLE) AS w FROM pc)
+SELECT point_index, CAST(greatest(-128, least(127, {_away('d')})) AS TINYINT) AS rank, CAST({_away('w')} AS SMALLINT) AS angle FROM a""",
+    "class_bytes": _PC
+    + """, a AS (SELECT point_index, X, CAST(point_index % 256 AS INT) AS cls, CAST(point_index % 16 AS INT) AS flags FROM pc)
+SELECT point_index, CAST(((flags << 5) & 224) | (CASE WHEN cls < 32 THEN cls ELSE 0 END) AS INT) AS legacy_byte,
+  CAST(CASE WHEN cls % 32 = 0 THEN cls ELSE cls % 32 END AS SMALLINT) AS wide, CAST(((X - 5000) % 256 + 256) % 256 AS INT) AS folded FROM a""",
+    "colour_struct": "SELECT DISTINCT file_id, point_index, red, green, blue, CAST(0 AS INT) AS nir FROM las_points WHERE red IS NOT NULL",
+    "within_rect": _PC + f" SELECT point_index, x, y FROM xy WHERE {_RECT_SQL}",
+    "within_circle": _PC + f" SELECT point_index, x, y FROM xy WHERE {_CIRCLE_SQL}",
+    "adjoining_rects": _PC
+    + """ SELECT CAST((CASE WHEN x < 50 THEN 0 ELSE 2 END) + (CASE WHEN y < 50 THEN 0 ELSE 1 END) AS INT) AS tile, count(*) AS n
+FROM xy WHERE x >= 0 AND x < 100 AND y >= 0 AND y < 100 GROUP BY 1""",
+    "classification_thin": "SELECT DISTINCT file_id, point_index, X, Y, Z FROM las_points WHERE classification = 2",
+    "field_ranges": "SELECT DISTINCT point_id, intensity, classification FROM las_points WHERE intensity < 0 OR intensity > 65535 OR classification < 0 OR classification > 31",
+    "scaled_rect": """SELECT DISTINCT point_id, X * 0.01::DOUBLE + 0.0::DOUBLE AS x, Y * 0.01::DOUBLE + 0.0::DOUBLE AS y FROM las_points
+WHERE X * 0.01::DOUBLE >= -20000 AND X * 0.01::DOUBLE < 60000 AND Y * 0.01::DOUBLE >= -10000 AND Y * 0.01::DOUBLE < 10000""",
+    "points_slice": _PC + " SELECT point_index, X, Y, Z FROM pc WHERE point_index BETWEEN 100 AND 349",
+    "seek_point": _PC + " SELECT point_index, X, Y, Z FROM pc WHERE point_index = 777",
+    "preview": _PC + " SELECT point_index, X, Y, Z, intensity FROM pc ORDER BY point_index LIMIT 10",
+    "chunk_of_point": _PC + f" SELECT point_index, point_index // {CHUNK} AS chunk_index FROM pc",
+    "adaptive_chunks": """SELECT DISTINCT p.file_id, p.point_index, c.chunk_index FROM las_points p JOIN las_chunks c
+ON p.file_id = c.file_id AND p.point_index >= c.start_index AND p.point_index < c.start_index + c.point_count""",
+    "chunk_starts": """SELECT file_id, chunk_index, CAST(coalesce(sum(point_count) OVER (PARTITION BY file_id ORDER BY chunk_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first_index, byte_offset
+FROM (SELECT DISTINCT file_id, chunk_index, point_count, byte_offset FROM las_chunks)""",
+    "count_points": _PC + " SELECT count(*) AS n FROM pc",
+    "bounds": _PC + ' SELECT min(X) AS "min_X", min(Y) AS "min_Y", max(X) AS "max_X", max(Y) AS "max_Y" FROM pc',
+    "bounds_scaled": _PC
+    + " SELECT min(X) * 0.01::DOUBLE AS min_x, min(Y) * 0.01::DOUBLE AS min_y, min(Z) * 0.01::DOUBLE AS min_z, max(X) * 0.01::DOUBLE AS max_x, max(Y) * 0.01::DOUBLE AS max_y, max(Z) * 0.01::DOUBLE AS max_z FROM pc",
+    "header_stats": _PC
+    + " SELECT count(*) AS number_of_point_records, "
+    + ", ".join(f"count(*) FILTER (returns_and_flags & 7 = {r}) AS returns_{r}" for r in range(1, 6))
+    + ", "
+    + ", ".join(f"coalesce({f}({a}) * 0.01::DOUBLE, 0) AS {f}_{a.lower()}" for a in "XYZ" for f in ("max", "min"))
+    + " FROM pc",
+    "by_return": _PC + " SELECT CAST(returns_and_flags & 7 AS SMALLINT) AS return_number, count(*) AS n FROM pc GROUP BY 1",
+    "dsm_max": _PC + ' SELECT CAST(floor((20010::DOUBLE - Y) / 500) AS BIGINT) AS "row", CAST(floor(X / 500::DOUBLE) AS BIGINT) AS col, max(Z) AS value FROM pc GROUP BY 1, 2',
+    "dsm_dense": _PC + ' SELECT CAST(floor((20010::DOUBLE - Y) / 100) AS BIGINT) AS "row", CAST(floor(X / 100::DOUBLE) AS BIGINT) AS col, CAST(max(Z) AS DOUBLE) AS value FROM pc GROUP BY 1, 2',
+    "file_summary": """WITH h AS (SELECT DISTINCT file_id, version_minor, point_data_format_id, point_data_record_length, number_of_point_records, x_scale_factor FROM las_headers),
+p AS (SELECT file_id, count(DISTINCT point_id) AS points, min(X) AS a, max(X) AS b, min(Y) AS c, max(Y) AS d FROM las_points GROUP BY file_id)
+SELECT h.file_id, version_minor, point_data_format_id, point_data_record_length, number_of_point_records, points,
+  a * x_scale_factor AS points_min_x, b * x_scale_factor AS points_max_x, c * x_scale_factor AS points_min_y, d * x_scale_factor AS points_max_y FROM h LEFT JOIN p USING (file_id)""",
+    "item_users": "SELECT file_id, string_agg(DISTINCT user_id, ',' ORDER BY user_id) AS users, count(DISTINCT vlr_index) AS records FROM las_vlrs GROUP BY file_id",
+    "cell_counts": _PC + ' SELECT cell, count(*) AS "full" FROM leafed GROUP BY cell',
+    "cell_runs": _PC + _RUNS + " SELECT cell, run_start, run_end, points FROM runs",
+    "coalesced_runs": _PC
+    + """, s AS (SELECT cell, point_index, point_index - lag(point_index) OVER (PARTITION BY cell ORDER BY point_index) AS step FROM leafed WHERE cell % 5 = 0),
+i AS (SELECT *, sum(CASE WHEN step <= 20 THEN 0 ELSE 1 END) OVER (PARTITION BY cell ORDER BY point_index) AS island FROM s),
+r AS (SELECT min(point_index) AS a, max(point_index) AS b FROM i GROUP BY cell, island),
+m AS (SELECT *, max(b) OVER (ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM r),
+g AS (SELECT *, sum(CASE WHEN a - before <= 20 THEN 0 ELSE 1 END) OVER (ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM m)
+SELECT min(a) AS run_start, max(b) AS run_end FROM g GROUP BY island""",
+    "coarsen_one_level": _PC
+    + ", l AS (SELECT 85 + ("
+    + " | ".join(f"(((X >> {11 + k}) & 1) << {2 * k}) | (((Y >> {11 + k}) & 1) << {2 * k + 1})" for k in range(4))
+    + """) AS cell, count(*) AS n FROM pc GROUP BY 1),
+w AS (SELECT cell, n, 21 + ((cell - 85) >> 2) AS parent, count(*) OVER (PARTITION BY (cell - 85) >> 2) AS present, sum(n) OVER (PARTITION BY (cell - 85) >> 2) AS total FROM l)
+SELECT CAST(CASE WHEN present = 4 AND total < 600 THEN parent ELSE cell END AS BIGINT) AS cell, CAST(sum(n) AS BIGINT) AS "full" FROM w GROUP BY 1""",
+    "limit_runs": _PC
+    + _RUNS
+    + """, g AS (SELECT *, run_start - lag(run_end) OVER (PARTITION BY cell ORDER BY run_start) AS gap FROM runs),
+c AS (SELECT count(*) - 2 * count(DISTINCT cell) AS spare FROM runs),
+k AS (SELECT *, CASE WHEN gap IS NULL THEN NULL ELSE row_number() OVER (ORDER BY gap NULLS LAST, cell, run_start) END AS place FROM g),
+m AS (SELECT *, sum(CASE WHEN place <= (SELECT spare FROM c) THEN 0 ELSE 1 END) OVER (PARTITION BY cell ORDER BY run_start) AS kept FROM k)
+SELECT cell, min(run_start) AS run_start, max(run_end) AS run_end FROM m GROUP BY cell, kept""",
+    "covered_points": _PC + _RUNS + " SELECT cell, CAST(sum(run_end - run_start + 1) AS BIGINT) AS covered, CAST(sum(points) AS BIGINT) AS points FROM runs GROUP BY cell",
+    "indexed_rect": _PC + f" SELECT point_index, x, y FROM xy WHERE {_RECT_SQL}",
+    "indexed_circle": _PC + f" SELECT point_index, x, y FROM xy WHERE {_CIRCLE_SQL}",
+    "zone_counts": """WITH q AS (SELECT DISTINCT point_id, CAST(X AS BIGINT) AS x, CAST(Y AS BIGINT) AS y FROM las_points WHERE X IS NOT NULL)
+SELECT zone_id, count(*) AS n FROM q JOIN zones z ON (z.shape = 'rect' AND q.x >= z.min_x AND q.x < z.max_x AND q.y >= z.min_y AND q.y < z.max_y)
+  OR (z.shape = 'circle' AND (q.x - z.centre_x) * (q.x - z.centre_x) + (q.y - z.centre_y) * (q.y - z.centre_y) < CAST(z.radius AS BIGINT) * z.radius) GROUP BY zone_id""",
+    "top_sources": """SELECT point_source_ID AS "point_source_ID", count(DISTINCT point_id) AS n FROM las_points WHERE point_source_ID IS NOT NULL
+GROUP BY 1 ORDER BY n DESC, 1 LIMIT 10""",
+    "return_cube": """SELECT classification, return_number, count(*) AS n, CAST(grouping(classification) * 2 + grouping(return_number) AS BIGINT) AS g
+FROM (SELECT DISTINCT point_id, classification, return_number FROM las_points) GROUP BY CUBE (classification, return_number)""",
+    "asof_header": """WITH d AS (SELECT dump_id, file_id, min(received_at) AS at FROM header_dumps GROUP BY ALL)
+SELECT dump_id, epoch_us((SELECT max(h.received_at) FROM las_headers h WHERE h.file_id = d.file_id AND h.received_at <= d.at)) AS header_us FROM d""",
+    "gps_steps": """WITH p AS (SELECT DISTINCT file_id, point_index, gps_time FROM las_points WHERE gps_time IS NOT NULL),
+s AS (SELECT file_id, gps_time - lag(gps_time) OVER (PARTITION BY file_id ORDER BY point_index) AS step FROM p)
+SELECT file_id, min(step) AS least, max(step) AS most, count(*) AS steps FROM s WHERE step IS NOT NULL GROUP BY file_id""",
+}
