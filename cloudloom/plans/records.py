@@ -32,10 +32,10 @@ def p2_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_percentiles_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same by day of first arrival (ingest_day null: all days together)."""
+    """The same by day (UTC) of first arrival (ingest_day null: all days together)."""
     once = quantiles.once(table(spark, sf_dir, "las_points"), "point_id", ["ingested_at", "classification", "Z"])
     usable = once.where("classification is not null and Z is not null and ingested_at is not null")
-    return _levels(quantiles.sketches(usable, "Z", ["classification", F.to_date("ingested_at").alias("ingest_day")]), "ingest_day")
+    return _levels(quantiles.sketches(usable, "Z", ["classification", F.date_from_unix_date(F.floor(F.unix_micros("ingested_at") / 86_400_000_000).cast("int")).alias("ingest_day")]), "ingest_day")
 
 
 def _levels(parts: DataFrame, part: str) -> DataFrame:
