@@ -17,6 +17,11 @@ def _scratch(spark: SparkSession) -> str:
     return f"{shared_dir(spark).rstrip('/')}/cloudloom-streams/{uuid.uuid4().hex}"
 
 
+def _is_folder(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
+
+
 def stream_las(
     spark: SparkSession, path: str, columns: Sequence[str], each: Callable[[DataFrame], DataFrame], whole: Callable[[DataFrame], DataFrame], checkpoint: str | None = None
 ) -> DataFrame:
@@ -45,7 +50,9 @@ def parquet_counts(spark: SparkSession, sf_dir: str, name: str, time: str, windo
     base = _scratch(spark)
     path = f"{sf_dir}/{name}.parquet"
     schema = spark.read.parquet(path).schema
-    rows = spark.readStream.schema(schema).parquet(path)
+    source = spark.readStream.schema(schema)
+    # a stream reads folders; a table that is a single file is picked out of its folder
+    rows = source.parquet(path) if _is_folder(spark, path) else source.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
     if isinstance(schema[time].dataType, T.TimestampNTZType):
         # a time without a zone is taken as UTC, whatever the session's zone
         rows = rows.withColumn(time, F.expr(f"timestamp_micros(timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{time}`))"))
