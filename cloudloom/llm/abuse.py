@@ -95,11 +95,11 @@ class Lexicon:
                         continue
                     words = tuple(fold(w) for w in _WORD.findall(term))
                     forms = {words}
-                    if len(words) == 1:
+                    if len(words) == 1 and len(words[0]) > 2:
                         forms |= {(words[0] + e,) for e in ENDINGS[lang]}
                         if lang == "en" and words[0].endswith("y"):
                             forms.add((words[0][:-1] + "ies",))
-                    else:
+                    elif len(words) > 1:
                         # the last word of a phrase may be in the plural
                         forms.add((*words[:-1], words[-1] + "s"))
                     for f in forms:
@@ -360,7 +360,7 @@ def judge(h: _Hits) -> tuple[float, float, float]:
         s = 0.75 + 0.2 * h.near("offer", x, 10) + 0.1 * (addressed(x, 6) or h.near("person", x, 6))
         sexual = max(sexual, s * (0.4 if h.near("report", x, 6) else 1.0) - 0.05 * min(2, x[2]))
     for x in h.by.get("bodily", ()):
-        s = 0.2 + 0.4 * h.near("offer", x, 10) + 0.2 * (h.others("bodily", x, 10) > 0) + 0.4 * h.near("heat", x, 10) + 0.25 * (addressed(x, 4) or h.near("person", x, 4)) + 0.3 * h.near("explicit", x, 12)
+        s = 0.2 + 0.4 * h.near("offer", x, 10) + 0.2 * (h.others("bodily", x, 10) > 0) + 0.3 * h.near("heat", x, 10) + 0.25 * (addressed(x, 4) or h.near("person", x, 4)) + 0.3 * h.near("explicit", x, 12)
         sexual = max(sexual, _eased(h, x, min(s, 1.0)))
     return abuse, hate, sexual
 

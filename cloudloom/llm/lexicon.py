@@ -17,11 +17,11 @@ TERMS: dict[str, dict[str, str]] = {
     },
     # words that insult only if they are thrown at a person
     "jibe": {
-        "en": "fool, loser, crook, rat, cow, pig, clown, liar, baboon, monkey, donkey, snake, weasel, worm, swine, thief, fraud, coward, trash, garbage, creep, dog, toad, disgrace, scammer, cheat, dork, pest, leech, turd, muppet, nobody, freak, beast, goat, ape, vermin, parasite, hag",
-        "de": "sack, kuh, sau, ratte, esel, affe, clown, lügner, betrüger, versager, hund, ziege, gauner, abschaum, dreck, null, niete, schwindler, kröte, wurm",
-        "fr": "rat, vache, porc, cochon, clown, menteur, voleur, escroc, chien, âne, nul, nulle, lâche, ver, vermine, cafard, bon à rien",
-        "es": "rata, vaca, cerdo, payaso, mentiroso, ladrón, estafador, perro, burro, basura, cobarde, inútil, gusano, mierda, tonto",
-        "ja": "クズ, カス, バカ, 馬鹿, ゴミ",
+        "en": "fool, loser, crook, rat, cow, pig, clown, liar, baboon, monkey, donkey, snake, weasel, worm, swine, thief, fraud, coward, creep, dog, toad, disgrace, scammer, cheat, dork, pest, leech, turd, muppet, freak, beast, goat, ape, vermin, parasite, hag",
+        "de": "sack, kuh, sau, ratte, esel, affe, clown, lügner, betrüger, versager, hund, ziege, gauner, abschaum, niete, schwindler, kröte, wurm",
+        "fr": "rat, vache, porc, cochon, clown, menteur, voleur, escroc, chien, âne, lâche, ver, vermine, cafard, bon à rien",
+        "es": "rata, vaca, cerdo, payaso, mentiroso, ladrón, estafador, perro, burro, cobarde, gusano, tonto",
+        "ja": "クズ, カス, バカ, 馬鹿",
     },
     # adjectives that turn a jibe into an insult
     "slur": {
@@ -34,7 +34,7 @@ TERMS: dict[str, dict[str, str]] = {
     # sayings that attack by themselves
     "attack": {
         "en": "fuck you, fuck off, fuck yourself, go fuck, piss off, kiss my ass, kiss my arse, eat shit, shut your mouth, shut the fuck up, shut up you, drop dead, hang yourself, kill yourself, go to hell, rot in hell, screw you, suck my dick, suck my cock,"
-        " up yours, go die, nobody loves you, thrown you out with the bin, too stupid to breathe, burn in hell, get cancer, get run over, no wonder nobody likes you, you make me sick, shove it up your, stick it up your, get lost you, worthless to this world, bring a bat, come with a bat, nobody would miss you",
+        " up yours, go die, nobody loves you, thrown you out with the bin, too stupid to breathe, burn in hell, get cancer, get run over, no wonder nobody likes you, you make me sick, you are garbage, you are trash, shove it up your, stick it up your, get lost you, worthless to this world, bring a bat, come with a bat, nobody would miss you",
         "de": "fick dich, fickt euch, halt die fresse, halt deine fresse, halts maul, halt die klappe, halt dein maul, leck mich, leckt mich, verreck, verrecke, verreckt, verpiss dich, geh sterben, zur hölle mit dir, bring dich um, häng dich auf, schlag dich tot, stirb, friss scheiße, du kannst mich mal, scher dich zum teufel, mach dich vom acker du",
         "fr": "va te faire foutre, allez vous faire foutre, va te faire enculer, ferme ta gueule, fermez vos gueules, ta gueule, va crever, va mourir, casse toi, nique ta mère, je t'emmerde, je vous emmerde, va te pendre, va au diable, bouffe ta merde, suce moi, te casser la figure, te casser la gueule, te crever, te buter, te tuer",
         "es": "vete a la mierda, que te jodan, que te den, que os jodan, cállate la boca, cierra la boca, jódete, chinga tu madre, chúpamela, púdrete, muérete, ojalá te mueras, ojalá os muráis, te voy a partir, te voy a matar, te voy a romper, vete al infierno, ahórcate, come mierda, a la chingada, tírate por",
@@ -161,7 +161,7 @@ TERMS: dict[str, dict[str, str]] = {
         "ja": "と言われ, と呼ばれ, という言葉, と書いて",
     },
     "goods": {
-        "en": "frame, pump, bottle, valve, chicken, bike, glove, sauce, plug, size, sizes, vet, pups, puppy, puppies, breeding, crows, rooster, hen, farm, film set, fits, bike frame, education, doll, wire, flame, eye, mole, soup, meat, grill, book, bulb, stroke, screws, milk, feeding, baby, bra, cancer, screening, doctor, shape, plate, hammer, screw, beef, ham, duck, tap, drill",
+        "en": "harness, leash, frame, pump, bottle, valve, chicken, bike, glove, sauce, plug, size, sizes, vet, pups, puppy, puppies, breeding, crows, rooster, hen, farm, film set, fits, bike frame, education, doll, wire, flame, eye, mole, soup, meat, grill, book, bulb, stroke, screws, milk, feeding, baby, bra, cancer, screening, doctor, shape, plate, hammer, screw, beef, ham, duck, tap, drill",
         "de": "hahn, gurt, brett, brustgurt, rahmen, hähnchen, pumpe, buch, stillen, wasserhahn, glas, blasenpflaster, luftballon, luft, tierarzt, welpen, zucht, salbe, flamme, auge, mühle, mühlen, kräht",
         "fr": "poulet, blanc, soutien, gorge, cadre, livre, tuyau, vétérinaire, chiots, coq, lait, allaiter, allaitement, ajusté, arrosage, pompe, bébé, peinture, bois",
         "es": "sujetador, pollo, cuadro, marco, libro, veterinario, cachorros, gallo, leche, lactancia, ajusta, taza, error, bebé, madera, cable, tubo",
@@ -175,7 +175,7 @@ LOOKALIKES = str.maketrans("аеорсухікмтнвАЕОРСУХІКМТНВ
 MASKS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "$": "s", "@": "a", "!": "i", "|": "il", "€": "e", "*": "", "#": "", "%": "", "_": "", "-": ""}
 #: Ordinary words close to a term; never taken for a misspelling of one.
 INNOCENT = (
-    "settings, setting, jours, jour, verrückt, verrückte, verdrückt, muerte, muerto, vertreten, morire, brûlé, batch, pitch, ditch, witch, hitch, stitch, butch, beach, bench, birch, clock, cook, lock, rock, sock, cocoa, coat, fussy, pushy, fuzzy, bossy, puppy, maroon, where, whole, shore, whose, white, while, pick, thick, brick, trick, price, pricey, print, bits, hits, pits,"
+    "morning, mornings, warning, second, seconds, settings, setting, jours, jour, verrückt, verrückte, verdrückt, muerte, muerto, vertreten, morire, brûlé, batch, pitch, ditch, witch, hitch, stitch, butch, beach, bench, birch, clock, cook, lock, rock, sock, cocoa, coat, fussy, pushy, fuzzy, bossy, puppy, maroon, where, whole, shore, whose, white, while, pick, thick, brick, trick, price, pricey, print, bits, hits, pits,"
     " kits, sits, tips, ties, books, boots, booths, boards, borne, corn, pork, part, sex's, six, sax, set, yes, rate, rates, mats, hats, cats, bats, fats, eats, rag, cowl, crow, crown, claw, chock, chuck, choice, chose, stave, starts, start, started, starve's, bone, bones, born, burns, dies, dice, diet, dyed, ride,"
     " hide, tie, fact, fit, ducks, duck, luck, buck, suck up, tuck, truck, stuck, struck, sink, silk, lick's, click, slick, stick, kick, kicks, ship, shirt, shift, short, shot, shut, sheet, suit, skit, spit, split, slit, ask, asked, task, mask, class, glass, mass, pass, grass, brass, bass, asset, assess, assets,"
     " nippy, ripple, nibble, breath, breads, bread, broad, neat, next, neckar, deck, check, knack, dump, dumps, dumbbell, numb, thumb, lumpy, jump, stupor, studio, studied, fifty, filly, faulty, ugly's, fully, fatty, damp, dame, dart, dirt, laying, flying, lining, lifting, living, idiom, radiator, creating,"
