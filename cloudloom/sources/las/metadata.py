@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 from dataclasses import dataclass
+from decimal import Decimal
 
 import numpy as np
 import pandas as pd
@@ -81,31 +82,31 @@ def decode_extra(points: DataFrame, attrs: list[Attribute], column: str = "extra
     if not typed:
         return points
 
-    def kind(a: Attribute) -> str:
-        base = "double" if a.scale or a.offset or (a.data_type - 1) % 10 >= 8 else "decimal(20,0)" if (a.data_type - 1) % 10 == 6 else "long"
-        return f"array<{base}>" if a.parts > 1 else base
-
-    out = points
-    for a in typed:
-        dtype = np.dtype(_TYPES[(a.data_type - 1) % 10])
-        want = kind(a)
-
-        @F.pandas_udf(want)
-        def value(raw: pd.Series, a=a, dtype=dtype, want=want) -> pd.Series:
-            got = []
-            for b in raw:
-                if b is None or len(b) < a.start + a.size:
-                    got.append(None)
-                    continue
-                v = np.frombuffer(bytes(b), dtype, a.parts, a.start)
-                if a.scale or a.offset:
-                    v = v * np.array(a.scale or (1.0,) * a.parts) + np.array(a.offset or (0.0,) * a.parts)
-                v = [__import__("decimal").Decimal(int(x)) for x in v] if "decimal" in want else v.tolist()
-                got.append(v if a.parts > 1 else v[0])
-            return pd.Series(got, dtype=object)
-
-        out = out.withColumn(a.name, value(F.col(column)))
-    return out
+    return points.withColumns({a.name: _typed(a)(F.col(column)) for a in typed})
+
+
+def _typed(a: Attribute):
+    dtype = np.dtype(_TYPES[(a.data_type - 1) % 10])
+    moved = bool(a.scale or a.offset)
+    # unsigned 64-bit values don't fit a long
+    big = dtype == np.dtype("<u8") and not moved
+    base = "decimal(20,0)" if big else "double" if moved or dtype.kind == "f" else "long"
+
+    @F.pandas_udf(f"array<{base}>" if a.parts > 1 else base)
+    def values(raw: pd.Series) -> pd.Series:
+        out = []
+        for b in raw:
+            if b is None or len(b) < a.start + a.size:
+                out.append(None)
+                continue
+            v = np.frombuffer(bytes(b), dtype, a.parts, a.start)
+            if moved:
+                v = v * np.array(a.scale or (1.0,) * a.parts) + np.array(a.offset or (0.0,) * a.parts)
+            v = [Decimal(int(x)) for x in v] if big else v.tolist()
+            out.append(v if a.parts > 1 else v[0])
+        return pd.Series(out, dtype=object)
+
+    return values
 
 
 # -- coordinate systems

@@ -51,7 +51,7 @@ def points(fmt: int, compat: bool = False, extra: int = EXTRA) -> dict[str, np.n
         r = 1 + i % 15
         put(extended_return_number=r, extended_number_of_returns=min(15, r + i % 3), extended_classification=i % 256, extended_classification_flags=i // 3 % 16)
         put(extended_scanner_channel=i // 7 % 4, extended_scan_angle=(i * 271) % 60001 - 30000 if compat else i % 8001 - 4000, extended_point_type=1)
-        put(wave_packet=struct.pack("<BQIIfff"[:1] + "BQIIIII", i % 5, i * 128, 128, i % 97, i % 31, i % 29, i % 23))
+        put(wave_packet=struct.pack("<BQIIIII", i % 5, i * 128, 128, i % 97, i % 31, i % 29, i % 23))
         put(extra_bytes=bytes(i * (b + 3) % 256 for b in range(extra)))
     out = {}
     for k, v in rows.items():
