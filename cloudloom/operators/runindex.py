@@ -288,7 +288,8 @@ def with_boxes(tree: Tree, runs: DataFrame) -> DataFrame:
 
 def build(points: DataFrame, cell_size: float = 1.0, minimum_points: int = 100_000, maximum_intervals: int = -20, gap: int = GAP, block: int = BLOCK) -> RunIndex:
     """Index of a cloud with columns x, y (scaled) and point_index."""
-    p = points.where("x is not null and y is not null and point_index is not null").select("x", "y", "point_index")
+    # read once: the points may come from files that are slow to decode
+    p = materialize(points.where("x is not null and y is not null and point_index is not null").select("x", "y", "point_index"))
     b = p.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
     if b[0] is None:
         raise ValueError("there are no points to index")

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from cloudloom.functions import bits
 from cloudloom.operators import folds, runindex
 from cloudloom.plans.clouds import _PC, _RECT_SQL, RECT, cloud
-from cloudloom.runtime import shared_dir
-from cloudloom.sources.las.datasource import read_headers, read_las, register
+from cloudloom.runtime import shared_dir, table
+from cloudloom.sources.las.datasource import read_headers, read_las, register, take_points
 from cloudloom.streaming.landing import parquet_counts, stream_las
 
 _CHUNK = 5000
@@ -129,6 +129,14 @@ def laz_chunks(spark, sf_dir):
     return back.groupBy(F.floor(F.col("point_index") / 700).alias("strip")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("X").cast("long")).alias("sum_x"))
 
 
+def laz_seek(spark, sf_dir):
+    """Every twentieth point of a compressed file by random access."""
+    path = _write(_fields(spark, sf_dir), pointFormat="1")
+    schema = read_las(spark, path, ["point_index", "X", "Y", "Z", "gps_time"]).schema
+    wanted = table(spark, sf_dir, "events").where("event_id % 20 = 0").select(F.lit(f"{path}/points.laz").alias("file"), F.col("event_id").alias("point_index"))
+    return take_points(wanted, schema)
+
+
 def stream_landing(spark, sf_dir):
     """Files that land in a folder, read as a stream: points and lowest Z per source."""
     path = _folder(spark)
@@ -145,7 +153,7 @@ def stream_windows(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (las_scan, laz_scan, laz_first_version, laz_layered_scan, laz_layers_skipped, laz_compatibility, laz_rect, laz_headers, laz_checksum, laz_chunks, stream_landing, stream_windows)
+    for f in (las_scan, laz_scan, laz_first_version, laz_layered_scan, laz_layers_skipped, laz_compatibility, laz_rect, laz_headers, laz_checksum, laz_seek, laz_chunks, stream_landing, stream_windows)
 }
 
 _F = (
@@ -171,6 +179,7 @@ SQL = {
     "laz_layered_scan": _F + f" SELECT {_names([*_NEW, 'red', 'green', 'blue', 'nir'])} FROM f",
     "laz_layers_skipped": _F + " SELECT point_index, X, intensity FROM f",
     "laz_compatibility": _F + f" SELECT {_names([*_NEW, 'nir'])} FROM f",
+    "laz_seek": _F + " SELECT point_index, X, Y, Z, gps_time FROM f WHERE point_index % 20 = 0",
     "laz_rect": _PC + f" SELECT point_index, x, y FROM xy WHERE {_RECT_SQL}",
     "laz_headers": _PC
     + " SELECT count(*) AS points, CAST(1 AS INT) AS point_format, min(X) * 0.01::DOUBLE AS min_x, min(Y) * 0.01::DOUBLE AS min_y, min(Z) * 0.01::DOUBLE AS min_z,"

@@ -3,12 +3,10 @@
 from __future__ import annotations
 
 import atexit
-import os
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
 
 #: Rows of a helper table that may be broadcast; beyond it joins shuffle.
 BROADCAST_ROWS = 200_000
@@ -70,9 +68,10 @@ def is_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
     return df.limit(limit + 1).count() <= limit
 
 
-def fields(**kinds: T.DataType) -> T.StructType:
-    return T.StructType([T.StructField(k, v, True) for k, v in kinds.items()])
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores where the input is in fewer pieces than there are cores.
 
-
-def repo_root() -> str:
-    return os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    For work that is heavy per byte. Large inputs come in many pieces anyway and are left as they are, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -486,6 +486,45 @@ def read_headers(spark: SparkSession, path: str):
     return files.repartition(max(1, min(len(files.take(1)) and files.count(), 1000))).mapInArrow(run, schema)
 
 
+def take_points(wanted, schema: T.StructType, near: int = 50_000):
+    """Random access: the points of a frame (file, point_index), in the columns of ``schema``. Only chunks that hold wanted points are decoded.
+
+    Ordinals outside a file raise IndexError; a point asked for twice comes twice.
+    """
+    arrow = to_arrow_schema(schema)
+
+    def pick(f: LasFile, path: str, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if at[0] < 0 or at[-1] >= len(f):
+            raise IndexError(f"{path} has no point {at[0] if at[0] < 0 else at[-1]}")
+        k = 0
+        while k < len(at):
+            # up to the end of the chunk, or of a block of records, that holds the next point
+            stop = f.table.first[f.table.chunk_of(int(at[k])) + 1] if f.table else int(at[k]) // near * near + near
+            z = int(np.searchsorted(at, stop))
+            start = int(at[k])
+            for b in read_slice(f, schema, start, int(at[z - 1]) + 1, name=path):
+                first = start
+                inside = at[(at >= first) & (at < first + b.num_rows)]
+                yield b.take(pa.array(inside - first))
+                start = first + b.num_rows
+            k = z
+
+    def run(batches):
+        held: dict[str, list[np.ndarray]] = {}
+        for b in batches:
+            for path, at in zip(b["file"].to_pylist(), b["point_index"].to_numpy()):
+                held.setdefault(path, []).append(at)
+        for path, at in held.items():
+            with LasFile(path, layers_for(arrow.names)) as f:
+                yield from pick(f, path, np.sort(np.array(at, np.int64)))
+
+    cut = wanted.select("file", wanted["point_index"].cast("long").alias("point_index"))
+    from pyspark.sql import functions as F
+
+    parts = int(wanted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut.repartition(parts, "file", F.floor(F.col("point_index") / near)).mapInArrow(run, schema)
+
+
 def decode_binary(files, schema: T.StructType):
     """Points of files held in a ``binaryFile`` frame (columns path, content): for stores only Spark can read."""
 
@@ -498,4 +537,4 @@ def decode_binary(files, schema: T.StructType):
     return files.select("path", "content").mapInArrow(run, schema)
 
 
-__all__ = ["ALL_LAYERS", "LasDataSource", "Source", "decode_binary", "list_files", "read_headers", "read_las", "register", "spans"]
+__all__ = ["ALL_LAYERS", "LasDataSource", "Source", "decode_binary", "list_files", "read_headers", "read_las", "register", "spans", "take_points"]
