@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cloudloom.llm.lexicon import INNOCENT, LOOKALIKES, MASKS, TERMS
+from cloudloom.runtime import spread
 
 #: Score from which a document counts as abusive, hateful or sexual.
 LIMIT = 0.6
@@ -403,7 +404,7 @@ def ordinary_words(docs: DataFrame, share: float = ORDINARY_SHARE, least: int =
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], names=["word", "n"])
 
-    texts = docs.select(F.col("text").cast("string"))
+    texts = spread(docs.select(F.col("text").cast("string")))
     total = docs.count()
     found = texts.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return frozenset(r.word for r in found.where(F.col("n") >= max(least, share * total)).select("word").collect())
@@ -419,7 +420,7 @@ def score(docs: DataFrame) -> DataFrame:
             cols = list(zip(*got)) if got else [(), (), ()]
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["source"], *[pa.array(c, pa.float64()) for c in cols]], names=["doc_id", "source", "abuse", "hate", "sexual"])
 
-    flat = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string"), F.col("lang").cast("string"))
+    flat = spread(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string"), F.col("lang").cast("string")))
     got = flat.mapInArrow(run, "doc_id long, source string, abuse double, hate double, sexual double")
     return got.withColumn("score", F.greatest("abuse", "hate", "sexual")).withColumn("flagged", F.col("score") >= LIMIT)
 

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cloudloom.runtime import spread
+
 #: Folder of the vocabulary files, and the file used. Every node must have it; files are never copied.
 TOKENIZER_DIR = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
@@ -59,6 +61,6 @@ def token_sizes(docs: DataFrame, keep: list[str], text: str = "text", path: str
             sizes = [0 if t is None else len(encode(t, path)) for t in b.column(b.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(sizes, pa.int64())], names=[*keep, "n_tokens"])
 
-    flat = docs.select(*keep, F.col(text).alias("__text"))
+    flat = spread(docs.select(*keep, F.col(text).alias("__text")))
     kinds = ", ".join(f"`{c}` {flat.schema[c].dataType.simpleString()}" for c in keep)
     return flat.mapInArrow(run, f"{kinds}, n_tokens long")
