@@ -40,6 +40,8 @@ BLOCK = 4096
 NAMES = 100_000
 #: Columns of a header table that are not header fields.
 NOT_FIELDS = ("file_id", "file_name", "received_at")
+#: Columns that say which dump a row is of.
+_LEAD = ("feed_id", "seq_no", "dump_id", "file_id")
 #: The compressed flag in a format id.
 FORMAT_FIELD, COMPRESSED_BIT = "point_data_format_id", 128
 
@@ -111,13 +113,15 @@ def _once(dumps: DataFrame) -> DataFrame:
 
 
 def header_fields(headers: DataFrame) -> list[str]:
-    return [c for c in headers.columns if c not in NOT_FIELDS]
+    return [c for c in headers.columns if c not in (*NOT_FIELDS, *_LEAD)]
 
 
 def learn_names(dumps: DataFrame, headers: DataFrame) -> dict[str, str]:
     """Foreign path -> header column, from all dumps against the headers of their files."""
-    simple = [f.name for f in headers.schema if f.name not in NOT_FIELDS and not isinstance(f.dataType, T.ArrayType)]
-    known = headers.where("file_id is not null").dropDuplicates(["file_id"]).select("file_id", *simple)
+    simple = [f.name for f in headers.schema if f.name in header_fields(headers) and not isinstance(f.dataType, T.ArrayType)]
+    # under names of their own, whatever a header table may call its columns
+    own = [f"__header_{k}" for k in range(len(simple))]
+    known = headers.where("file_id is not null").dropDuplicates(["file_id"]).select("file_id", *[F.col(f"`{c}`").alias(o) for c, o in zip(simple, own)])
     fields = header_fields(headers)
 
     def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,7 +133,7 @@ def learn_names(dumps: DataFrame, headers: DataFrame) -> dict[str, str]:
             return pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in rows], schema)
 
         for b in batches:
-            cols = {f: b[f].to_pylist() for f in simple}
+            cols = {f: b[o].to_pylist() for f, o in zip(simple, own)}
             for k, text in enumerate(b["payload"].to_pylist()):
                 if (got := parse(text)) is None:
                     continue
@@ -151,7 +155,7 @@ def learn_names(dumps: DataFrame, headers: DataFrame) -> dict[str, str]:
 
     kind = "path string, field string, seen long, hits long, beside long"
     schema = pa.schema([("path", pa.string()), ("field", pa.string()), ("seen", pa.int64()), ("hits", pa.int64()), ("beside", pa.int64())])
-    found = dumps.join(known, "file_id").select("payload", *simple).mapInArrow(evidence, kind)
+    found = dumps.join(known, "file_id").select("payload", *own).mapInArrow(evidence, kind)
     found = found.groupBy("path", "field").agg(*[F.sum(c).alias(c) for c in ("seen", "hits", "beside")])
     # of several columns that fit, the one with most hits, then the one most like the name
     best = found.where((F.col("beside") == 0) & (F.col("hits") >= MATCH * F.col("seen")) & (F.col("hits") > 0)).groupBy("path").agg(
@@ -327,16 +331,16 @@ def conform(dumps: DataFrame, headers: DataFrame) -> DataFrame:
     """
     arrival = dumps.where("dump_id is not null").groupBy("dump_id").agg(F.min("received_at").alias("received_at"))
     once = materialize(_once(dumps))
-    names, wanted = learn_names(once, headers), [f for f in headers.schema if f.name not in NOT_FIELDS]
+    names, wanted = learn_names(once, headers), [f for f in headers.schema if f.name in header_fields(headers)]
     fields = frozenset(f.name for f in wanted)
-    lead = T.StructType([T.StructField(c, T.LongType()) for c in ("feed_id", "seq_no", "dump_id", "file_id")])
+    lead = T.StructType([T.StructField(c, T.LongType()) for c in _LEAD])
     out_type = T.StructType([*lead, *[T.StructField(f.name, f.dataType) for f in wanted]])
     arrow = to_arrow_schema(out_type)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for *ids, text in zip(*[b[c].to_pylist() for c in ("feed_id", "seq_no", "dump_id", "file_id", "payload")]):
+            for *ids, text in zip(*[b[c].to_pylist() for c in (*_LEAD, "payload")]):
                 if (got := parse(text)) is None:
                     continue
                 held = _fields_of(got, fields, names)

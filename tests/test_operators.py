@@ -214,7 +214,7 @@ def test_proximity_defined_cases(spark):
 # -- drift
 
 DUMPS = "dump_id long, feed_id long, seq_no long, file_id long, dumped_at timestamp, received_at timestamp, payload string, SHAPE string"
-HEADERS = "file_id long, file_name string, version_minor short, point_data_format_id short, point_data_record_length int, generating_software string, number_of_points_by_return array<long>, x_offset double, received_at timestamp"
+HEADERS = "file_id long, file_name string, version_minor short, point_data_format_id short, point_data_record_length int, generating_software string, number_of_points_by_return array<long>, x_offset double, received_at timestamp, payload string, seq_no int"
 
 
 def dumps(spark, payloads, feed=1, start=0):
@@ -223,7 +223,7 @@ def dumps(spark, payloads, feed=1, start=0):
 
 
 def headers(spark):
-    return spark.createDataFrame([(k, f"f{k}", 2 + k % 3, k, 20 + 2 * k, f"tool {k}", [k, 1], 0.5 * k, None) for k in range(5)] * 2, HEADERS)
+    return spark.createDataFrame([(k, f"f{k}", 2 + k % 3, k, 20 + 2 * k, f"tool {k}", [k, 1], 0.5 * k, None, "extra", 7) for k in range(5)] * 2, HEADERS)
 
 
 def test_changes_by_kind(spark):
