@@ -361,3 +361,25 @@ def from_bytes(spark, data: bytes) -> RunIndex:
     tree, rows, _ = parse(data)
     runs = spark.createDataFrame([(c, f, s, e, e - s + 1) for c, f, s, e in rows], "cell long, full long, run_start long, run_end long, n long")
     return RunIndex(tree, with_boxes(tree, runs))
+
+
+def spans(index: bytes, rect=None, circle=None, gap: int = GAP) -> list[tuple[int, int]]:
+    """Half-open spans of ordinals that may lie in an area, from index bytes."""
+    tree, rows, _ = parse(index)
+    kind, a = area(rect, circle)
+    box = a if kind == "rect" else [a[0] - a[2], a[1] - a[2], a[0] + a[2], a[1] + a[2]]
+    if not rows or box[2] <= tree.min_x or not box[0] <= tree.max_x or box[3] <= tree.min_y or not box[1] <= tree.max_y:
+        return []
+    cells, starts, ends = (np.array([r[k] for r in rows], np.int64) for k in (0, 2, 3))
+    lx, hx, ly, hy = (e.astype(np.float64) for e in tree.box(cells))
+    hit = ((lx == tree.min_x) | (box[2] > lx)) & ((hx == tree.max_x) | (box[0] < hx)) & ((ly == tree.min_y) | (box[3] > ly)) & ((hy == tree.max_y) | (box[1] < hy))
+    if kind == "circle":
+        dx, dy = np.maximum(np.maximum(a[0] - hx, lx - a[0]), 0), np.maximum(np.maximum(a[1] - hy, ly - a[1]), 0)
+        hit &= dx * dx + dy * dy < a[2] * a[2]
+    out: list[list[int]] = []
+    for s, e in sorted(zip(starts[hit].tolist(), ends[hit].tolist())):
+        if out and s - out[-1][1] <= gap:
+            out[-1][1] = max(out[-1][1], e)
+        else:
+            out.append([s, e])
+    return [(s, e + 1) for s, e in out]

@@ -209,8 +209,9 @@ def dsm_dense(spark, sf_dir):
 
 
 def checksum(spark, sf_dir):
-    up = unpack_fields(spark, sf_dir).join(cloud(spark, sf_dir).drop("returns_and_flags", "classification_byte"), "point_index")
-    return folds.checksum(up.withColumn("file", F.lit("events")))
+    old = {f: bits.unpack(F.col(b), f) for f, (b, _, _) in bits.PACKED.items() if b in ("returns_and_flags", "classification_byte")}
+    up = cloud(spark, sf_dir).withColumns(old | {"file": F.lit("events")})
+    return folds.checksum(up.drop("returns_and_flags", "classification_byte"))
 
 
 def selection_checksum(spark, sf_dir):

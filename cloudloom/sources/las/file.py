@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
+from cloudloom.operators import regions, runindex
 from cloudloom.sources.las import container as C
 from cloudloom.sources.las import header as H
 from cloudloom.sources.las import metadata as M
@@ -177,6 +178,32 @@ class LasFile:
             return {c: np.empty(0, object if c in ("wave_packet", "extra_bytes") else np.int64) for c in want}
         return {c: np.concatenate([p[c] for p in parts]) for c in want}
 
+    def xyz(self, start: int = 0, count: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Scaled coordinates of a slice."""
+        c = self.columns("X", "Y", "Z", start=start, count=count)
+        return tuple(c[a].astype(np.float64) * s + o for a, s, o in zip("XYZ", self.header.scales, self.header.offsets))
+
+    def within(self, *names: str, rect=None, circle=None) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        """Ordinals of the points in an area, in file order, and their columns; only candidates of the spatial index are read if there is one."""
+        kind, a = regions.area(rect, circle)
+        if unknown := [c for c in names if c not in self.names]:
+            raise ValueError(f"no columns {unknown}")
+        index = self.index_bytes()
+        windows = [(0, len(self))] if index is None else runindex.spans(index, rect, circle)
+        at, parts = [np.empty(0, np.int64)], []
+        (sx, sy, _), (ox, oy, _) = self.header.scales, self.header.offsets
+        for w in windows:
+            for first, cols in self.blocks(max(0, w[0]), w[1]):
+                x, y = cols["X"].astype(np.float64) * sx + ox, cols["Y"].astype(np.float64) * sy + oy
+                if kind == "rect":
+                    hit = (x >= a[0]) & (x < a[2]) & (y >= a[1]) & (y < a[3])
+                else:
+                    hit = (x - a[0]) * (x - a[0]) + (y - a[1]) * (y - a[1]) < a[2] * a[2]
+                if hit.any():
+                    at.append(first + np.flatnonzero(hit))
+                    parts.append({c: cols[c][hit] for c in names})
+        return np.concatenate(at), {c: np.concatenate([p[c] for p in parts]) if parts else np.empty(0) for c in names}
+
     def index_bytes(self) -> bytes | None:
         """Bytes of the spatial index: the one inside the file, else the sidecar's; None if there is none."""
         v = self.header.record(H.SPATIAL_INDEX, True) or self.header.record(H.SPATIAL_INDEX)
@@ -257,6 +284,9 @@ class Layout:
     system_identifier: str = ""
     generating_software: str = "cloudloom"
     creation: tuple[int, int] = (0, 0)
+    project_id: bytes = b""
+    user_data: bytes = b""
+    user_data_after: bytes = b""
     compatibility: bool = False
 
     def __post_init__(self):
@@ -319,13 +349,14 @@ class Layout:
         wide = is_wide(self.point_format)
         records = [M.compat_record(tally.count, tally.by_return[1:16]) if v.key == H.COMPATIBLE else v for v in self.records]
         packed = b"".join(map(H.pack_vlr, records))
-        size = H.size_of(self.version_minor)
+        size = H.size_of(self.version_minor) + len(self.user_data)
         counts = tally.by_return
         legacy_ok = not is_wide(self.stored) and tally.count <= 0xFFFFFFFF
         f = {
             "file_signature": b"LASF", "version_major": 1, "version_minor": self.version_minor, "system_identifier": self.system_identifier,
             "generating_software": self.generating_software, "file_creation_day": self.creation[0], "file_creation_year": self.creation[1],
-            "header_size": size, "offset_to_point_data": size + len(packed), "number_of_variable_length_records": len(records),
+            "project_id": self.project_id,
+            "header_size": size, "offset_to_point_data": size + len(packed) + len(self.user_data_after), "number_of_variable_length_records": len(records),
             "point_data_format_id": self.stored | (0x80 if self.compressor != NONE else 0), "point_data_record_length": sum(i.size for i in self.items),
             "number_of_point_records": tally.count if legacy_ok else 0, "number_of_points_by_return": counts[1:6] if legacy_ok else [0] * 5,
             "extended_number_of_point_records": tally.count, "extended_number_of_points_by_return": counts[1:16],
@@ -336,7 +367,7 @@ class Layout:
             f[f"{a}_scale_factor"], f[f"{a}_offset"] = self.scales[k], self.offsets[k]
             for name, box in (("min", tally.low), ("max", tally.high)):
                 f[f"{name}_{a}"] = box[k] * self.scales[k] + self.offsets[k] if box else 0.0
-        return H.pack_fields(H.fields_of(self.version_minor), f) + packed
+        return H.pack_fields(H.fields_of(self.version_minor), f) + self.user_data + packed + self.user_data_after
 
     def prepare(self, cols: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
         return M.fold(cols, self.point_format in (8, 10), self.extra) if self.compatibility else cols

@@ -136,6 +136,21 @@ def test_scalar_functions(spark):
     assert tuple(got) == (5, 3, 3.5, True, 7)
 
 
+def test_field_ranges(spark):
+    import struct
+
+    from cloudloom.functions.fields import require_ranges, wave_packet
+
+    df = spark.createDataFrame([(5, 7, "a"), (None, 0, "b")], "intensity int, return_number short, other string")
+    assert require_ranges(df).collect() == df.collect()
+    for bad in ((70000, 1), (-1, 1), (1, 8)):
+        with pytest.raises(Exception, match="out of its range"):
+            require_ranges(spark.createDataFrame([(*bad, "a")], df.schema)).collect()
+    raw = struct.pack("<BQIffff", 3, 2**63 + 5, 128, 1.5, 0.25, -0.5, 2.0)
+    w = spark.createDataFrame([(raw,), (None,), (b"short",)], "w binary").select(wave_packet(F.col("w")).alias("p")).select("p.*").collect()
+    assert (w[0].descriptor, int(w[0].offset), w[0]["size"], w[0].return_point, w[0].dz) == (3, 2**63 + 5, 128, 1.5, 2.0) and w[1].dx is None and w[2].descriptor is None
+
+
 def test_rasters(spark):
     df = spark.createDataFrame([(0, 0, 1), (9, 9, 2), (10, 0, 3), (10, 1, 7)], "X int, Y int, Z int")
     sparse = folds.raster(df, F.col("X"), F.col("Y"), F.col("Z"), 0.0, 10.0, 10.0)

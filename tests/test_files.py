@@ -56,9 +56,9 @@ def test_known_checksums(name):
 def test_known_rectangles(name, rect):
     lay, cols = layout(name)
     with LasFile(written(lay, cols)) as f:
-        c = f.columns("X", "Y")
-    x, y = c["X"] * 0.01 + 0.0, c["Y"] * 0.01 + 0.0
-    hit = np.flatnonzero((x >= rect[0]) & (x < rect[2]) & (y >= rect[1]) & (y < rect[3]))
+        hit, cols = f.within("Z", rect=rect)
+        whole = f.columns("Z")["Z"]
+        assert np.array_equal(cols["Z"], whole[hit])
     assert (len(hit), folds.fnv1a(hit.astype("<u8").tobytes())) == RECTANGLES[rect]
 
 
@@ -214,6 +214,29 @@ def test_layouts_refused(bad):
         Layout(**bad)
 
 
+def test_header_is_kept():
+    lay = Layout(1, scales=(0.1, 0.01, 1.0), offsets=(1.0, -2.0, 3.0), system_identifier="sys", creation=(12, 2024), user_data=b"in", user_data_after=b"behind", project_id=b"p" * 16, vlrs=[H.Vlr("me", 7, b"data", "about")])
+    cols = points(1)
+    with LasFile(written(lay, cols)) as f:
+        h = f.header
+        assert (h.user_data, h.user_data_after, h.system_identifier, h.file_creation_day, h.file_creation_year, h.project_id) == (b"in", b"behind", "sys", 12, 2024, b"p" * 16)
+        assert h.record(("me", 7)).data == b"data" and h.scales == (0.1, 0.01, 1.0) and h.offsets == (1.0, -2.0, 3.0)
+        assert (h.min_x, h.max_z) == (cols["X"].min() * 0.1 + 1.0, cols["Z"].max() * 1.0 + 3.0)
+        assert h.number_of_points_by_return == [int((cols["return_number"] == r).sum()) for r in range(1, 6)]
+        assert np.array_equal(f.columns("X")["X"], cols["X"])
+
+
+def test_command_line(tmp_path, capsys):
+    from cloudloom.__main__ import main
+
+    path = str(tmp_path / "a.laz")
+    write_las(path, [points(8)], Layout(8, extra=6))
+    assert main([path, "2"]) == 0
+    out = capsys.readouterr().out
+    assert "points: 500" in out and "\n1: 1500.23 1700.23 " in out and "\n2:" not in out
+    assert main([str(tmp_path / "none")]) == 1 and main([]) == 2
+
+
 def test_coordinate_systems():
     for crs, want in ((25832, (25832, None)), ("PROJCS[x]", (None, "PROJCS[x]"))):
         with LasFile(written(Layout(6, crs=crs), points(6))) as f:
