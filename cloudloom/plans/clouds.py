@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cloudloom.functions import bits, coords
-from cloudloom.operators import folds, regions, runindex
-from cloudloom.runtime import is_small, table
+from cloudloom.operators import folds, proximity, regions, runindex
+from cloudloom.runtime import table
 
 SCALE, OFFSET = 0.01, 0.0
 RECT = (20.0, 30.0, 80.0, 120.0)
@@ -313,13 +313,8 @@ def index_cells(spark, sf_dir):
 
 def zone_counts(spark, sf_dir):
     """Points of las_points per zone: a spatial join with half-open rectangles and open circles."""
-    zones = table(spark, sf_dir, "zones")
-    pts = table(spark, sf_dir, "las_points").where("X is not null").groupBy("point_id").agg(F.min("X").cast("long").alias("X"), F.min("Y").cast("long").alias("Y"))
-    dx, dy = F.col("X") - F.col("centre_x"), F.col("Y") - F.col("centre_y")
-    rect = (F.col("shape") == "rect") & (F.col("X") >= F.col("min_x")) & (F.col("X") < F.col("max_x")) & (F.col("Y") >= F.col("min_y")) & (F.col("Y") < F.col("max_y"))
-    circle = (F.col("shape") == "circle") & (dx * dx + dy * dy < F.col("radius").cast("long") * F.col("radius"))
-    side = F.broadcast(zones) if is_small(zones, 10_000) else zones
-    return pts.join(side, rect | circle).groupBy("zone_id").agg(F.count(F.lit(1)).alias("n"))
+    inside = proximity.zones_by_strip(table(spark, sf_dir, "las_points"), table(spark, sf_dir, "zones"))
+    return inside.groupBy(F.col("left_id").alias("zone_id")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def top_sources(spark, sf_dir):
@@ -335,12 +330,11 @@ def return_cube(spark, sf_dir):
 
 
 def asof_header(spark, sf_dir):
-    """For each dump the last header of its file received before it (as-of join by window)."""
-    d = table(spark, sf_dir, "header_dumps").select("dump_id", "file_id", F.col("received_at").alias("at")).groupBy("dump_id", "file_id").agg(F.min("at").alias("at"))
-    h = table(spark, sf_dir, "las_headers").select("file_id", F.col("received_at").alias("at")).distinct()
-    both = d.withColumn("header_at", F.lit(None).cast("timestamp")).unionByName(h.select(F.lit(None).cast("long").alias("dump_id"), "file_id", "at", F.col("at").alias("header_at")))
-    w = Window.partitionBy("file_id").orderBy("at", F.col("dump_id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("header_at", F.last("header_at", True).over(w)).where("dump_id is not null").select("dump_id", F.unix_micros("header_at").alias("header_us"))
+    """For each dump the last header of its file received before it: an as-of join. A file's headers are few, so an equi-join with a maximum does it."""
+    d = table(spark, sf_dir, "header_dumps").groupBy("dump_id", "file_id").agg(F.min("received_at").alias("at"))
+    h = table(spark, sf_dir, "las_headers").select(F.col("file_id").alias("f"), F.col("received_at").alias("header_at")).distinct()
+    before = d.join(h, (F.col("file_id") == F.col("f")) & (F.col("header_at") <= F.col("at")), "left")
+    return before.groupBy("dump_id").agg(F.unix_micros(F.max("header_at")).alias("header_us"))
 
 
 def gps_steps(spark, sf_dir):
