@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloudloom.functions import bits
 from cloudloom.operators import folds, runindex
 from cloudloom.plans.clouds import _PC, _RECT_SQL, RECT, cloud
-from cloudloom.runtime import shared_dir, table
+from cloudloom.runtime import scratch, table
 from cloudloom.sources.las.datasource import read_headers, read_las, register, take_points
 from cloudloom.streaming.landing import parquet_counts, stream_las
 
@@ -18,7 +16,7 @@ _CHUNK = 5000
 
 
 def _folder(spark: SparkSession) -> str:
-    return f"{shared_dir(spark).removeprefix('file://').removeprefix('file:').rstrip('/')}/cloudloom-files/{uuid.uuid4().hex}"
+    return scratch(spark).removeprefix("file://").removeprefix("file:")
 
 
 def _fields(spark: SparkSession, sf_dir: str) -> DataFrame:

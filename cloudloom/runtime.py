@@ -34,6 +34,13 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder, deleted by ``release`` or at the end of the Python process."""
+    path = f"{shared_dir(spark).rstrip('/')}/cloudloom/{uuid.uuid4().hex}"
+    _scratch[path] = spark
+    return path
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
@@ -41,14 +48,13 @@ def materialize(df: DataFrame) -> DataFrame:
     The files stay until ``release`` or the end of the Python process.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/cloudloom/{uuid.uuid4().hex}"
+    path = scratch(spark)
     df.write.parquet(path)
-    _scratch[path] = spark
     return spark.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession | None = None) -> None:
-    """Delete what ``materialize`` wrote. Frames built on it can't be read afterwards."""
+    """Delete what lies in scratch paths. Frames built on it can't be read afterwards."""
     for path, owner in list(_scratch.items()):
         if spark is None or owner is spark:
             try:

@@ -2,21 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cloudloom.runtime import shared_dir
+from cloudloom.runtime import scratch
 from cloudloom.sources.las.datasource import register
 
 
-def _scratch(spark: SparkSession) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/cloudloom-streams/{uuid.uuid4().hex}"
-
-
 def _is_folder(spark: SparkSession, path: str) -> bool:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
@@ -31,7 +26,7 @@ def stream_las(
     only new files are read; the partial results lie beside it.
     """
     register(spark)
-    base = checkpoint or _scratch(spark)
+    base = checkpoint or scratch(spark)
     stream = spark.readStream.format("las").option("columns", ",".join(columns)).load(path)
 
     def save(batch: DataFrame, number: int) -> None:
@@ -47,7 +42,7 @@ def parquet_counts(spark: SparkSession, sf_dir: str, name: str, time: str, windo
 
     Rows later than the watermark are dropped by Spark; every batch's updated counts are kept under its number and the last one of a window counts.
     """
-    base = _scratch(spark)
+    base = scratch(spark)
     path = f"{sf_dir}/{name}.parquet"
     schema = spark.read.parquet(path).schema
     source = spark.readStream.schema(schema)
