@@ -52,10 +52,13 @@ _WORD = re.compile(r"[^\s.,;:?\"“”„«»()<>/\\\-–—、。！？「」
 _CALLED = re.compile(r",\s*(?:[^\s,]+\s+){0,2}[^\s,]+\s*[.!?]*\s*$")
 #: A word spelled with signs between its letters: "f.u.c.k"
 _SPELLED = re.compile(r"(?<!\w)(?:[^\W\d_][.\-_·*]){2,}[^\W\d_](?!\w)")
+#: Characters without a width: soft hyphen, joiners, marks of direction.
+_INVISIBLE = re.compile("[\u00ad\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\u2066-\u206f\ufeff\ufff9-\ufffb]")
 _TAG = re.compile(r"</?[a-zA-Z][^<>]{0,200}>")
 _WRONG = re.compile("[ÃÂãåæçèéä][\u0080-¿Œ-Ÿ–-™]")
 
 
+@lru_cache(maxsize=200_000)
 def fold(word: str) -> str:
     """Lower case without accents (Latin letters only; kana keep their marks)."""
     word = word.casefold()
@@ -75,9 +78,12 @@ def repair(text: str) -> str:
             text = raw.decode("utf-8")
         except UnicodeDecodeError:
             pass
-    text = _TAG.sub(" ", html.unescape(text))
-    text = unicodedata.normalize("NFKC", text)
-    text = "".join(c for c in text if unicodedata.category(c) != "Cf").replace("’", "'")
+    if "&" in text:
+        text = html.unescape(text)
+    if "<" in text:
+        text = _TAG.sub(" ", text)
+    if not text.isascii():
+        text = _INVISIBLE.sub("", unicodedata.normalize("NFKC", text)).replace("’", "'")
     return _SPELLED.sub(lambda m: re.sub(r"[.\-_·*]", "", m[0]), text)
 
 
@@ -118,6 +124,11 @@ class Lexicon:
                 node = node.setdefault(c, {})
             node[""] = w if w in loose else None
         self.met = lru_cache(maxsize=200_000)(self._meet)
+        self.begun = lru_cache(maxsize=200_000)(self._begin)
+
+    def _begin(self, token: str) -> tuple[tuple[tuple[str, ...], str, str, int], ...]:
+        """Phrases a token may begin: (words, class, language, edits)."""
+        return tuple((*p, edits) for w, edits in self.met(token).items() for p in self.phrases.get(w, ()))
 
     def misspelt(self, token: str) -> bool:
         """True if the token is met only by taking it for a misspelling."""
@@ -209,17 +220,27 @@ def lexicon() -> Lexicon:
 
 
 @lru_cache(maxsize=1)
-def _function_words() -> dict[str, frozenset[str]]:
-    return {lang: frozenset(fold(w) for w in text.split()) for lang, text in FUNCTION_WORDS.items()}
+def _function_words() -> dict[str, tuple[int, ...]]:
+    """Function word -> positions of its languages."""
+    out: dict[str, list[int]] = defaultdict(list)
+    for k, text in enumerate(FUNCTION_WORDS.values()):
+        for w in {fold(w) for w in text.split()}:
+            out[w].append(k)
+    return {w: tuple(ks) for w, ks in out.items()}
 
 
-def _tally(words: list[str]) -> dict[str, int]:
-    return {lang: sum(w in known for w in words) for lang, known in _function_words().items()}
+def _tally(words: list[str]) -> list[int]:
+    """Function words per language, in the order of FUNCTION_WORDS."""
+    known, counts = _function_words(), [0] * len(FUNCTION_WORDS)
+    for w in words:
+        for k in known.get(w, ()):
+            counts[k] += 1
+    return counts
 
 
-def _best(tally: dict[str, int], least: int) -> list[str]:
-    top = max(tally.values())
-    return [lang for lang, n in tally.items() if n == top] if top >= least else []
+def _best(tally: list[int], least: int) -> list[str]:
+    top = max(tally)
+    return [lang for lang, n in zip(FUNCTION_WORDS, tally) if n == top] if top >= least else []
 
 
 def declared(lang: str | None) -> list[str]:
@@ -229,6 +250,8 @@ def declared(lang: str | None) -> list[str]:
 
 def _join_spelled(words: list[str]) -> list[str]:
     """Words spelled letter by letter ("b i t c h") as one."""
+    if sum(len(w) == 1 for w in words) < 3:
+        return words
     out, run = [], []
     for w in [*words, ""]:
         if len(w) == 1 and w != "":
@@ -281,23 +304,23 @@ class _Hits:
 
 def _find(words: list[str], sentence: str, langs: list[str], ordinary: frozenset[str] = frozenset()) -> _Hits | None:
     lex, hits, n = lexicon(), _Hits(), len(words)
-    met = [{} if ordinary and w.casefold() in ordinary else lex.met(w) for w in words]
-    for i, m in enumerate(met):
+    for i, w in enumerate(words):
+        begun = lex.begun(w)
+        if not begun or (ordinary and w.casefold() in ordinary):
+            continue
         longest: dict[str, int] = {}
-        for w, edits in m.items():
-            for f, cls, lang in lex.phrases.get(w, ()):
-                k = len(f)
-                if lang not in langs or i + k > n or longest.get(cls, 0) >= k:
-                    continue
-                total = edits
-                for j in range(1, k):
-                    e = met[i + j].get(f[j])
-                    if e is None:
-                        break
-                    total += e
-                else:
-                    longest[cls] = k
-                    hits.add(cls, i, i + k - 1, total)
+        for f, cls, lang, total in begun:
+            k = len(f)
+            if lang not in langs or i + k > n or longest.get(cls, 0) >= k:
+                continue
+            for j in range(1, k):
+                e = {} if ordinary and words[i + j].casefold() in ordinary else lex.met(words[i + j])
+                if f[j] not in e:
+                    break
+                total += e[f[j]]
+            else:
+                longest[cls] = k
+                hits.add(cls, i, i + k - 1, total)
     if _CJK.search(sentence):
         for term, cls in lex.cjk:
             at = sentence.find(term)
@@ -373,7 +396,7 @@ def score_text(text: str | None, lang: str | None = None, ordinary: frozenset[st
     parts = [s for s in _SENTENCE.findall(repair(text)) if s.strip()]
     tokens = [_words(s) for s in parts]
     tallies = [_tally([fold(w) for w in ws]) for ws in tokens]
-    whole = {lang_: sum(t[lang_] for t in tallies) for lang_ in FUNCTION_WORDS}
+    whole = [sum(t) for t in zip(*tallies)] or [0] * len(FUNCTION_WORDS)
     general = _best(whole, 1) or declared(lang) or list(FUNCTION_WORDS)
     best = [0.0, 0.0, 0.0]
     for sentence, words, tally in zip(parts, tokens, tallies):
