@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -34,6 +36,26 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+def ship(spark: SparkSession) -> None:
+    """Makes the package importable in Python workers that don't have it, once per application."""
+    sc = spark.sparkContext
+    if getattr(sc, "_cloudloom_shipped", False):
+        return
+    name = __package__
+
+    def there(_) -> bool:
+        import importlib.util
+
+        return importlib.util.find_spec(name) is not None
+
+    if not sc.parallelize([0], 1).map(there).first():
+        root = os.path.dirname(os.path.abspath(__file__))
+        base = os.path.join(tempfile.mkdtemp(prefix="cloudloom-"), name)
+        # the driver's file server hands the archive to the executors
+        sc.addPyFile(shutil.make_archive(base, "zip", os.path.dirname(root), os.path.basename(root)))
+    sc._cloudloom_shipped = True
+
+
 def scratch(spark: SparkSession) -> str:
     """A new path in the shared folder, deleted by ``release`` or at the end of the Python process."""
     path = f"{shared_dir(spark).rstrip('/')}/cloudloom/{uuid.uuid4().hex}"
