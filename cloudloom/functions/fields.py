@@ -39,14 +39,14 @@ def require_ranges(points: DataFrame) -> DataFrame:
     return points.withColumns({f: checked(f) for f in points.columns if f in RANGES})
 
 
-_PACKET = struct.Struct("<BQIffff")
+_PACKET = "<BQIffff"
 
 
 @F.pandas_udf("descriptor int, offset decimal(20,0), size long, return_point float, dx float, dy float, dz float")
 def _packet(raw: pd.Series) -> pd.DataFrame:
     from decimal import Decimal
 
-    rows = [(None,) * 7 if b is None or len(b) != _PACKET.size else _PACKET.unpack(bytes(b)) for b in raw]
+    rows = [(None,) * 7 if b is None or len(b) != struct.calcsize(_PACKET) else struct.unpack(_PACKET, bytes(b)) for b in raw]
     return pd.DataFrame([(a, None if b is None else Decimal(b), *rest) for a, b, *rest in rows], columns=["descriptor", "offset", "size", "return_point", "dx", "dy", "dz"])
 
 
