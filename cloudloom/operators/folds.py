@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: FNV-1a, 64 bits (fixed values).
@@ -52,6 +52,29 @@ def dense_raster(sparse: DataFrame, rows: int, cols: int) -> DataFrame:
     return grid.join(sparse, ["row", "col"], "left").withColumn("value", F.coalesce(F.col("value").cast("double"), F.lit(float("nan"))))
 
 
+def steps(points: DataFrame, key: str, value: str, index: str = "point_index", block: int = 1 << 16) -> DataFrame:
+    """Per key: the least and largest step of ``value`` from one point to the next in order of ``index``, and how many steps there are.
+
+    Steps are taken inside blocks of ordinals, and between blocks from their first and last values, so a key with many points
+    is spread over many tasks. Points without a value are passed over.
+    """
+    p = points.where(F.col(key).isNotNull() & F.col(value).isNotNull() & F.col(index).isNotNull()).select(
+        F.col(key).alias("__key"), F.col(index).alias("__at"), F.col(value).alias("__v"), F.floor(F.col(index) / block).alias("__block")
+    )
+    inside = p.withColumn("__step", F.col("__v") - F.lag("__v").over(Window.partitionBy("__key", "__block").orderBy("__at")))
+    each = inside.groupBy("__key", "__block").agg(
+        F.min("__step").alias("low"), F.max("__step").alias("high"), F.count("__step").alias("n"), F.min_by("__v", "__at").alias("first"), F.max_by("__v", "__at").alias("last")
+    )
+    over = F.col("first") - F.lag("last").over(Window.partitionBy("__key").orderBy("__block"))
+    joined = each.withColumn("over", over)
+    # least() and greatest() pass over nulls
+    return (
+        joined.groupBy(F.col("__key").alias(key))
+        .agg(F.min(F.least("low", "over")).alias("least"), F.max(F.greatest("high", "over")).alias("most"), (F.sum("n") + F.count("over")).alias("steps"))
+        .where("steps > 0")
+    )
+
+
 def fnv1a(data: bytes, h: int = FNV_OFFSET) -> int:
     for b in data:
         h = ((h ^ b) * FNV_PRIME) & _WORD

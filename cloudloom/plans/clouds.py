@@ -339,9 +339,8 @@ def asof_header(spark, sf_dir):
 
 def gps_steps(spark, sf_dir):
     """Distinct steps of gps_time from one point of a file to the next."""
-    pts = table(spark, sf_dir, "las_points").where("gps_time is not null").select("file_id", "point_index", "gps_time").distinct()
-    step = F.col("gps_time") - F.lag("gps_time").over(Window.partitionBy("file_id").orderBy("point_index"))
-    return pts.withColumn("step", step).where("step is not null").groupBy("file_id").agg(F.min("step").alias("least"), F.max("step").alias("most"), F.count(F.lit(1)).alias("steps"))
+    pts = table(spark, sf_dir, "las_points").select("file_id", "point_index", "gps_time").distinct()
+    return folds.steps(pts, "file_id", "gps_time")
 
 
 QUERIES = {

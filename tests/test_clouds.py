@@ -151,6 +151,19 @@ def test_field_ranges(spark):
     assert (w[0].descriptor, int(w[0].offset), w[0]["size"], w[0].return_point, w[0].dz) == (3, 2**63 + 5, 128, 1.5, 2.0) and w[1].dx is None and w[2].descriptor is None
 
 
+def test_steps(spark):
+    rng = random.Random(6)
+    rows = [(f, i, rng.choice((None, rng.randint(-50, 50)))) for f in (1, 2, None) for i in range(300)] + [(3, 0, 5), (4, None, 1)]
+    df = spark.createDataFrame(rows, "f long, point_index long, v int")
+    want = {}
+    for f in (1, 2):
+        v = [x for k, _, x in rows if k == f and x is not None]
+        d = [b - a for a, b in zip(v, v[1:])]
+        want[f] = (min(d), max(d), len(d))
+    for block in (1, 7, 1 << 16):
+        assert {r.f: (r.least, r.most, r.steps) for r in folds.steps(df, "f", "v", block=block).collect()} == want
+
+
 def test_rasters(spark):
     df = spark.createDataFrame([(0, 0, 1), (9, 9, 2), (10, 0, 3), (10, 1, 7)], "X int, Y int, Z int")
     sparse = folds.raster(df, F.col("X"), F.col("Y"), F.col("Z"), 0.0, 10.0, 10.0)
