@@ -111,6 +111,8 @@ class LasReader(DataSourceReader):
         names = [f.name for f in schema]
         self.selective = int(options["selective"], 0) if "selective" in options else layers_for(names) | (1 if "z" in names else 0)
         self.first, self.last = 0, None
+        #: Bounds that pushed filters put on x and y: only used to choose what an index says may lie inside.
+        self.box = [-np.inf, -np.inf, np.inf, np.inf]
 
     def partitions(self):
         return plan_parts(list_files(self.options["path"]), int(self.options.get("splitPoints", SPLIT_POINTS)), int(self.options.get("groupBytes", GROUP_BYTES)))
@@ -120,7 +122,7 @@ class LasReader(DataSourceReader):
             with LasFile(path, self.selective) as f:
                 for w in f.warnings:
                     warnings.warn(f"{path}: {w}", stacklevel=1)
-                yield from read_slice(f, self.schema, max(start, self.first), self._stop(stop, f), self.rect, self.circle, f"{path}")
+                yield from read_slice(f, self.schema, max(start, self.first), self._stop(stop, f), self.rect, self.circle, path, self.box)
 
     def _stop(self, stop: int | None, f: LasFile) -> int:
         stop = len(f) if stop is None else stop
@@ -131,16 +133,23 @@ class PushingReader(LasReader):
     """With filters pushed down. Spark refuses such a reader while spark.sql.python.filterPushdown.enabled is off, so the option ``push`` asks for it."""
 
     def pushFilters(self, filters):
-        # ordinals bound the slices that are read; every filter is still applied by Spark
+        # ordinals bound the slices that are read, coordinates the candidates of an index; every filter is still applied by Spark
         for f in filters:
-            if getattr(f, "attribute", None) == ("point_index",):
-                v = getattr(f, "value", None)
-                if isinstance(f, EqualTo):
-                    self.first, self.last = max(self.first, v), v if self.last is None else min(self.last, v)
-                elif isinstance(f, (GreaterThan, GreaterThanOrEqual)):
-                    self.first = max(self.first, v)
-                elif isinstance(f, (LessThan, LessThanOrEqual)):
-                    self.last = v if self.last is None else min(self.last, v)
+            at, v = getattr(f, "attribute", None), getattr(f, "value", None)
+            low = v if isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual)) else None
+            high = v if isinstance(f, (EqualTo, LessThan, LessThanOrEqual)) else None
+            if at == ("point_index",):
+                if low is not None:
+                    self.first = max(self.first, low)
+                if high is not None:
+                    self.last = high if self.last is None else min(self.last, high)
+            elif at in (("x",), ("y",)):
+                k = int(at == ("y",))
+                if low is not None:
+                    self.box[k] = max(self.box[k], low)
+                if high is not None:
+                    # an index takes upper bounds as outside, so step over a bound that may be inside
+                    self.box[k + 2] = min(self.box[k + 2], float(np.nextafter(high, np.inf)))
             yield f
 
 
@@ -174,12 +183,19 @@ def plan_parts(files: list[tuple[str, int, int]], split: int, group: int) -> lis
     return parts or [Part(())]
 
 
-def read_slice(f: LasFile, schema: T.StructType, start: int, stop: int, rect=None, circle=None, name: str | None = None) -> Iterator[pa.RecordBatch]:
-    """Batches of a slice in the columns of ``schema``; columns the file lacks are null."""
+def read_slice(f: LasFile, schema: T.StructType, start: int, stop: int, rect=None, circle=None, name: str | None = None, box=None) -> Iterator[pa.RecordBatch]:
+    """Batches of a slice in the columns of ``schema``; columns the file lacks are null. ``box`` only narrows what an index offers."""
     arrow = to_arrow_schema(schema)
     windows = [(start, stop)]
-    if (rect or circle) and (index := f.index_bytes()) is not None:
-        windows = [(max(a, start), min(b, stop)) for a, b in spans(index, rect, circle)]
+    boxed = box is not None and bool(np.isfinite(box).any())
+    if boxed and (box[0] > box[2] or box[1] > box[3]):
+        return
+    if (rect or circle or boxed) and (index := f.index_bytes()) is not None:
+        if rect or circle:
+            windows = [(max(a, start), min(b, stop)) for a, b in spans(index, rect, circle)]
+        if boxed:
+            inside = spans(index, box)
+            windows = [(max(a, c), min(b, d)) for a, b in windows for c, d in inside if max(a, c) < min(b, d)]
     (sx, sy, sz), (ox, oy, oz) = f.header.scales, f.header.offsets
     for a, b in windows:
         if a >= b:

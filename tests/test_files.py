@@ -11,12 +11,13 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from known_answers import FILES, RECTANGLES
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import GreaterThan, LessThan, LessThanOrEqual
 
 from cloudloom.operators import folds, regions, runindex
 from cloudloom.sources.las import container, entropy
 from cloudloom.sources.las import header as H
 from cloudloom.sources.las import metadata as M
-from cloudloom.sources.las.datasource import decode_binary, read_headers, read_las, register, spans
+from cloudloom.sources.las.datasource import Part, PushingReader, decode_binary, read_headers, read_las, register, spans
 from cloudloom.sources.las.entropy import LasDataError
 from cloudloom.sources.las.file import LasFile, Layout, append_index, write_las
 from cloudloom.sources.las.formats import UnsupportedFormat, base_size, items_of
@@ -329,7 +330,16 @@ def test_areas_with_and_without_index(spark, folder):
             assert read_las(spark, path, ["point_index"], rect=r).count() == n
         assert read_las(spark, path, ["point_index"], circle=circle).count() == inside > 0
         assert spans(data, rect=(1600, 1800, 1601, 1801)) == []
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+        pushed = read_las(spark, path, ["point_index", "x", "y"], scaled=True)
+        for r, (n, _) in RECTANGLES.items():
+            assert regions.within(pushed, rect=r).count() == n
+        assert pushed.where("x > 1600 and x < 1").count() == 0 and pushed.where("x <= 1498.0 and y = 1699.0").count() == xy.where("x <= 1498.0 and y = 1699.0").count()
+        reader = PushingReader({"path": path}, pushed.schema)
+        list(reader.pushFilters([LessThanOrEqual(("x",), 1600.0), GreaterThan(("x",), 1599.0), LessThan(("y",), 5.0)]))
+        assert reader.box[0] == 1599.0 and reader.box[2] > 1600.0 and reader.box[3] >= 5.0 and sum(b.num_rows for b in reader.read(Part(((path, 0, None),)))) == 0
     finally:
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "false")
         os.remove(path.replace(".laz", ".lax"))
 
 
