@@ -181,7 +181,7 @@ def coarsen(counts: DataFrame, levels: int, minimum_points: int) -> DataFrame:
     return each.join(fit, ["k", "up"]).groupBy("leaf").agg(F.max_by("up", "k").alias("cell"), F.max_by("full", "k").alias("full"))
 
 
-def limit_runs(runs: DataFrame, maximum: int, cells: int | None = None) -> DataFrame:
+def limit_runs(runs: DataFrame, maximum: int) -> DataFrame:
     """Closes the smallest gaps inside cells, ties by (cell, run), until ``maximum`` runs are left, at least one a cell.
 
     ``maximum`` below 0 means that many per cell, 0 no limit.
@@ -189,9 +189,9 @@ def limit_runs(runs: DataFrame, maximum: int, cells: int | None = None) -> DataF
     if maximum == 0:
         return runs
     runs = materialize(runs)
-    cells = runs.select("cell").distinct().count() if cells is None else cells
-    goal = max(cells, -maximum * cells if maximum < 0 else maximum)
-    spare = runs.count() - goal
+    held = runs.agg(F.count_distinct("cell").alias("cells"), F.count(F.lit(1)).alias("runs")).first()
+    goal = max(held.cells, -maximum * held.cells if maximum < 0 else maximum)
+    spare = held.runs - goal
     if spare <= 0:
         return runs
     w = Window.partitionBy("cell").orderBy("run_start")
