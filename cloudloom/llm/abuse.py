@@ -35,6 +35,9 @@ LIMIT = 0.6
 #: Share of documents, and least number, from which a word near a lexicon word counts as an ordinary word.
 ORDINARY_SHARE, ORDINARY_LEAST = 0.0005, 10
 
+#: Longest word whose results are kept for the next time it is met.
+_KEPT = 64
+
 #: Endings a single word of a language may take.
 ENDINGS = {"en": ("s", "es"), "de": ("e", "en", "er", "es", "em", "n", "s"), "fr": ("s", "e", "es"), "es": ("s", "es"), "ja": ()}
 #: Function words that tell the language of a sentence.
@@ -58,9 +61,13 @@ _TAG = re.compile(r"</?[a-zA-Z][^<>]{0,200}>")
 _WRONG = re.compile("[ÃÂãåæçèéä][\u0080-¿Œ-Ÿ–-™]")
 
 
-@lru_cache(maxsize=200_000)
 def fold(word: str) -> str:
     """Lower case without accents (Latin letters only; kana keep their marks)."""
+    return _fold(word) if len(word) <= _KEPT else _fold.__wrapped__(word)
+
+
+@lru_cache(maxsize=200_000)
+def _fold(word: str) -> str:
     word = word.casefold()
     return "".join(c for c in unicodedata.normalize("NFD", word) if not unicodedata.combining(c))
 
@@ -123,8 +130,15 @@ class Lexicon:
             for c in w:
                 node = node.setdefault(c, {})
             node[""] = w if w in loose else None
-        self.met = lru_cache(maxsize=200_000)(self._meet)
-        self.begun = lru_cache(maxsize=200_000)(self._begin)
+        self.longest = max(map(len, words))
+        self._met = lru_cache(maxsize=200_000)(self._meet)
+        self._begun = lru_cache(maxsize=200_000)(self._begin)
+
+    def met(self, token: str) -> dict[str, int]:
+        return self._met(token) if len(token) <= _KEPT else self._meet(token)
+
+    def begun(self, token: str) -> tuple:
+        return self._begun(token) if len(token) <= _KEPT else self._begin(token)
 
     def _begin(self, token: str) -> tuple[tuple[tuple[str, ...], str, str, int], ...]:
         """Phrases a token may begin: (words, class, language, edits)."""
@@ -143,6 +157,9 @@ class Lexicon:
         for t in {short, re.sub(r"(.)\1+$", r"\1", short), re.sub(r"(.)\1{2,}", r"\1", token)}:
             if t != token and t in self.words:
                 return {t: 0}
+        if len(token) > self.longest + 2:
+            # no term is within two edits
+            return {}
         letters = len(_LETTERS.findall(token))
         masked = letters < len(token.replace("'", ""))
         if masked:

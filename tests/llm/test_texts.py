@@ -191,6 +191,15 @@ def test_masks():
     assert lex.met("12345") == {} and lex.met("*****") == {} and lex.met("batch") == {} and lex.met("b1") == {}
 
 
+@pytest.mark.parametrize("filler", ["x" * 400_000, "ab" * 200_000, "1a" * 200_000, "a," * 200_000, "<" * 100_000, "," + "y" * 400_000, "日本" * 100_000, "a.b" * 100_000])
+def test_very_long_words(filler):
+    import time
+
+    t = time.time()
+    assert abuse.score_text(f"{filler} . You filthy moron.")[0] >= abuse.LIMIT
+    assert time.time() - t < 10
+
+
 def test_scores_of_documents(spark):
     rows = [{"doc_id": k, "text": t, "source": s} for k, (t, s) in enumerate([("You filthy moron.", "a"), ("Nice.", "a"), (None, "a"), ("", "b"), ("  ", None), ("word " * 30000 + "You filthy moron.", "b"), ("You filthy moron.", "a")])]
     got = {r.doc_id: r for r in abuse.score(docs(spark, rows)).collect()}
