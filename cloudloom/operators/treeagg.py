@@ -5,7 +5,7 @@ rounds of ``fan_in`` at a time, so that after log(chunks) rounds one state per k
 receives more than ``fan_in`` partial states of a key, however many rows the key holds.
 
 Defined cases: a null key is no key and has no row, but counts in the total; ties and repeated rows count as often as they
-occur unless ``identity`` names the column that makes a row unique; an empty table gives no rows.
+occur unless ``identity`` names the column that makes a row unique; a sum that leaves 64 bits raises; an empty table gives no rows.
 """
 
 from __future__ import annotations
