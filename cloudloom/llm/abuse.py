@@ -8,7 +8,9 @@ addressed, what is wished, what is offered, what is only told of others or said
 classes in its window, within its sentence; report and goods words nearby take the score down. A document's
 score is that of its highest hit, per category (abuse, hate, sexual).
 
-How it scales: two passes without a shuffle of texts, the first to count the words near lexicon words; a task keeps the matches of the words it met last. Rates per source are one aggregation.
+How it scales: one pass without a shuffle of texts; a task keeps the matches of the words it met last. Rates per source are one aggregation.
+A text's scores depend on nothing but itself: what counts as an ordinary word is a fixed list (``INNOCENT`` and the whole words of the
+tokenizer's vocabulary), not what is frequent in the table.
 
 Defined cases: null, blank and CJK-free empty texts score 0; texts are taken whole, in pieces of sentences; the language is judged per
 sentence, then per text, then by the lang column; repeated ids are scored each; other columns are ignored.
@@ -27,12 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cloudloom.llm import tokens
 from cloudloom.llm.lexicon import INNOCENT, LOOKALIKES, MASKS, TERMS
 from cloudloom.runtime import spread
 
 #: Score from which a document counts as abusive, hateful or sexual.
 LIMIT = 0.6
-#: Share of documents, and least number, from which a word near a lexicon word counts as an ordinary word.
+#: Share of documents, and least number, from which a word near a lexicon word is reported as frequent.
 ORDINARY_SHARE, ORDINARY_LEAST = 0.0005, 10
 
 #: Longest word whose results are kept for the next time it is met.
@@ -94,6 +97,13 @@ def repair(text: str) -> str:
     return _SPELLED.sub(lambda m: re.sub(r"[.\-_·*]", "", m[0]), text)
 
 
+@lru_cache(maxsize=1)
+def real_words() -> frozenset[str]:
+    """Words of the tokenizer's vocabulary, folded: a fixed list of common words of several languages."""
+    whole = (t[1:] for t in tokens.vocabulary() if t[:1] == " " and len(t) > 4 and t[1:].isalpha())
+    return frozenset(fold(t) for t in whole)
+
+
 class Lexicon:
     """Terms by class, the trie of their words, and the automata run against it."""
 
@@ -173,7 +183,11 @@ class Lexicon:
         if len(token) < 4 or token in self.innocent:
             return {}
         edits = 2 if len(token) >= 9 else 1
-        got = {w: k for w, k in self._run(list(token), edits).items() if self._may_be(w, token, k)}
+        got = self._run(list(token), edits)
+        if token in real_words():
+            # the vocabulary holds beginnings of words too: those may be terms cut short
+            got = {w: k for w, k in got.items() if w.startswith(token)}
+        got = {w: k for w, k in got.items() if self._may_be(w, token, k)}
         least = min(got.values(), default=0)
         return {w: k for w, k in got.items() if k == least}
 
@@ -319,11 +333,11 @@ class _Hits:
         return sum(1 for o in self.by.get(cls, ()) if not (o[0] <= hit[1] and hit[0] <= o[1]) and min(abs(o[0] - hit[1]), abs(hit[0] - o[1])) <= within)
 
 
-def _find(words: list[str], sentence: str, langs: list[str], ordinary: frozenset[str] = frozenset()) -> _Hits | None:
+def _find(words: list[str], sentence: str, langs: list[str]) -> _Hits | None:
     lex, hits, n = lexicon(), _Hits(), len(words)
     for i, w in enumerate(words):
         begun = lex.begun(w)
-        if not begun or (ordinary and w.casefold() in ordinary):
+        if not begun:
             continue
         longest: dict[str, int] = {}
         for f, cls, lang, total in begun:
@@ -331,7 +345,7 @@ def _find(words: list[str], sentence: str, langs: list[str], ordinary: frozenset
             if lang not in langs or i + k > n or longest.get(cls, 0) >= k:
                 continue
             for j in range(1, k):
-                e = {} if ordinary and words[i + j].casefold() in ordinary else lex.met(words[i + j])
+                e = lex.met(words[i + j])
                 if f[j] not in e:
                     break
                 total += e[f[j]]
@@ -359,7 +373,13 @@ def _eased(h: _Hits, hit, score: float) -> float:
 def judge(h: _Hits) -> tuple[float, float, float]:
     """Scores (abuse, hate, sexual) of a sentence."""
     abuse = hate = sexual = 0.0
-    addressed = lambda x, d, side=0: h.near("you", x, d, side)
+
+    def addressed(x, d: int, side: int = 0) -> bool:
+        # a misspelling is less sure, so the one it is meant for stands before it or soon after
+        if x[2] and side == 0:
+            return h.near("you", x, d, -1) or h.near("you", x, min(d, 3), 1)
+        return h.near("you", x, d, side)
+
     for x in h.by.get("attack", ()):
         abuse = max(abuse, _eased(h, x, 0.95))
     for x in h.by.get("insult", ()):
@@ -406,8 +426,8 @@ def judge(h: _Hits) -> tuple[float, float, float]:
     return abuse, hate, sexual
 
 
-def score_text(text: str | None, lang: str | None = None, ordinary: frozenset[str] = frozenset()) -> tuple[float, float, float]:
-    """Scores (abuse, hate, sexual) of a text, each from 0 to 1. Words in ``ordinary`` are never misspellings."""
+def score_text(text: str | None, lang: str | None = None) -> tuple[float, float, float]:
+    """Scores (abuse, hate, sexual) of a text, each from 0 to 1."""
     if not text or not text.strip():
         return 0.0, 0.0, 0.0
     parts = [s for s in _SENTENCE.findall(repair(text)) if s.strip()]
@@ -420,7 +440,7 @@ def score_text(text: str | None, lang: str | None = None, ordinary: frozenset[st
         own = _best(tally, 2)
         # a sentence without clear signs follows its text, and may be in the declared language
         langs = own if own and (len(own) == 1 or not set(own) & set(general)) else list({*general, *declared(lang), *_best(tally, 1)})
-        h = _find(words, sentence, langs, ordinary)
+        h = _find(words, sentence, langs)
         if h is not None:
             for k, s in enumerate(judge(h)):
                 best[k] = max(best[k], s)
@@ -428,7 +448,7 @@ def score_text(text: str | None, lang: str | None = None, ordinary: frozenset[st
 
 
 def ordinary_words(docs: DataFrame, share: float = ORDINARY_SHARE, least: int = ORDINARY_LEAST) -> frozenset[str]:
-    """Words near a lexicon word that are too frequent in the corpus to be misspellings of it.
+    """Words near a lexicon word that are frequent in the corpus: what to look at when ``INNOCENT`` is extended. No score uses them.
 
     Counts all documents; only words met as misspellings are counted, combined per batch before the shuffle.
     At most ``words per document / share`` words can pass, so the result is small.
@@ -452,11 +472,10 @@ def ordinary_words(docs: DataFrame, share: float = ORDINARY_SHARE, least: int =
 
 def score(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, source, abuse, hate, sexual, score (the highest) and flagged."""
-    ordinary = ordinary_words(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [score_text(t, l, ordinary) for t, l in zip(b["text"].to_pylist(), b["lang"].to_pylist())]
+            got = [score_text(t, l) for t, l in zip(b["text"].to_pylist(), b["lang"].to_pylist())]
             cols = list(zip(*got)) if got else [(), (), ()]
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["source"], *[pa.array(c, pa.float64()) for c in cols]], names=["doc_id", "source", "abuse", "hate", "sexual"])
 

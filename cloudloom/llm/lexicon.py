@@ -175,7 +175,7 @@ LOOKALIKES = str.maketrans("аеорсухікмтнвАЕОРСУХІКМТНВ
 MASKS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "$": "s", "@": "a", "!": "i", "|": "il", "€": "e", "*": "", "#": "", "%": "", "_": "", "-": ""}
 #: Ordinary words close to a term; never taken for a misspelling of one.
 INNOCENT = (
-    "morning, mornings, warning, second, seconds, settings, setting, jours, jour, verrückt, verrückte, verdrückt, muerte, muerto, vertreten, morire, brûlé, batch, pitch, ditch, witch, hitch, stitch, butch, beach, bench, birch, clock, cook, lock, rock, sock, cocoa, coat, fussy, pushy, fuzzy, bossy, puppy, maroon, where, whole, shore, whose, white, while, pick, thick, brick, trick, price, pricey, print, bits, hits, pits,"
+    "rattle, lieferung, schwester, women's, garage, keller, verein, boden, minutos, morning, mornings, warning, second, seconds, settings, setting, jours, jour, verrückt, verrückte, verdrückt, muerte, muerto, vertreten, morire, brûlé, batch, pitch, ditch, witch, hitch, stitch, butch, beach, bench, birch, clock, cook, lock, rock, sock, cocoa, coat, fussy, pushy, fuzzy, bossy, puppy, maroon, where, whole, shore, whose, white, while, pick, thick, brick, trick, price, pricey, print, bits, hits, pits,"
     " kits, sits, tips, ties, books, boots, booths, boards, borne, corn, pork, part, sex's, six, sax, set, yes, rate, rates, mats, hats, cats, bats, fats, eats, rag, cowl, crow, crown, claw, chock, chuck, choice, chose, stave, starts, start, started, starve's, bone, bones, born, burns, dies, dice, diet, dyed, ride,"
     " hide, tie, fact, fit, ducks, duck, luck, buck, suck up, tuck, truck, stuck, struck, sink, silk, lick's, click, slick, stick, kick, kicks, ship, shirt, shift, short, shot, shut, sheet, suit, skit, spit, split, slit, ask, asked, task, mask, class, glass, mass, pass, grass, brass, bass, asset, assess, assets,"
     " nippy, ripple, nibble, breath, breads, bread, broad, neat, next, neckar, deck, check, knack, dump, dumps, dumbbell, numb, thumb, lumpy, jump, stupor, studio, studied, fifty, filly, faulty, ugly's, fully, fatty, damp, dame, dart, dirt, laying, flying, lining, lifting, living, idiom, radiator, creating,"

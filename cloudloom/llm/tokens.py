@@ -25,12 +25,25 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 PIECE_CHARS = 4096
 
 
+def ranks_of(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+
+
+def vocabulary() -> Iterator[str]:
+    """Tokens of the vocabulary that are text by themselves."""
+    for token in ranks_of(f"{TOKENIZER_DIR}/{TOKENIZER}"):
+        try:
+            yield token.decode()
+        except UnicodeDecodeError:
+            pass
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str):
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    ranks = ranks_of(path)
     return tiktoken.Encoding(os.path.basename(path), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 

@@ -216,6 +216,18 @@ def test_frequent_words_are_no_misspellings(spark):
     assert abuse.score_text("You imbetile.")[0] >= abuse.LIMIT
 
 
+def test_frequent_misspellings_are_found(spark):
+    bad = [{"doc_id": k, "text": "You are a stupid idoit."} for k in range(40)]
+    rest = [{"doc_id": 100 + k, "text": "A fine lamp."} for k in range(60)]
+    for rows in (bad[:1] + rest, bad + rest, bad):
+        assert {r.doc_id for r in abuse.score(docs(spark, rows)).collect() if r.flagged} == {r["doc_id"] for r in rows if r["doc_id"] < 100}
+
+
+@pytest.mark.parametrize("word", ["rattle", "garage", "Lieferung", "Schwester", "money", "form"])
+def test_real_words_are_no_misspellings(word):
+    assert not abuse.lexicon().misspelt(word)
+
+
 def test_queries(spark):
     import os
 
