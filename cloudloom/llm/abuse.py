@@ -2,7 +2,8 @@
 
 Each word of a text is turned into a Levenshtein automaton (one edit from five letters, two from nine; a swap of
 neighbours is one edit; digits and signs stand for the letters they look like) and run against the trie of
-all lexicon words, so misspelled and masked terms are met without listing them. Words and phrases met have
+all lexicon words, so misspelled and masked terms are met without listing them. Edits that easily make another word (in
+words of five letters, or at the first or last letter) are guesses, taken only next to what bears them out (``SUPPORT``). Words and phrases met have
 classes: insults, attacks, harm, groups, degrading words, explicit words, and those that set the context, as who is
 addressed, what is wished, what is offered, what is only told of others or said of goods. A hit is scored by the
 classes in its window, within its sentence; report and goods words nearby take the score down. A document's
@@ -38,6 +39,14 @@ LIMIT = 0.6
 #: Share of documents, and least number, from which a word near a lexicon word is reported as frequent.
 ORDINARY_SHARE, ORDINARY_LEAST = 0.0005, 10
 
+#: Classes that bear out a guessed word of a class: (class, words before it, words after it).
+_THROWN = (("you", 3, 1), ("slur", 2, 1), ("wish", 6, 0), ("vocative", 0, 1), ("insult", 3, 3), ("attack", 4, 4))
+SUPPORT = {
+    "insult": _THROWN, "jibe": _THROWN, "attack": _THROWN, "slur": (("insult", 0, 2), ("jibe", 0, 2)), "harm": (("wish", 6, 0),), "blow": (("wish", 6, 0),),
+    "group": (("degrade", 6, 6),), "degrade": (("group", 6, 6),), "belittle": (("group", 6, 6),),
+    "explicit": (("explicit", 6, 6), ("offer", 6, 6), ("you", 3, 1)), "bodily": (("explicit", 6, 6), ("offer", 6, 6)),
+}
+
 #: Longest word whose results are kept for the next time it is met.
 _KEPT = 64
 
@@ -141,61 +150,70 @@ class Lexicon:
                 node = node.setdefault(c, {})
             node[""] = w if w in loose else None
         self.longest = max(map(len, words))
-        self._met = lru_cache(maxsize=200_000)(self._meet)
+        self._seen = lru_cache(maxsize=200_000)(self._see)
         self._begun = lru_cache(maxsize=200_000)(self._begin)
 
     def met(self, token: str) -> dict[str, int]:
-        return self._met(token) if len(token) <= _KEPT else self._meet(token)
+        return self.seen(token)[0]
+
+    def seen(self, token: str) -> tuple[dict[str, int], dict[str, int]]:
+        """Lexicon words the token may stand for, with their edits: those met, and those guessed if none is met."""
+        return self._seen(token) if len(token) <= _KEPT else self._see(token)
 
     def begun(self, token: str) -> tuple:
         return self._begun(token) if len(token) <= _KEPT else self._begin(token)
 
-    def _begin(self, token: str) -> tuple[tuple[tuple[str, ...], str, str, int], ...]:
-        """Phrases a token may begin: (words, class, language, edits)."""
-        return tuple((*p, edits) for w, edits in self.met(token).items() for p in self.phrases.get(w, ()))
+    def _begin(self, token: str) -> tuple[tuple[tuple[str, ...], str, str, int, bool], ...]:
+        """Phrases a token may begin: (words, class, language, edits, guessed)."""
+        met, guessed = self.seen(token)
+        return tuple((*p, edits, got is guessed) for got in (met, guessed) for w, edits in got.items() for p in self.phrases.get(w, ()) if got is met or p[1] in SUPPORT)
 
     def misspelt(self, token: str) -> bool:
         """True if the token is met only by taking it for a misspelling."""
         return any(self.met(token).values())
 
-    def _meet(self, token: str) -> dict[str, int]:
-        """Lexicon words the token may stand for, with their edits."""
+    def _see(self, token: str) -> tuple[dict[str, int], dict[str, int]]:
         token = fold(token)
         if token in self.words:
-            return {token: 0}
+            return {token: 0}, {}
         short = re.sub(r"(.)\1{2,}", r"\1\1", token)
         for t in {short, re.sub(r"(.)\1+$", r"\1", short), re.sub(r"(.)\1{2,}", r"\1", token)}:
             if t != token and t in self.words:
-                return {t: 0}
+                return {t: 0}, {}
         if len(token) > self.longest + 2:
             # no term is within two edits
-            return {}
+            return {}, {}
         letters = len(_LETTERS.findall(token))
         masked = letters < len(token.replace("'", ""))
         if masked:
             if letters == 0 or len(token) < 3:
-                return {}
+                return {}, {}
             sets = [MASKS.get(c, c) for c in token]
             got = self._run(sets, 0)
             # a mask must leave the word to be recognised: half of it, or both ends
             ends = letters >= 2 and len(token) >= 4 and token[0].isalpha() and token[-1].isalpha()
-            return {w: 0 for w in got if ends or letters * 2 >= len(w)}
+            return {w: 0 for w in got if ends or letters * 2 >= len(w)}, {}
         if len(token) < 4 or token in self.innocent:
-            return {}
+            return {}, {}
         edits = 2 if len(token) >= 9 else 1
         got = self._run(list(token), edits)
         if token in real_words():
             # the vocabulary holds beginnings of words too: those may be terms cut short
             got = {w: k for w, k in got.items() if w.startswith(token)}
-        got = {w: k for w, k in got.items() if self._may_be(w, token, k)}
+        sure = {w: k for w, k in got.items() if self._may_be(w, token, k)}
+        least = min(sure.values(), default=0)
+        if sure:
+            return {w: k for w, k in sure.items() if k == least}, {}
+        # swapped letters of a word of four are met above
+        got = {w: k for w, k in got.items() if len(w) >= (5 if k == 1 else 9)}
         least = min(got.values(), default=0)
-        return {w: k for w, k in got.items() if k == least}
+        return {}, {w: k for w, k in got.items() if k == least}
 
     @staticmethod
     def _may_be(word: str, token: str, edits: int) -> bool:
         if sorted(word) == sorted(token):
             return len(word) >= 4
-        # a change in a short word makes another word, and so does a new ending or beginning
+        # a change in a short word makes another word, and so does a new ending or beginning: those are only guessed
         return len(word) >= 6 and word[0] == token[0] and (edits == 1 or len(word) >= 9) and word[:-1] != token and token[:-1] != word and word[:-1] != token[:-1]
 
     def _run(self, sets: list[str], most: int) -> dict[str, int]:
@@ -319,6 +337,10 @@ class _Hits:
     def add(self, cls: str, first: int, last: int, edits: int) -> None:
         self.by[cls].append((first, last, edits))
 
+    def supported(self, cls: str, hit) -> bool:
+        """True if a guessed hit stands near what bears it out."""
+        return any(self.near(c, hit, before, -1) or self.near(c, hit, after, 1) for c, before, after in SUPPORT[cls])
+
     def near(self, cls: str, hit, within: int, side: int = 0) -> bool:
         """A hit of ``cls`` within so many words; side 1: only after, -1: only before. The hit's own words don't count."""
         for o in self.by.get(cls, ()):
@@ -335,30 +357,41 @@ class _Hits:
 
 def _find(words: list[str], sentence: str, langs: list[str]) -> _Hits | None:
     lex, hits, n = lexicon(), _Hits(), len(words)
+    guesses: list[tuple[str, tuple[int, int, int]]] = []
     for i, w in enumerate(words):
         begun = lex.begun(w)
         if not begun:
             continue
         longest: dict[str, int] = {}
-        for f, cls, lang, total in begun:
+        for f, cls, lang, total, guess in begun:
             k = len(f)
             if lang not in langs or i + k > n or longest.get(cls, 0) >= k:
                 continue
             for j in range(1, k):
-                e = lex.met(words[i + j])
-                if f[j] not in e:
+                met, guessed = lex.seen(words[i + j])
+                if f[j] in met:
+                    total += met[f[j]]
+                elif f[j] in guessed and cls in SUPPORT:
+                    total += guessed[f[j]]
+                    guess = True
+                else:
                     break
-                total += e[f[j]]
             else:
-                longest[cls] = k
-                hits.add(cls, i, i + k - 1, total)
+                if guess:
+                    guesses.append((cls, (i, i + k - 1, total)))
+                else:
+                    longest[cls] = k
+                    hits.add(cls, i, i + k - 1, total)
     if _CJK.search(sentence):
         for term, cls in lex.cjk:
             at = sentence.find(term)
             if at >= 0:
                 hits.add(cls, n + at, n + at + len(term) - 1, 0)
-    if hits.by and _CALLED.search(sentence):
+    if (hits.by or guesses) and _CALLED.search(sentence):
         hits.add("vocative", n, n, 0)
+    # guesses are borne out by what is met, not by each other
+    for cls, hit in [g for g in guesses if hits.supported(*g)]:
+        hits.add(cls, *hit)
     return hits if hits.by else None
 
 

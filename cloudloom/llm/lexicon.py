@@ -179,5 +179,9 @@ INNOCENT = (
     " kits, sits, tips, ties, books, boots, booths, boards, borne, corn, pork, part, sex's, six, sax, set, yes, rate, rates, mats, hats, cats, bats, fats, eats, rag, cowl, crow, crown, claw, chock, chuck, choice, chose, stave, starts, start, started, starve's, bone, bones, born, burns, dies, dice, diet, dyed, ride,"
     " hide, tie, fact, fit, ducks, duck, luck, buck, suck up, tuck, truck, stuck, struck, sink, silk, lick's, click, slick, stick, kick, kicks, ship, shirt, shift, short, shot, shut, sheet, suit, skit, spit, split, slit, ask, asked, task, mask, class, glass, mass, pass, grass, brass, bass, asset, assess, assets,"
     " nippy, ripple, nibble, breath, breads, bread, broad, neat, next, neckar, deck, check, knack, dump, dumps, dumbbell, numb, thumb, lumpy, jump, stupor, studio, studied, fifty, filly, faulty, ugly's, fully, fatty, damp, dame, dart, dirt, laying, flying, lining, lifting, living, idiom, radiator, creating,"
-    " cretan, certain, curtain, scrum, scam, scan, slim, slime, slum, plum, drum, sum, mores, morel, moran, bored, boring, hoped, rope, pope, home, cope, dope, hopes, hole, hose, rats', ration, rather, ratio, bust, bosom, loosen, closer, lower, laser, lose, loss, loose, close, foul, food, foot, tool, pool, wool, cool, spool"
+    " cretan, certain, curtain, scrum, scam, scan, slim, slime, slum, plum, drum, sum, mores, morel, moran, bored, boring, hoped, rope, pope, home, cope, dope, hopes, hole, hose, rats', ration, rather, ratio, bust, bosom, loosen, closer, lower, laser, lose, loss, loose, close, foul, food, foot, tool, pool, wool, cool, spool,"
+    " fair, foto, photo, tout, büro, sauber, tras, viejo, firme, lampe, vendre, ombre, borro, torra, gorra, gorras, borra, porra, zorro, jamón, barro, buró, cerco, lerdo, rutas, patas, latas, datos, ramas, tonos, tantos, pero, ratos, sordo, bordo, puntas,"
+    " bonne, donne, sonne, tonne, connu, conte, ordre, bordure, abrupt, hache, tache, cache, valeur, monteur, bouchon, salade, canard, bouton, chine, chienne,"
+    " marsch, harsch, barsch, schein, kunde, runde, stunde, hunger, offen, waffen, uhren, matte, latte, hatte, platte, watte, miete, biete, jacke, backe, liege, wiege, fliege, ziegel, siege, pumpe, kenner, renner, nenner, penne, frau, tram,"
+    " mormon, boron, botch, whorl, shank, skunk, spank, swank, stank, cramp, trample, banker, canker, tanker, hanker, sucker, tucker, salad, mustard, custard, looser, lover, brook, croak, blown, flown, snare, stake, twine, swing, shine, creek, crepe, cleat, leach, beech, break, wreak, puppet, roads, loads, boats, coats, tests, vests, rests, nests, forks, works, corks, turns, slots, slats, slits, counts, hunts"
 )

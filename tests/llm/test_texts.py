@@ -228,6 +228,20 @@ def test_real_words_are_no_misspellings(word):
     assert not abuse.lexicon().misspelt(word)
 
 
+@pytest.mark.parametrize("word", ["moroon", "morom", "bittch", "whor", "creti", "pricl", "ibiot", "xastard"])
+def test_guesses_need_context(word):
+    assert not abuse.lexicon().met(word) and abuse.lexicon().seen(word)[1]
+    for text in (f"You are a {word}.", f"What a stupid {word}.", f"Shut it, {word}!"):
+        assert abuse.score_text(text)[0] >= abuse.LIMIT, text
+    for text in (f"The {word} lamp is here, you see.", f"We bought it at {word} and the seller was quick.", f"A {word} and a {word} are in the box."):
+        assert max(abuse.score_text(text)) < abuse.LIMIT, text
+
+
+@pytest.mark.parametrize("text", ["You banker.", "Votre ordre est prêt, je vous donne une bonne note.", "Tu gorra es la mejor.", "Deine Matte ist da, du Kunde.", "You sell stupid cheap mustard."])
+def test_real_words_are_not_guessed(text):
+    assert max(abuse.score_text(text)) < abuse.LIMIT
+
+
 def test_queries(spark):
     import os
 
