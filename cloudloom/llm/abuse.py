@@ -47,6 +47,9 @@ SUPPORT = {
     "explicit": (("explicit", 6, 6), ("offer", 6, 6), ("you", 3, 1)), "bodily": (("explicit", 6, 6), ("offer", 6, 6)),
 }
 
+#: Characters of Japanese that count as a word in windows.
+CJK_WORD = 2.5
+
 #: Longest word whose results are kept for the next time it is met.
 _KEPT = 64
 
@@ -332,9 +335,9 @@ class _Hits:
     """Class hits of a sentence: (first, last, edits) by class, and distances between them."""
 
     def __init__(self):
-        self.by: dict[str, list[tuple[int, int, int]]] = defaultdict(list)
+        self.by: dict[str, list[tuple[float, float, int]]] = defaultdict(list)
 
-    def add(self, cls: str, first: int, last: int, edits: int) -> None:
+    def add(self, cls: str, first: float, last: float, edits: int) -> None:
         self.by[cls].append((first, last, edits))
 
     def supported(self, cls: str, hit) -> bool:
@@ -383,10 +386,12 @@ def _find(words: list[str], sentence: str, langs: list[str]) -> _Hits | None:
                     longest[cls] = k
                     hits.add(cls, i, i + k - 1, total)
     if _CJK.search(sentence):
+        # places are in words of mean length, so that windows reach as far as in other languages
         for term, cls in lex.cjk:
             at = sentence.find(term)
-            if at >= 0:
-                hits.add(cls, n + at, n + at + len(term) - 1, 0)
+            while at >= 0:
+                hits.add(cls, n + at / CJK_WORD, n + (at + len(term) - 1) / CJK_WORD, 0)
+                at = sentence.find(term, at + len(term))
     if (hits.by or guesses) and _CALLED.search(sentence):
         hits.add("vocative", n, n, 0)
     # guesses are borne out by what is met, not by each other

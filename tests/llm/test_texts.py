@@ -242,6 +242,19 @@ def test_real_words_are_not_guessed(text):
     assert max(abuse.score_text(text)) < abuse.LIMIT
 
 
+@pytest.mark.parametrize("k,text", [
+    (0, "お前は本当にどうしようもない間抜けだ"), (1, "外国人の客が多い店で買いましたが、品物はとても良くて安かったので満足です、でも外国人は害虫だ"),
+    (0, "お前から買ったのは去年の夏のことでしたが、品物の到着がとても遅かったし、お前は間抜けだ"),
+])
+def test_long_japanese_sentences(k, text):
+    assert abuse.score_text(text, "ja")[k] >= abuse.LIMIT
+
+
+@pytest.mark.parametrize("text", ["外国人の客が多い店ですが、駅から近くて品物も安く、店内もきれいで店員も親切でした、そして雨の日でも濡れずに入れるのがとても助かりますし、先週は台所で使う害虫の駆除剤を買いました", "間抜けな音がするが安い"])
+def test_long_japanese_sentences_left_alone(text):
+    assert max(abuse.score_text(text, "ja")) < abuse.LIMIT
+
+
 def test_queries(spark):
     import os
 
