@@ -16,7 +16,8 @@ and caps count as 0; repeated ids draw alike; an empty table gives an empty resu
 
 from __future__ import annotations
 
-from math import exp, inf, isinf
+from itertools import accumulate
+from math import exp, inf, isinf, lgamma, log, sqrt
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,11 +28,23 @@ from cloudloom.runtime import is_small, materialize
 #: Sources a target table may list; it is a table of settings, joined by broadcast.
 MOST_SOURCES = 100_000
 
+#: Mean from which probabilities are taken from logarithms: exp(-mean) is too small for a double beyond 745.
+LARGE = 500
+
+
+def _around(mean: float, cap: int) -> tuple[range, list[float]]:
+    """Numbers of copies below ``cap`` that a Poisson law of a large mean reaches at all, and their probabilities."""
+    reach = 40 * sqrt(mean) + 40
+    near = range(min(cap, max(0, int(mean - reach))), min(cap, int(mean + reach)))
+    return near, [exp(k * log(mean) - mean - lgamma(k + 1)) for k in near]
+
 
 def capped_mean(mean: float, cap: int) -> float:
     """Expected copies: E[min(Poisson(mean), cap)]."""
     if isinf(mean):
         return cap
+    if mean > LARGE:
+        return cap - sum((cap - k) * p for k, p in zip(*_around(mean, cap)))
     p, below, tail_free = exp(-mean), 0.0, 0.0
     for k in range(cap):
         below += k * p
@@ -49,8 +62,6 @@ def poisson_mean(rate: float, cap: int) -> float:
     low, high = 0.0, 1.0
     while capped_mean(high, cap) < rate:
         high *= 2
-        if high > 700:
-            return inf
     for _ in range(80):
         mid = (low + high) / 2
         low, high = (mid, high) if capped_mean(mid, cap) < rate else (low, mid)
@@ -61,6 +72,10 @@ def thresholds(mean: float, cap: int) -> list[float]:
     """Cumulative Poisson probabilities of 0 .. cap - 1 copies; a uniform number has passed as many as it takes copies."""
     if isinf(mean):
         return [-1.0] * cap
+    if mean > LARGE:
+        near, ps = _around(mean, cap)
+        sums = list(accumulate(ps))
+        return [0.0] * near.start + sums + [sums[-1] if sums else 0.0] * (cap - near.stop)
     out, p, total = [], exp(-mean), 0.0
     for k in range(cap):
         total += p

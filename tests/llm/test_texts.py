@@ -100,6 +100,16 @@ def test_poisson():
     assert mixing.poisson_mean(3, 3) == float("inf") and mixing.thresholds(float("inf"), 3) == [-1.0] * 3 and mixing.poisson_mean(0, 3) == 0
 
 
+def test_poisson_of_large_means():
+    for rate, cap in ((300, 10_000), (600, 10_000), (600, 601), (5000, 10_000), (9_999, 10_000)):
+        mean = mixing.poisson_mean(rate, cap)
+        t = mixing.thresholds(mean, cap)
+        assert abs(mixing.capped_mean(mean, cap) - rate) < 1e-4 * rate and len(t) == cap and t == sorted(t)
+        assert abs(sum(1 - x for x in t) - rate) < 1e-4 * rate
+    # both ways of taking probabilities agree where they meet
+    assert abs(mixing.capped_mean(499.999, 510) - mixing.capped_mean(500.001, 510)) < 0.01
+
+
 def test_mix(spark):
     rng = random.Random(3)
     rows = [{"doc_id": k, "text": "word " * rng.randint(5, 40), "source": rng.choice(("big",) * 15 + ("small",) * 4 + ("other", None))} for k in range(6000)]
