@@ -1,8 +1,13 @@
 """Per-key results without imbalance: multi-level tree aggregation.
 
-Input is combined in chunks of fixed size, each for itself, and the chunks' states are merged in
-rounds of ``fan_in`` at a time, so that after log(chunks) rounds one state per key is left. No task
-receives more than ``fan_in`` partial states of a key, however many rows the key holds.
+A chunk is what one task holds after the shuffle that makes rows unique; adaptive execution keeps chunks at
+``spark.sql.adaptive.advisoryPartitionSizeInBytes``. Each chunk is combined where it lies, so a task hands on one
+state per key it holds, however many rows or chunks there are. States are then merged in rounds of ``fan_in`` chunks
+at a time until one state per key is left: no task receives more than ``fan_in`` partial states of a key, and no
+round moves more than the states of the one before.
+
+A chunk is told by the number of its task, which stays the same when a lost task is run again, so a rerun can
+neither count a row twice nor lose it.
 
 Defined cases: a null key is no key and has no row, but counts in the total; ties and repeated rows count as often as they
 occur unless ``identity`` names the column that makes a row unique; a sum that leaves 64 bits raises; an empty table gives no rows.
@@ -10,61 +15,64 @@ occur unless ``identity`` names the column that makes a row unique; a sum that l
 
 from __future__ import annotations
 
-from math import ceil
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of a chunk, and states merged at a time.
-CHUNK_ROWS = 1 << 18
+#: States merged at a time.
 FAN_IN = 16
 
 #: How each kind of state is made from a column and merged with others of its kind.
 _MAKE = {"count": lambda c: F.count(c), "sum": lambda c: F.sum(c), "min": lambda c: F.min(c), "max": lambda c: F.max(c)}
 _MERGE = {"count": F.sum, "sum": F.sum, "min": F.min, "max": F.max}
 
+States = dict[str, tuple[str, str | Column]]
+
 
-def chunked(df: DataFrame, identity: str, rows: int, chunk_rows: int = CHUNK_ROWS) -> tuple[DataFrame, int]:
-    """Adds the chunk number (column ``chunk``) of each row and says how many there are: ``rows / chunk_rows``, spread by hash."""
-    chunks = max(1, ceil(rows / chunk_rows))
-    return df.withColumn("chunk", F.pmod(F.xxhash64(identity), F.lit(chunks)).cast("int")), chunks
+def most_chunks(df: DataFrame) -> int:
+    """Bound on the tasks that can follow a shuffle; adaptive execution only ever joins some."""
+    conf = df.sparkSession.conf
+    first = conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None)
+    return max(int(conf.get("spark.sql.shuffle.partitions")), int(first or 1))
 
 
-def tree_aggregate(
-    df: DataFrame, keys: list[str], states: dict[str, tuple[str, str | Column]], chunks: int, fan_in: int = FAN_IN
-) -> DataFrame:
-    """``states`` maps an output name to (kind, column), kind one of count, sum, min, max. ``df`` has a ``chunk`` column."""
-    part = df.groupBy(*keys, "chunk").agg(*[_MAKE[kind](c).alias(name) for name, (kind, c) in states.items()])
+def combine(df: DataFrame, keys: list[str], states: States, fan_in: int = FAN_IN) -> DataFrame:
+    """First round: every chunk by itself, on the side of the task that holds it, then ``fan_in`` chunks together.
+
+    ``states`` maps an output name to (kind, column), kind one of count, sum, min, max. The result has a ``chunk`` column.
+    """
+    return df.groupBy(*keys, F.floor(F.spark_partition_id() / fan_in).cast("int").alias("chunk")).agg(*[_MAKE[kind](c).alias(name) for name, (kind, c) in states.items()])
+
+
+def merge_rounds(part: DataFrame, keys: list[str], states: States, chunks: int, fan_in: int = FAN_IN) -> DataFrame:
+    """Further rounds: merges the states of ``part``, whose ``chunk`` is below ``chunks``, until one is left per key."""
     while chunks > 1:
-        chunks = ceil(chunks / fan_in)
-        up = F.floor(F.col("chunk") / fan_in).cast("int").alias("chunk")
-        part = part.groupBy(*keys, up).agg(*[_MERGE[kind](name).alias(name) for name, (kind, _) in states.items()])
+        chunks = -(-chunks // fan_in)
+        up = [F.floor(F.col("chunk") / fan_in).cast("int").alias("chunk")] if chunks > 1 else []
+        part = part.groupBy(*keys, *up).agg(*[_MERGE[kind](name).alias(name) for name, (kind, _) in states.items()])
     return part.drop("chunk")
 
 
-def per_value(
-    df: DataFrame, fields: list[str], identity: str, values: list[str] = (), chunk_rows: int = CHUNK_ROWS, fan_in: int = FAN_IN
-) -> DataFrame:
+def tree_aggregate(df: DataFrame, keys: list[str], states: States, chunks: int, fan_in: int = FAN_IN) -> DataFrame:
+    """One row per key: chunks (tasks of ``df``, at most ``chunks``) are combined where they lie and merged in rounds."""
+    return merge_rounds(combine(df, keys, states, fan_in), keys, states, -(-chunks // fan_in), fan_in)
+
+
+def per_value(df: DataFrame, fields: list[str], identity: str, values: list[str] = (), fan_in: int = FAN_IN) -> DataFrame:
     """For every value of every field: rows, and count, sum, lowest and highest of each column in ``values``.
 
     Columns: field_name, key_value (null stands for rows without a value), rows, then n_, sum_, min_, max_ per value.
     Rows count once per ``identity``. All fields are served by one pass: chunks are combined by the
     tuple of fields first and taken apart when few states are left.
     """
-    total = df.count()
     one = df.where(F.col(identity).isNotNull()).groupBy(identity).agg(*[F.min(c).alias(c) for c in dict.fromkeys([*fields, *values])])
-    parts, chunks = chunked(one, identity, total, chunk_rows)
-    states = {"rows": ("count", F.lit(1))}
+    states: States = {"rows": ("count", F.lit(1))}
     for v in values:
         states |= {f"n_{v}": ("count", v), f"sum_{v}": ("sum", F.col(v).cast("long")), f"min_{v}": ("min", v), f"max_{v}": ("max", v)}
-    local = parts.groupBy(*fields, "chunk").agg(*[_MAKE[kind](c).alias(name) for name, (kind, c) in states.items()])
+    local = combine(one, fields, states, fan_in)
     each = F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).cast("long").alias("key_value")) for f in fields])).alias("kv")
     flat = local.select(each, "chunk", *states).select("kv.field_name", "kv.key_value", "chunk", *states)
-    merged = {name: (_MERGED[kind], name) for name, (kind, _) in states.items()}
-    return tree_aggregate(flat, ["field_name", "key_value"], merged, chunks, fan_in)
-
-
-_MERGED = {"count": "sum", "sum": "sum", "min": "min", "max": "max"}
+    # taking tuples apart leaves several states of a value in a chunk: at least one more round puts them together
+    return merge_rounds(flat, ["field_name", "key_value"], states, max(2, -(-most_chunks(df) // fan_in)), fan_in)
 
 
 def heavy_values(per: DataFrame, limits: dict[str, float]) -> DataFrame:

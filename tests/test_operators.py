@@ -150,8 +150,8 @@ def test_tree_aggregation(spark):
     rng = random.Random(4)
     rows = [{"point_id": i, "classification": 2 if rng.random() < 0.5 else rng.choice((None, 1, 3, 4)), "point_source_ID": rng.choice((7, 7, 7, 8, None, *range(20))), "Z": rng.choice((None, 1, 5, -3))} for i in range(3000)]
     df = cloud(spark, rows + rows[:500])
-    for chunk, fan in ((10, 2), (100, 16), (10**6, 2)):
-        per = treeagg.per_value(df, ["classification", "point_source_ID"], "point_id", ["Z"], chunk, fan).collect()
+    for fan in (2, 3, 16):
+        per = treeagg.per_value(df, ["classification", "point_source_ID"], "point_id", ["Z"], fan).collect()
         got = {(r.field_name, r.key_value): (r["rows"], r.n_Z, r.sum_Z, r.min_Z, r.max_Z) for r in per}
         assert len(got) == len(per)
         for f in ("classification", "point_source_ID"):
@@ -164,6 +164,42 @@ def test_tree_aggregation(spark):
     assert treeagg.per_value(df.limit(0), ["classification"], "point_id").count() == 0
 
 
+def shuffled(df):
+    """Records each exchange of a plan wrote, from the scan up."""
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = df.select("*")
+        df.collect()
+        found, nodes = [], [df._jdf.queryExecution().executedPlan()]
+        while nodes:
+            node = nodes.pop()
+            metrics = node.metrics()
+            if metrics.contains("shuffleRecordsWritten"):
+                found.append(metrics.apply("shuffleRecordsWritten").value())
+            nodes += [node.children().apply(k) for k in range(node.children().size())]
+        return found[::-1]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_chunks_are_combined_where_they_lie(spark):
+    rows = [{"point_id": i, "classification": i % 3, "point_source_ID": i % 2} for i in range(20000)]
+    df = cloud(spark, rows)
+    small, parts = {}, spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in (4, 40):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            per = treeagg.per_value(df, ["classification", "point_source_ID"], "point_id", fan_in=4)
+            small[n] = shuffled(per)
+            assert {(r.field_name, r.key_value): r["rows"] for r in per.collect()} == {**{("classification", k): len(range(k, 20000, 3)) for k in range(3)}, **{("point_source_ID", k): 10000 for k in range(2)}}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    # a task leaves one state per tuple it holds, six at most, and each round a fourth of the chunks
+    assert small[4][1] == 6 * 4 and small[40][1] == 6 * 40 and len(small[40]) > len(small[4])
+    assert small[40][2:] == sorted(small[40][2:], reverse=True) and small[40][2] <= 12 * 10
+
+
 # -- proximity
 
 ZONES = "zone_id long, zone_name string, shape string, min_x int, min_y int, max_x int, max_y int, centre_x int, centre_y int, radius int"
