@@ -1,17 +1,18 @@
 """Implausible readings per source: robust decomposition, generalised ESD limits, run and range checks.
 
 Readings of a source are taken per file in ``point_index`` order. Each series is split into a trend
-(running median), an optional seasonal part (median of the detrended readings by phase) and a residual.
-Residuals are judged per source: its usual scatter is ``1.4826 * median(|residual|)``, at least
-``min_scatter``, and the generalised extreme studentised deviate test with that robust scale gives the
-limit beyond which residuals are outliers. An outlier is reported as a spike if it also exceeds
-``spike_scatters`` usual scatters. Stuck runs and impossible values have their own checks.
+(running median), a seasonal part where there is one (``deseason``) and a residual. Residuals are judged per
+source: its usual scatter is ``1.4826 * median(|residual|)``, at least ``min_scatter``, and the generalised extreme
+studentised deviate test with that robust scale gives the limit from which residuals are outliers. An outlier is
+also a spike if it exceeds ``spike_scatters`` usual scatters. Stuck runs and impossible values have their own checks.
 
 How it scales: one shuffle by (source, file); every task decomposes whole series in vectors as they
 stream past. The per-source median and the ESD ranks come from a histogram of residuals, combined on the
-map side, so a source with a third of all rows costs no more than any other. A series of more than
-``split_rows`` rows is cut into blocks of point_index which carry a margin wide enough that every
-window and run is seen whole (``_block_margins``).
+map side, so a source with a third of all rows costs no more than any other; ranking it is one task per source
+and field, over as many rows as there are different residuals. A series of more than ``split_rows`` rows is cut into
+blocks of ordinals, field by field. A block carries the few readings its windows reach over to, and of the runs
+that come in from the left only (value, length): what a block hands on never grows with the run (``_carried``).
+So rows moved stay in proportion to rows read even where a series is constant, and no result depends on the cut.
 
 Defined cases: a null reading or source is left out; rows sent again (same file_id and point_index)
 count once; an empty table gives an empty result; other columns are ignored.
@@ -26,7 +27,6 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from cloudloom.runtime import BROADCAST_ROWS, is_small, materialize
 
@@ -35,15 +35,13 @@ RANGES = (("Z", -50_000, 900_000), ("intensity", 0, 65_535))
 
 IMPOSSIBLE, STUCK = 1, 2
 
-_DECOMPOSED = T.StructType(
-    [
-        T.StructField("source", T.IntegerType()),
-        T.StructField("field", T.ByteType()),
-        T.StructField("twice", T.LongType()),
-        T.StructField("flags", T.ByteType()),
-        T.StructField("point_id", T.LongType()),
-    ]
-)
+#: Cycles a phase must have been seen for its seasonal part to count, and standard errors of a median it must reach.
+CYCLES, SEASON_ERRORS = 8, 5.0
+#: Standard error of a median of n normal readings, in scatters / sqrt(n).
+_MEDIAN_ERROR = 1.2533
+
+_DECOMPOSED = pa.schema([("source", pa.int32()), ("file_id", pa.int64()), ("field", pa.int8()), ("phase", pa.int32()), ("twice", pa.int64()), ("flags", pa.int8()), ("point_id", pa.int64())])
+_DECOMPOSED_SQL = "source int, file_id long, field byte, phase int, twice long, flags byte, point_id long"
 _CHUNK = 1 << 17
 
 
@@ -104,44 +102,21 @@ def stuck_runs(v: np.ndarray, series: np.ndarray, length: int, tolerance: int) -
     return np.cumsum(delta[:-1]) > 0
 
 
-def _seasonal(residual: np.ndarray, first: np.ndarray, series: np.ndarray, period: int) -> np.ndarray:
-    phase = (np.arange(len(residual)) - first) % period
-    s = pd.Series(residual).groupby([series, phase]).transform("median")
-    return np.rint(s.to_numpy()).astype(np.int64)
+def _bounds(series: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last position of the series each reading belongs to."""
+    edge = np.flatnonzero(np.append(True, np.diff(series) != 0))
+    size = np.diff(np.append(edge, len(series)))
+    return np.repeat(edge, size), np.repeat(edge + size - 1, size)
 
 
-def _series_judge(ranges, half: int, run_length: int, tolerance: int, period: int):
-    def judge(t: pa.Table) -> pa.RecordBatch | None:
-        source = t["source"].to_numpy()
-        key = [t[c].to_numpy() for c in ("source", "file_id", "block")]
-        index, home, pid = t["point_index"].to_numpy(), t["home"].to_numpy(zero_copy_only=False), t["point_id"].to_numpy()
-        new = np.ones(len(source), bool)
-        new[1:] = np.any([k[1:] != k[:-1] for k in key], axis=0)
-        again = np.zeros(len(source), bool)
-        again[1:] = ~new[1:] & (index[1:] == index[:-1])
-        series = np.cumsum(new)
-        out = []
-        for code, (name, low, high) in enumerate(ranges):
-            col = t[name]
-            keep = ~again & ~np.asarray(col.is_null())
-            if not keep.any():
-                continue
-            v = col.filter(pa.array(keep)).to_numpy().astype(np.int64)
-            s = series[keep]
-            edge = np.flatnonzero(np.append(True, np.diff(s) != 0))
-            size = np.diff(np.append(edge, len(s)))
-            first, last = np.repeat(edge, size), np.repeat(edge + size - 1, size)
-            twice = 2 * v - running_median(v, first, last, half)
-            if period > 1:
-                twice = twice - _seasonal(twice, first, s, period)
-            flags = ((v < low) | (v > high)).astype(np.int8) * IMPOSSIBLE
-            flags |= stuck_runs(v, s, run_length, tolerance).astype(np.int8) * STUCK
-            own = home[keep]
-            out.append([source[keep][own], np.full(own.sum(), code, np.int8), np.abs(twice)[own], flags[own], pid[keep][own]])
-        if not out:
-            return None
-        cols = [np.concatenate(c) for c in zip(*out)]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int8(), pa.int64(), pa.int8(), pa.int64()))], names=_DECOMPOSED.names)
+def _new_keys(t: pa.Table, names: tuple[str, ...]) -> np.ndarray:
+    new = np.ones(t.num_rows, bool)
+    new[1:] = np.any([k[1:] != k[:-1] for k in (t[c].to_numpy() for c in names)], axis=0)
+    return new
+
+
+def _whole_groups(judge, names: tuple[str, ...]):
+    """Hands whole groups of rows sorted by ``names`` to ``judge``, some ``_CHUNK`` rows at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -152,11 +127,7 @@ def _series_judge(ranges, half: int, run_length: int, tolerance: int, period: in
             if rows < _CHUNK:
                 continue
             t = pa.Table.from_batches(held)
-            same = np.ones(rows, bool)
-            for c in ("source", "file_id", "block"):
-                k = t[c].to_numpy()
-                same &= k == k[-1]
-            whole = rows - int(np.argmin(same[::-1])) if not same.all() else 0
+            whole = int(np.flatnonzero(_new_keys(t, names))[-1])
             if whole:
                 if (r := judge(t.slice(0, whole))) is not None:
                     yield r
@@ -168,113 +139,235 @@ def _series_judge(ranges, half: int, run_length: int, tolerance: int, period: in
     return run
 
 
-def _block_margins(readings: DataFrame, names: list[str], half: int, run_length: int, span: int, fine: int) -> DataFrame:
-    """Per fine block of point_index: how far left and right a reading in it may have to look, in fine blocks.
+def _batch(parts: list[list[np.ndarray]]) -> pa.RecordBatch | None:
+    if not parts:
+        return None
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), k) for c, k in zip(zip(*parts), _DECOMPOSED.types)], schema=_DECOMPOSED)
 
-    To the left until a block holds enough readings for the window and no run can span it (its values
-    lie further apart than a run allows), to the right until a block can complete a shortest run.
-    """
-    need = max(half, run_length) + 1
-    series = Window.partitionBy("source", "file_id")
-    b = readings.withColumn("fine", F.floor(F.col("point_index") / fine)).groupBy("source", "file_id", "fine").agg(
-        *[F.count(c).alias(f"n_{c}") for c in names], *[(F.max(c).cast("long") - F.min(c)).alias(f"w_{c}") for c in names]
-    )
-    enough = closed = F.lit(True)
-    for c in names:
-        absent = F.sum(f"n_{c}").over(series) == 0
-        enough &= absent | (F.col(f"n_{c}") >= need)
-        closed &= absent | ((F.col(f"n_{c}") >= need) & (F.col(f"w_{c}") > span))
-    w = series.orderBy("fine")
-    return b.withColumns({"closed": closed, "enough": enough}).select(
-        "source", "file_id", "fine",
-        F.coalesce(F.last(F.when(F.col("closed"), F.col("fine")), True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.min("fine").over(series)).alias("left_stop"),
-        F.coalesce(F.first(F.when(F.col("enough"), F.col("fine")), True).over(w.rowsBetween(1, Window.unboundedFollowing)), F.max("fine").over(series)).alias("right_stop"),
+
+def _judge_series(ranges, half: int, run_length: int, tolerance: int, period: int):
+    """Whole series, all fields in one row each."""
+
+    def judge(t: pa.Table) -> pa.RecordBatch | None:
+        source, file, index, pid = (t[c].to_numpy() for c in ("source", "file_id", "point_index", "point_id"))
+        new = _new_keys(t, ("source", "file_id"))
+        again = np.zeros(len(source), bool)
+        again[1:] = ~new[1:] & (index[1:] == index[:-1])
+        series = np.cumsum(new)
+        out = []
+        for code, (name, low, high) in enumerate(ranges):
+            keep = ~again & ~np.asarray(t[name].is_null())
+            if not keep.any():
+                continue
+            v = t[name].filter(pa.array(keep)).to_numpy().astype(np.int64)
+            s = series[keep]
+            first, last = _bounds(s)
+            twice = 2 * v - running_median(v, first, last, half)
+            flags = ((v < low) | (v > high)).astype(np.int8) * IMPOSSIBLE
+            flags |= stuck_runs(v, s, run_length, tolerance).astype(np.int8) * STUCK
+            phase = (np.arange(len(v)) - first) % max(1, period)
+            out.append([source[keep], file[keep], np.full(len(v), code, np.int8), phase, twice, flags, pid[keep]])
+        return _batch(out)
+
+    return judge
+
+
+_BLOCK_KEY = ("source", "file_id", "field", "block")
+
+
+def _judge_blocks(ranges, half: int, run_length: int, tolerance: int, period: int):
+    """Blocks of one field of a long series; rows with a negative ordinal bring runs that come in: (value, length)."""
+    lows, highs = (np.array([r[k] for r in ranges], np.int64) for k in (1, 2))
+
+    def judge(t: pa.Table) -> pa.RecordBatch | None:
+        series = np.cumsum(_new_keys(t, _BLOCK_KEY))
+        ordinal, value, length = (t[c].to_numpy() for c in ("ordinal", "v", "length"))
+        incoming = ordinal < 0
+        carried = list(zip(series[incoming], value[incoming], length[incoming]))
+        real = ~incoming
+        source, file, field, pid, home = (t[c].filter(pa.array(real)).to_numpy(zero_copy_only=False) for c in ("source", "file_id", "field", "point_id", "home"))
+        v, s, at = value[real].astype(np.int64), series[real], ordinal[real]
+        if not len(v):
+            return None
+        first, last = _bounds(s)
+        twice = 2 * v - running_median(v, first, last, half)
+        stuck = stuck_runs(v, s, run_length, tolerance)
+        for which, x, before in carried:
+            begin, end = np.searchsorted(s, which), np.searchsorted(s, which, "right")
+            begin += int(np.argmax(home[begin:end])) if begin < end and home[begin:end].any() else end - begin
+            away = np.abs(v[begin:end] - x) > tolerance
+            stop = begin + (int(np.argmax(away)) if away.any() else end - begin)
+            if before + stop - begin >= run_length:
+                stuck[begin:stop] = True
+        flags = ((v < lows[field]) | (v > highs[field])).astype(np.int8) * IMPOSSIBLE | stuck.astype(np.int8) * STUCK
+        home = home.astype(bool)
+        return _batch([[c[home] for c in (source, file, field, at % max(1, period), twice, flags, pid)]])
+
+    return judge
+
+
+_SUMMARY = pa.schema([("source", pa.int32()), ("file_id", pa.int64()), ("field", pa.int8()), ("block", pa.int64()), ("n", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("values", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64()))])
+_SUMMARY_SQL = "source int, file_id long, field byte, block long, n long, low long, high long, values array<long>, lengths array<long>"
+
+
+def _summarise(tolerance: int):
+    """One row per block: its size and range, and the runs still open at its end as (value, length), at most 2 * tolerance + 1."""
+
+    def judge(t: pa.Table) -> pa.RecordBatch:
+        edges = np.append(np.flatnonzero(_new_keys(t, _BLOCK_KEY)), t.num_rows)
+        keys, value = [t[c].to_numpy() for c in _BLOCK_KEY], t["v"].to_numpy().astype(np.int64)
+        rows = []
+        for a, b in zip(edges[:-1], edges[1:]):
+            v = value[a:b]
+            least, most = np.minimum.accumulate(v[::-1])[::-1], np.maximum.accumulate(v[::-1])[::-1]
+            open_ = np.flatnonzero((most - v <= tolerance) & (v - least <= tolerance))
+            x, at = np.unique(v[open_], return_index=True)
+            rows.append((*(k[a] for k in keys), b - a, least[0], most[0], x, b - a - open_[at]))
+        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), _SUMMARY.types)], schema=_SUMMARY)
+
+    return judge
+
+
+def _carried(tolerance: int):
+    """Chains the summaries of a series: which runs come into each block, one row each."""
+
+    def chain(blocks: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple] = []
+        open_: dict[int, int] = {}
+        for r in blocks.sort_values("block").itertuples(index=False):
+            out += [(r.source, r.file_id, r.field, r.block, x, n) for x, n in open_.items()]
+            through = {x: n + r.n for x, n in open_.items() if r.low >= x - tolerance and r.high <= x + tolerance}
+            open_ = {int(x): int(n) for x, n in zip(r.values, r.lengths)} | through
+        return pd.DataFrame(out, columns=["source", "file_id", "field", "block", "v", "length"])
+
+    return chain
+
+
+def _ordinals(rows: DataFrame, key: list[str], bucket: int) -> DataFrame:
+    """Adds the place of each row in its series by ``point_index``, counted bucket by bucket so that no task gets a whole series."""
+    cut = rows.withColumn("bucket", F.floor(F.col("point_index") / bucket))
+    counts = cut.groupBy(*key, "bucket").agg(F.count(F.lit(1)).alias("held"))
+    before = F.sum("held").over(Window.partitionBy(*key).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select(*key, "bucket", F.coalesce(before, F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy(*key, "bucket").orderBy("point_index"))
+    return cut.withColumn("inside", inside).join(counts, [*key, "bucket"]).withColumn("ordinal", F.col("before") + F.col("inside") - 1).drop("bucket", "inside", "before")
+
+
+def _decompose_long(heavy: DataFrame, ranges, half: int, run_length: int, tolerance: int, period: int, block: int) -> DataFrame:
+    """The same as ``_judge_series`` for series that are cut into blocks."""
+    key = ["source", "file_id", "field"]
+    right = max(half, run_length - 1)
+    block = max(block, right, half)
+    each = F.explode(F.array(*[F.struct(F.lit(k).cast("byte").alias("field"), F.col(r[0]).cast("long").alias("v")) for k, r in enumerate(ranges)]))
+    flat = heavy.select("source", "file_id", "point_index", "point_id", each.alias("r")).select("source", "file_id", "r.field", "point_index", "point_id", "r.v").where("v is not null")
+    numbered = _ordinals(flat, key, block).drop("point_index")
+    own, at = F.floor(F.col("ordinal") / block), F.col("ordinal") % block
+    numbered = materialize(numbered.withColumn("own", own))
+    summaries = (
+        numbered.withColumnRenamed("own", "block").repartition(*_BLOCK_KEY).sortWithinPartitions(*_BLOCK_KEY, "ordinal")
+        .mapInArrow(_whole_groups(_summarise(tolerance), _BLOCK_KEY), _SUMMARY_SQL)
     )
+    carried = summaries.groupBy(*key).applyInPandas(_carried(tolerance), "source int, file_id long, field byte, block long, v long, length long")
+    seen = F.array_compact(F.array("own", F.when((at < right) & (F.col("own") > 0), F.col("own") - 1), F.when(at >= block - half, F.col("own") + 1)))
+    copies = numbered.withColumn("block", F.explode(seen)).select(*_BLOCK_KEY, "ordinal", "v", F.lit(0).cast("long").alias("length"), "point_id", (F.col("block") == F.col("own")).alias("home"))
+    runs = carried.select(*_BLOCK_KEY, F.lit(-1).cast("long").alias("ordinal"), "v", "length", F.lit(0).cast("long").alias("point_id"), F.lit(False).alias("home"))
+    ordered = copies.unionByName(runs).repartition(*_BLOCK_KEY).sortWithinPartitions(*_BLOCK_KEY, "ordinal")
+    return ordered.mapInArrow(_whole_groups(_judge_blocks(ranges, half, run_length, tolerance, period), _BLOCK_KEY), _DECOMPOSED_SQL)
 
 
 def decompose(
-    points: DataFrame,
-    ranges=RANGES,
-    window: int = 11,
-    run_length: int = 20,
-    tolerance: int = 1,
-    period: int = 0,
-    split_rows: int = 1 << 20,
-    block: int = 1 << 18,
-    fine: int = 1 << 14,
+    points: DataFrame, ranges=RANGES, window: int = 11, run_length: int = 20, tolerance: int = 1, period: int = 0, split_rows: int = 1 << 20, block: int = 1 << 18
 ) -> DataFrame:
-    """One row per reading: source, field (position in ``ranges``), twice the absolute residual, flags, point_id."""
+    """One row per reading: source, file_id, field (position in ``ranges``), phase, twice the residual, flags, point_id.
+
+    The residual is what the trend leaves; ``deseason`` takes the seasonal part out.
+    """
     names = [r[0] for r in ranges]
     readings = points.select(
-        F.col("point_source_ID").cast("int").alias("source"), "file_id", "point_index", "point_id", *names
+        F.col("point_source_ID").cast("int").alias("source"), F.col("file_id").cast("long"), F.col("point_index").cast("long"), F.col("point_id").cast("long"), *names
     ).where(F.col("point_source_ID").isNotNull() & F.col("file_id").isNotNull() & F.col("point_index").isNotNull() & F.coalesce(*names).isNotNull())
+    how = (ranges, window // 2, run_length, tolerance, period)
+
+    def whole(rows: DataFrame) -> DataFrame:
+        ordered = rows.repartition("source", "file_id").sortWithinPartitions("source", "file_id", "point_index")
+        return ordered.mapInArrow(_whole_groups(_judge_series(*how), ("source", "file_id")), _DECOMPOSED_SQL)
+
     big = readings.groupBy("source", "file_id").count().where(F.col("count") > split_rows).select("source", "file_id")
     if big.isEmpty():
-        cut = readings.withColumns({"block": F.lit(0).cast("long"), "home": F.lit(True)})
-    else:
-        big = materialize(big)
-        heavy = readings.join(big, ["source", "file_id"], "left_semi").dropDuplicates(["source", "file_id", "point_index"])
-        margins = _block_margins(heavy, names, window // 2, run_length, 2 * tolerance, fine)
-        per = block // fine
-        seen = margins.groupBy("source", "file_id", F.floor(F.col("fine") / per).alias("block")).agg(
-            F.min_by("left_stop", "fine").alias("left"), F.max_by("right_stop", "fine").alias("right")
-        ).select("source", "file_id", "block", F.explode(F.sequence("left", "right")).alias("fine"))
-        heavy = heavy.withColumn("fine", F.floor(F.col("point_index") / fine)).join(seen, ["source", "file_id", "fine"])
-        heavy = heavy.withColumn("home", F.floor(F.col("fine") / per) == F.col("block"))
-        light = readings.join(big, ["source", "file_id"], "left_anti").withColumns({"block": F.lit(0).cast("long"), "home": F.lit(True)})
-        cut = light.unionByName(heavy.select(*light.columns))
-    ordered = cut.repartition("source", "file_id", "block").sortWithinPartitions("source", "file_id", "block", "point_index")
-    return ordered.mapInArrow(_series_judge(ranges, window // 2, run_length, tolerance, period), _DECOMPOSED)
-
-
-def _normal_quantile(p: np.ndarray) -> np.ndarray:
-    """Upper quantiles of the normal law for tail probability ``p`` (rational start, then Newton steps on the tail)."""
-    from math import erfc, pi, sqrt
-
-    t = np.sqrt(-2 * np.log(p))
-    z = t - (2.515517 + 0.802853 * t + 0.010328 * t * t) / (1 + 1.432788 * t + 0.189269 * t * t + 0.001308 * t**3)
-    tail = np.vectorize(lambda x: 0.5 * erfc(x / sqrt(2)), otypes=[float])
-    for _ in range(2):
-        z = z + (tail(z) - p) * sqrt(2 * pi) * np.exp(z * z / 2)
-    return z
+        return whole(readings)
+    big = materialize(big)
+    heavy = readings.join(big, ["source", "file_id"], "left_semi").dropDuplicates(["source", "file_id", "point_index"])
+    return whole(readings.join(big, ["source", "file_id"], "left_anti")).unionByName(_decompose_long(heavy, *how, block))
+
+
+def _ranked(readings: DataFrame, key: list[str], value) -> DataFrame:
+    """Histogram of ``value`` per key: value, its count ``c``, rows up to it ``below``, all rows ``n``, and both middle values."""
+    hist = readings.groupBy(*key, value.alias("value")).agg(F.count(F.lit(1)).alias("c"))
+    all_ = Window.partitionBy(*key)
+    up = all_.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = hist.withColumns({"below": F.sum("c").over(up), "n": F.sum("c").over(all_)})
+    return ranked.withColumns(
+        {
+            "lower": F.min(F.when(F.col("below") > F.floor((F.col("n") - 1) / 2), F.col("value"))).over(all_),
+            "upper": F.min(F.when(F.col("below") > F.floor(F.col("n") / 2), F.col("value"))).over(all_),
+        }
+    )
 
 
-def esd_limit(n: np.ndarray, i: np.ndarray, alpha: float) -> np.ndarray:
-    """Limit of the i-th largest studentised deviate among ``n`` readings (generalised ESD test, level ``alpha``)."""
-    n, i = np.asarray(n, float), np.asarray(i, float)
-    free = np.maximum(n - i - 1, 1)
-    z = _normal_quantile(np.maximum(alpha / (2 * (n - i + 1)), 1e-300))
+def _scatter(min_scatter: float):
+    return F.greatest(F.lit(float(min_scatter)), F.lit(1.4826) * (F.col("lower") + F.col("upper")) / 4)
+
+
+def deseason(decomposed: DataFrame, min_scatter: float = 1.0) -> DataFrame:
+    """Takes the seasonal part out of the residuals and adds it as ``season`` (twice, as they are).
+
+    The seasonal part of a phase is the median of its residuals in the series. It counts only where the phase was seen ``CYCLES``
+    times and the median lies ``SEASON_ERRORS`` standard errors from 0, so series without a season are left alone.
+    """
+    key, phase = ["source", "field"], ["source", "file_id", "field", "phase"]
+    scatters = _ranked(decomposed, key, F.abs("twice")).groupBy(*key).agg(F.max(_scatter(min_scatter)).alias("usual"))
+    phases = _ranked(decomposed, phase, F.col("twice")).groupBy(*phase).agg(F.max("n").alias("n"), (F.max("lower") + F.max("upper")).alias("sum"))
+    held = (F.col("n") >= CYCLES) & (F.abs("sum") / 4 > SEASON_ERRORS * _MEDIAN_ERROR * F.col("usual") / F.sqrt("n"))
+    seasons = materialize(phases.join(scatters, key).where(held).select(*phase, F.rint(F.col("sum") / 2).cast("long").alias("season")))
+    if is_small(seasons, BROADCAST_ROWS):
+        seasons = F.broadcast(seasons)
+    out = decomposed.join(seasons, phase, "left").withColumn("season", F.coalesce("season", F.lit(0)))
+    return out.withColumn("twice", F.col("twice") - F.col("season"))
+
+
+def _limit(n, i, alpha: float, log, sqrt):
+    """Limit of the i-th largest studentised deviate among n; numbers, arrays or columns."""
+    # upper quantile of the normal law by a published rational approximation (fixed values), good to 1e-9 for tails under 0.024
+    a = (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00)
+    b = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00)
+    q = sqrt(-2 * log(alpha / (2 * (n - i + 1))))
+    z = -(((((a[0] * q + a[1]) * q + a[2]) * q + a[3]) * q + a[4]) * q + a[5]) / ((((b[0] * q + b[1]) * q + b[2]) * q + b[3]) * q + 1)
     # Student's t from the normal quantile, by its expansion in 1/free
-    t = z + (z**3 + z) / (4 * free) + (5 * z**5 + 16 * z**3 + 3 * z) / (96 * free**2) + (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / (384 * free**3)
-    return (n - i) * t / np.sqrt((free + t * t) * (n - i + 1))
+    free, z3, z5, z7 = n - i - 1, z * z * z, z * z * z * z * z, z * z * z * z * z * z * z
+    t = z + (z3 + z) / (4 * free) + (5 * z5 + 16 * z3 + 3 * z) / (96 * free * free) + (3 * z7 + 19 * z5 + 17 * z3 - 15 * z) / (384 * free * free * free)
+    return (n - i) * t / sqrt((free + t * t) * (n - i + 1))
+
+
+def esd_limit(n: np.ndarray, i: np.ndarray, alpha: float) -> np.ndarray:
+    """Limit of the i-th largest studentised deviate among ``n`` > 2 readings, i up to n/2 (generalised ESD test, level ``alpha``)."""
+    return _limit(np.asarray(n, float), np.asarray(i, float), alpha, np.log, np.sqrt)
 
 
 def source_limits(decomposed: DataFrame, min_scatter: float = 1.0, alpha: float = 0.05) -> DataFrame:
-    """Per source and field: readings, usual scatter and the smallest residual the ESD test rejects (null if none).
+    """Per source and field: readings, usual scatter and the smallest residual the ESD test rejects (``esd_twice``, null if none).
 
     Exact: the histogram of residuals holds the ranks, so neither the median nor the test is estimated.
+    The test looks at up to half of the readings of a source, and at sources of at least three.
     """
-
-    @F.pandas_udf("double")
-    def limit(n: pd.Series, i: pd.Series) -> pd.Series:
-        return pd.Series(esd_limit(n.to_numpy(), i.to_numpy(), alpha))
-
+    if not 0 < alpha <= 0.1:
+        raise ValueError("alpha must be above 0 and at most 0.1")
     key = ["source", "field"]
-    hist = decomposed.groupBy(*key, "twice").agg(F.count(F.lit(1)).alias("c"))
-    up = Window.partitionBy(*key).orderBy("twice").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = hist.withColumns({"below": F.sum("c").over(up), "n": F.sum("c").over(Window.partitionBy(*key))})
-    mid = ranked.withColumns(
-        {
-            "lower": F.min(F.when(F.col("below") > F.floor((F.col("n") - 1) / 2), F.col("twice"))).over(Window.partitionBy(*key)),
-            "upper": F.min(F.when(F.col("below") > F.floor(F.col("n") / 2), F.col("twice"))).over(Window.partitionBy(*key)),
-        }
-    ).withColumn("scatter", F.greatest(F.lit(float(min_scatter)), F.lit(1.4826) * (F.col("lower") + F.col("upper")) / 4))
-    # rank from the top of the last reading with this residual; the test looks at up to half of all readings
-    rank = F.least(F.col("n") - F.col("below") + F.col("c"), F.greatest(F.lit(1), F.floor(F.col("n") / 2)))
-    tested = mid.withColumns({"rank": rank, "deviate": F.col("twice") / 2 / F.col("scatter")})
-    rejected = F.when((F.col("deviate") > 1) & (F.col("n") > 2), F.col("deviate") > limit("n", "rank"))
+    # equal residuals are tested at the rank of the last of them
+    n, rank = F.col("n").cast("double"), (F.col("n") - F.col("below") + F.col("c")).cast("double")
+    tested = _ranked(decomposed, key, F.abs("twice")).withColumn("scatter", _scatter(min_scatter))
+    rejected = F.when((n > 2) & (rank <= F.floor(n / 2)), F.col("value") / 2 / F.col("scatter") > _limit(n, rank, alpha, F.log, F.sqrt))
     return tested.withColumn("rejected", rejected).groupBy(*key).agg(
-        F.max("n").alias("readings"), F.max("scatter").alias("scatter"), F.min(F.when(F.col("rejected"), F.col("twice"))).alias("esd_twice")
+        F.max("n").alias("readings"), F.max("scatter").alias("scatter"), F.min(F.when(F.col("rejected"), F.col("value"))).alias("esd_twice")
     )
 
 
@@ -284,24 +377,36 @@ def implausible(
     spike_scatters: float = 10.0,
     run_scatter: float = 2.0,
     alpha: float = 0.05,
+    period: int = 0,
+    only_spikes: bool = False,
     **how,
 ) -> DataFrame:
-    """Flagged readings: point_id, field_name, point_source_ID, is_impossible, is_spike, is_stuck, residual, scatter."""
-    readings = materialize(decompose(points, ranges, **how))
+    """Flagged readings: point_id, field_name, point_source_ID, is_impossible, is_outlier, is_spike, is_stuck, residual, season, scatter, outlier_from.
+
+    ``is_outlier``: the residual lies beyond the ESD limit of its source, which begins at ``outlier_from``. ``is_spike``: it also exceeds
+    ``spike_scatters`` usual scatters. With ``only_spikes`` outliers that are no spikes are left out. A ``period`` above 1 takes out seasons.
+    """
+    readings = materialize(decompose(points, ranges, period=period, **how))
+    readings = materialize(deseason(readings)) if period > 1 else readings.withColumn("season", F.lit(0).cast("long"))
     limits = materialize(source_limits(readings, alpha=alpha))
     if is_small(limits, BROADCAST_ROWS):
         limits = F.broadcast(limits)
-    # no scatter is under 1, so smaller residuals can't be spikes
-    maybe = readings.where((F.col("flags") > 0) | (F.col("twice") > 2 * spike_scatters))
+    size = F.abs("twice")
+    # no scatter is under 1, so smaller residuals can be no spikes, nor outliers under one scatter
+    maybe = readings.where((F.col("flags") > 0) | (size > (2 * spike_scatters if only_spikes else 0)))
     named = F.element_at(F.array(*[F.lit(r[0]) for r in ranges]), F.col("field").cast("int") + 1)
+    outlier = F.coalesce(size >= F.col("esd_twice"), F.lit(False))
     judged = maybe.join(limits, ["source", "field"]).select(
         "point_id",
         named.alias("field_name"),
         F.col("source").alias("point_source_ID"),
         (F.col("flags").bitwiseAND(IMPOSSIBLE) > 0).alias("is_impossible"),
-        (F.coalesce(F.col("twice") >= F.col("esd_twice"), F.lit(False)) & (F.col("twice") / 2 > spike_scatters * F.col("scatter"))).alias("is_spike"),
+        outlier.alias("is_outlier"),
+        (outlier & (size / 2 > spike_scatters * F.col("scatter"))).alias("is_spike"),
         ((F.col("flags").bitwiseAND(STUCK) > 0) & (F.col("scatter") > run_scatter)).alias("is_stuck"),
         (F.col("twice") / 2).alias("residual"),
+        (F.col("season") / 2).alias("season"),
         "scatter",
+        (F.col("esd_twice") / 2).alias("outlier_from"),
     )
-    return judged.where("is_impossible or is_spike or is_stuck")
+    return judged.where("is_impossible or is_stuck or " + ("is_spike" if only_spikes else "is_outlier"))

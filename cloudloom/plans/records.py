@@ -12,16 +12,18 @@ from cloudloom.runtime import table
 NEAR_UNITS = 25
 #: Shares of all points above which a value is a heavy one.
 HEAVY = {"classification": 0.10, "point_source_ID": 0.04}
+#: Readings of a season that p1_flags looks for.
+PERIOD = 10
 SHARES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spikes.implausible(table(spark, sf_dir, "las_points")).select("point_id", "field_name")
+    return spikes.implausible(table(spark, sf_dir, "las_points"), only_spikes=True).select("point_id", "field_name")
 
 
 def p1_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every flagged reading with what is wrong with it."""
-    return spikes.implausible(table(spark, sf_dir, "las_points"))
+    """Every reading beyond the ESD limit of its source, impossible or stuck, with what is wrong with it; seasons of ``PERIOD`` readings are taken out."""
+    return spikes.implausible(table(spark, sf_dir, "las_points"), period=PERIOD)
 
 
 def p2_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:

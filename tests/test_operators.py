@@ -20,6 +20,25 @@ def cloud(spark, rows):
     return spark.createDataFrame([tuple("other" if n == "SOURCE" else r.get(n) for n in names) for r in rows], POINTS)
 
 
+def shuffled(df):
+    """Records each exchange of a plan wrote, from the scan up."""
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = df.select("*")
+        df.collect()
+        found, nodes = [], [df._jdf.queryExecution().executedPlan()]
+        while nodes:
+            node = nodes.pop()
+            metrics = node.metrics()
+            if metrics.contains("shuffleRecordsWritten"):
+                found.append(metrics.apply("shuffleRecordsWritten").value())
+            nodes += [node.children().apply(k) for k in range(node.children().size())]
+        return found[::-1]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
 # -- implausible readings
 
 
@@ -74,17 +93,17 @@ def spiky(seed, files=6, n=400, sources=(1, 1, 1, 2, 3)):
     return rows
 
 
-@pytest.mark.parametrize("seed,how", [(1, {}), (2, {}), (3, {"split_rows": 50, "block": 64, "fine": 16}), (4, {"split_rows": 50, "block": 32, "fine": 8}), (5, {"split_rows": 100, "block": 128, "fine": 64})])
+@pytest.mark.parametrize("seed,how", [(1, {}), (2, {}), (3, {"split_rows": 50, "block": 64}), (4, {"split_rows": 50, "block": 1}), (5, {"split_rows": 100, "block": 37})])
 def test_spikes(spark, seed, how):
     rows = spiky(seed)
-    got = spikes.implausible(cloud(spark, rows), **how).select("point_id", "field_name")
+    got = spikes.implausible(cloud(spark, rows), only_spikes=True, **how).select("point_id", "field_name")
     found = [tuple(r) for r in got.collect()]
     assert len(found) == len(set(found)) and set(found) == brute_spikes(rows) != set()
 
 
 def test_long_runs_cross_blocks(spark):
     rows = [{"point_id": i, "file_id": 1, "point_index": i, "Z": 500 if 100 <= i < 700 else 1000 + 37 * (i % 11) - 11 * (i % 7), "point_source_ID": 9, "intensity": None} for i in range(1000)]
-    got = spikes.implausible(cloud(spark, rows), split_rows=10, block=32, fine=8)
+    got = spikes.implausible(cloud(spark, rows), only_spikes=True, split_rows=10, block=32)
     assert {(r.point_id, r.field_name) for r in got.collect()} == brute_spikes(rows)
 
 
@@ -107,7 +126,11 @@ def test_running_median_and_runs():
 
 
 def test_outlier_limit_is_below_ten_scatters():
+    from math import erfc, sqrt
+
     n = np.array([3, 4, 5, 10, 100, 1e4, 1e6, 1e9, 1e12])
+    # a huge number of readings makes it the normal law: the tail beyond the limit is alpha / 2n
+    assert abs(0.5 * erfc(spikes.esd_limit([1e12], [1], 0.05)[0] / sqrt(2)) * 2e12 - 0.05) < 1e-6
     for share in (0, 0.1, 0.5):
         i = np.maximum(1, np.floor(n * share))
         limit = spikes.esd_limit(n, i, 0.05)
@@ -120,7 +143,40 @@ def test_seasonal_part(spark):
     rows = [{"point_id": i, "file_id": 1, "point_index": i, "Z": 1000 + (300 if i % 20 == 0 else 0) + i % 3, "point_source_ID": 1} for i in range(400)]
     rows[200]["Z"] = 5000
     ids = lambda **how: {r.point_id for r in spikes.implausible(cloud(spark, rows), ranges=(("Z", -50_000, 900_000),), **how).collect()}
-    assert len(ids()) == 20 and ids(period=20) == {200}
+    assert len(ids(only_spikes=True)) == 20 and ids(period=20) == {200}
+
+
+@pytest.mark.parametrize("block", [1, 70, 300])
+def test_seasons_do_not_depend_on_the_cut(spark, block):
+    rng = random.Random(8)
+    rows = [{"point_id": i, "file_id": 1, "point_index": i, "Z": 1000 + 40 * (i % 50 == 3) + 90 * (i % 50 == 20) + rng.randint(-4, 4), "intensity": rng.randint(0, 9) or None, "point_source_ID": 1} for i in range(3000)]
+    rows[1503]["Z"] = 5000
+    whole, cut = (spikes.implausible(cloud(spark, rows), period=50, **how) for how in ({}, {"split_rows": 100, "block": block}))
+    assert sorted(whole.collect()) == sorted(cut.collect())
+    assert {(r.point_id, r.season) for r in whole.where("field_name = 'Z' and is_spike").collect()} == {(1503, whole.where("point_id = 1503").first().season)}
+    assert 35 < whole.where("point_id = 1503").first().season < 45
+
+
+def test_outliers_by_hand(spark):
+    z = [(3, -3, 7)[i % 3] + (0, 40, 60, 4000)[(i in (30, 90)) + 2 * (i in (60,)) + 0] for i in range(120)]
+    rows = [{"point_id": i, "file_id": 1, "point_index": i, "Z": v, "point_source_ID": 1} for i, v in enumerate(z)]
+    away = sorted(((abs(v - float(np.median(z[max(0, k - 5) : k + 6]))), k) for k, v in enumerate(z)), reverse=True)
+    scatter = max(1.0, 1.4826 * float(np.median([a for a, _ in away])))
+    outliers = max((i for i in range(1, 61) if away[i - 1][0] / scatter > spikes.esd_limit([120], [i], 0.05)[0]), default=0)
+    got = spikes.implausible(cloud(spark, rows)).collect()
+    assert {r.point_id for r in got if r.is_outlier} == {k for _, k in away[:outliers]} != set() and all(r.scatter == scatter for r in got)
+    with pytest.raises(ValueError):
+        spikes.implausible(cloud(spark, rows), alpha=0.5)
+
+
+def test_constant_series_move_in_proportion(spark):
+    moved = {}
+    for n in (4000, 16000):
+        rows = spark.range(n).select(F.col("id").alias("point_id"), F.lit(1).cast("long").alias("file_id"), F.col("id").alias("point_index"), F.lit(7).alias("Z"), F.lit(3).alias("point_source_ID"))
+        got = spikes.decompose(rows, ranges=(("Z", 0, 9),), split_rows=10, block=1000)
+        assert got.where("flags = 2").count() == n
+        moved[n] = sum(shuffled(got))
+    assert moved[16000] < 4.2 * moved[4000]
 
 
 # -- percentiles
@@ -164,25 +220,6 @@ def test_tree_aggregation(spark):
     assert treeagg.per_value(df.limit(0), ["classification"], "point_id").count() == 0
 
 
-def shuffled(df):
-    """Records each exchange of a plan wrote, from the scan up."""
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        df = df.select("*")
-        df.collect()
-        found, nodes = [], [df._jdf.queryExecution().executedPlan()]
-        while nodes:
-            node = nodes.pop()
-            metrics = node.metrics()
-            if metrics.contains("shuffleRecordsWritten"):
-                found.append(metrics.apply("shuffleRecordsWritten").value())
-            nodes += [node.children().apply(k) for k in range(node.children().size())]
-        return found[::-1]
-    finally:
-        spark.conf.set("spark.sql.adaptive.enabled", "true")
-
-
 def test_chunks_are_combined_where_they_lie(spark):
     rows = [{"point_id": i, "classification": i % 3, "point_source_ID": i % 2} for i in range(20000)]
     df = cloud(spark, rows)
