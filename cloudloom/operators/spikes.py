@@ -335,22 +335,36 @@ def deseason(decomposed: DataFrame, min_scatter: float = 1.0) -> DataFrame:
     return out.withColumn("twice", F.col("twice") - F.col("season"))
 
 
-def _limit(n, i, alpha: float, log, sqrt):
-    """Limit of the i-th largest studentised deviate among n; numbers, arrays or columns."""
-    # upper quantile of the normal law by a published rational approximation (fixed values), good to 1e-9 for tails under 0.024
-    a = (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00)
-    b = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00)
-    q = sqrt(-2 * log(alpha / (2 * (n - i + 1))))
-    z = -(((((a[0] * q + a[1]) * q + a[2]) * q + a[3]) * q + a[4]) * q + a[5]) / ((((b[0] * q + b[1]) * q + b[2]) * q + b[3]) * q + 1)
+#: Upper quantile of the normal law by a published rational approximation (fixed values), good to 1e-9 for tails under 0.024.
+_ABOVE = (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00)
+_BELOW = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0)
+
+
+def _polynomial(factors: tuple[float, ...], x):
+    value = factors[0]
+    for f in factors[1:]:
+        value = value * x + f
+    return value
+
+
+#: The limit of the i-th largest studentised deviate among n, one named step after the other, for arrays and for columns.
+_LIMIT_STEPS = {
+    "q": lambda c, alpha, log, sqrt: sqrt(-2 * log(alpha / (2 * (c["n"] - c["i"] + 1)))),
+    "z": lambda c, *_: -_polynomial(_ABOVE, c["q"]) / _polynomial(_BELOW, c["q"]),
+    "free": lambda c, *_: c["n"] - c["i"] - 1,
+    "zz": lambda c, *_: c["z"] * c["z"],
     # Student's t from the normal quantile, by its expansion in 1/free
-    free, z3, z5, z7 = n - i - 1, z * z * z, z * z * z * z * z, z * z * z * z * z * z * z
-    t = z + (z3 + z) / (4 * free) + (5 * z5 + 16 * z3 + 3 * z) / (96 * free * free) + (3 * z7 + 19 * z5 + 17 * z3 - 15 * z) / (384 * free * free * free)
-    return (n - i) * t / sqrt((free + t * t) * (n - i + 1))
+    "t": lambda c, *_: c["z"] * (1 + _polynomial((1, 1), c["zz"]) / (4 * c["free"]) + _polynomial((5, 16, 3), c["zz"]) / (96 * c["free"] * c["free"]) + _polynomial((3, 19, 17, -15), c["zz"]) / (384 * c["free"] * c["free"] * c["free"])),
+    "limit": lambda c, alpha, log, sqrt: (c["n"] - c["i"]) * c["t"] / sqrt((c["free"] + c["t"] * c["t"]) * (c["n"] - c["i"] + 1)),
+}
 
 
 def esd_limit(n: np.ndarray, i: np.ndarray, alpha: float) -> np.ndarray:
     """Limit of the i-th largest studentised deviate among ``n`` > 2 readings, i up to n/2 (generalised ESD test, level ``alpha``)."""
-    return _limit(np.asarray(n, float), np.asarray(i, float), alpha, np.log, np.sqrt)
+    c = {"n": np.asarray(n, float), "i": np.asarray(i, float)}
+    for name, step in _LIMIT_STEPS.items():
+        c[name] = step(c, alpha, np.log, np.sqrt)
+    return c["limit"]
 
 
 def source_limits(decomposed: DataFrame, min_scatter: float = 1.0, alpha: float = 0.05) -> DataFrame:
@@ -363,11 +377,15 @@ def source_limits(decomposed: DataFrame, min_scatter: float = 1.0, alpha: float
         raise ValueError("alpha must be above 0 and at most 0.1")
     key = ["source", "field"]
     # equal residuals are tested at the rank of the last of them
-    n, rank = F.col("n").cast("double"), (F.col("n") - F.col("below") + F.col("c")).cast("double")
-    tested = _ranked(decomposed, key, F.abs("twice")).withColumn("scatter", _scatter(min_scatter))
-    rejected = F.when((n > 2) & (rank <= F.floor(n / 2)), F.col("value") / 2 / F.col("scatter") > _limit(n, rank, alpha, F.log, F.sqrt))
-    return tested.withColumn("rejected", rejected).groupBy(*key).agg(
-        F.max("n").alias("readings"), F.max("scatter").alias("scatter"), F.min(F.when(F.col("rejected"), F.col("value"))).alias("esd_twice")
+    tested = _ranked(decomposed, key, F.abs("twice")).select(
+        *key, "value", _scatter(min_scatter).alias("scatter"), F.col("n").cast("double"), (F.col("n") - F.col("below") + F.col("c")).cast("double").alias("i")
+    )
+    at = {name: F.col(name) for name in ("n", "i", *_LIMIT_STEPS)}
+    for name, step in _LIMIT_STEPS.items():
+        tested = tested.withColumn(name, step(at, alpha, F.log, F.sqrt))
+    rejected = (F.col("n") > 2) & (F.col("i") <= F.floor(F.col("n") / 2)) & (F.col("value") / 2 / F.col("scatter") > F.col("limit"))
+    return tested.groupBy(*key).agg(
+        F.max("n").cast("long").alias("readings"), F.max("scatter").alias("scatter"), F.min(F.when(rejected, F.col("value"))).alias("esd_twice")
     )
 
 
