@@ -104,6 +104,42 @@ SELECT DISTINCT n.point_id, n.field_name FROM n JOIN sc USING (field_name, src)
 WHERE n.v < lo OR n.v > hi OR abs(n.v - lev) > 10 * scatter
    OR EXISTS (SELECT 1 FROM en WHERE en.field_name = n.field_name AND en.src = n.src AND en.file_id = n.file_id
               AND en.rn <= n.rn AND (en.stop IS NULL OR n.rn < en.stop))""",
+    "p1_flags": _ONCE
+    + f"""
+, r AS (
+  SELECT 'Z' AS field_name, point_source_ID AS src, file_id, point_index, point_id, CAST(Z AS BIGINT) AS v, -50000 AS lo, 900000 AS hi
+    FROM pts WHERE Z IS NOT NULL AND point_source_ID IS NOT NULL
+  UNION ALL
+  SELECT 'intensity', point_source_ID, file_id, point_index, point_id, CAST(intensity AS BIGINT), 0, 65535
+    FROM pts WHERE intensity IS NOT NULL AND point_source_ID IS NOT NULL),
+n AS (SELECT *, row_number() OVER s AS rn, (row_number() OVER s - 1) % {PERIOD} AS phase,
+        2 * v - 2 * median(v) OVER (s ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS away,
+        max(v) OVER (s ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) AS top, min(v) OVER (s ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) AS low,
+        count(*) OVER (s ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) AS left_
+      FROM r WINDOW s AS (PARTITION BY field_name, src, file_id ORDER BY point_index)),
+usual AS (SELECT field_name, src, greatest(1.0::DOUBLE, 1.4826::DOUBLE * median(abs(away)) / 2) AS usual FROM n GROUP BY ALL),
+ph AS (SELECT field_name, src, file_id, phase, median(away) AS mid, count(*) AS c FROM n GROUP BY ALL),
+season AS (SELECT field_name, src, file_id, phase, round_even(mid, 0) AS season FROM ph JOIN usual USING (field_name, src)
+           WHERE c >= 8 AND abs(mid) / 2 > 5::DOUBLE * 1.2533::DOUBLE * usual / sqrt(c)),
+d AS (SELECT n.*, coalesce(season, 0) AS season, away - coalesce(season, 0) AS res FROM n LEFT JOIN season USING (field_name, src, file_id, phase)),
+sc AS (SELECT field_name, src, count(*) AS n, greatest(1.0::DOUBLE, 1.4826::DOUBLE * median(abs(res)) / 2) AS scatter FROM d GROUP BY ALL),
+ranked AS (SELECT field_name, src, abs(res) AS size, n::DOUBLE AS n, scatter, (count(*) OVER (PARTITION BY field_name, src ORDER BY abs(res) DESC))::DOUBLE AS i
+           FROM d JOIN sc USING (field_name, src)),
+q AS (SELECT *, sqrt(-2 * ln(0.05::DOUBLE / (2 * (n - i + 1)))) AS q FROM ranked WHERE n > 2 AND i <= floor(n / 2)),
+z AS (SELECT *, n - i - 1 AS free, -(((((-7.784894002430293e-03 * q - 3.223964580411365e-01) * q - 2.400758277161838e+00) * q - 2.549732539343734e+00) * q + 4.374664141464968e+00) * q + 2.938163982698783e+00)
+        / ((((7.784695709041462e-03 * q + 3.224671290700398e-01) * q + 2.445134137142996e+00) * q + 3.754408661907416e+00) * q + 1) AS z FROM q),
+t AS (SELECT *, z + (z ** 3 + z) / (4 * free) + (5 * z ** 5 + 16 * z ** 3 + 3 * z) / (96 * free ** 2) + (3 * z ** 7 + 19 * z ** 5 + 17 * z ** 3 - 15 * z) / (384 * free ** 3) AS t FROM z),
+esd AS (SELECT field_name, src, min(size) AS from_ FROM t WHERE size / 2 / scatter > (n - i) * t / sqrt((free + t * t) * (n - i + 1)) GROUP BY ALL),
+st AS (SELECT d.* FROM d JOIN sc USING (field_name, src) WHERE scatter > 2 AND left_ = 20 AND top - v <= 1 AND v - low <= 1),
+en AS (SELECT st.field_name, st.src, st.file_id, st.rn, min(n.rn) AS stop FROM st LEFT JOIN n
+         ON n.field_name = st.field_name AND n.src = st.src AND n.file_id = st.file_id AND n.rn > st.rn AND abs(n.v - st.v) > 1
+       GROUP BY ALL),
+f AS (SELECT d.point_id, d.field_name, d.src AS "point_source_ID", d.v < d.lo OR d.v > d.hi AS is_impossible, coalesce(abs(d.res) >= esd.from_, false) AS is_outlier,
+        coalesce(abs(d.res) >= esd.from_, false) AND abs(d.res) / 2 > 10 * sc.scatter AS is_spike,
+        EXISTS (SELECT 1 FROM en WHERE en.field_name = d.field_name AND en.src = d.src AND en.file_id = d.file_id AND en.rn <= d.rn AND (en.stop IS NULL OR d.rn < en.stop)) AS is_stuck,
+        d.res / 2 AS residual, d.season / 2 AS season, sc.scatter, esd.from_ / 2 AS outlier_from
+      FROM d JOIN sc USING (field_name, src) LEFT JOIN esd USING (field_name, src))
+SELECT * FROM f WHERE is_impossible OR is_outlier OR is_stuck""",
     "p3_found": _ONCE
     + """
 , k AS (SELECT 'classification' AS field_name, CAST(classification AS BIGINT) AS key_value, 0.10::DOUBLE AS lim FROM pts
