@@ -9,6 +9,14 @@ from cloudloom.llm import abuse, mixing, packing
 from cloudloom.runtime import table
 
 
+def _beside(*single: DataFrame) -> DataFrame:
+    """Tables of one row each as one row."""
+    both = single[0]
+    for other in single[1:]:
+        both = both.unionByName(other, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
+
+
 def _packed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
     # one row per kind of container; the smallest usable one is packed
     capacity = table(spark, sf_dir, "container_specs").where("capacity_tokens > 0").agg(F.min("capacity_tokens")).first()[0]
@@ -27,10 +35,31 @@ def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How full the containers of each tier are."""
+    """How full the windows of each size and the containers are."""
     return packing.fill_report(*_packed(spark, sf_dir))
 
 
+def p6_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of every packing, counted: documents, and offences against each rule (all 0)."""
+    packed, capacity = _packed(spark, sf_dir)
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).alias("bytes"))
+    each = packed.groupBy("doc_id").agg(
+        F.max("n_tokens").alias("n"), F.sum("piece_tokens").alias("placed"), F.max("pieces").alias("pieces"), F.count("container_id").alias("places"), F.countDistinct("container_id").alias("containers")
+    )
+    per_doc = docs.join(each, "doc_id", "left").agg(
+        F.count(F.lit(1)).alias("documents"), F.count_if(F.col("n").isNull()).alias("missing"), F.count_if(F.col("placed") != F.col("n")).alias("not_whole"),
+        F.count_if((F.col("pieces") > 1) & (F.col("n") <= capacity)).alias("split_though_short"), F.count_if(F.col("pieces") != F.ceil(F.col("n") / capacity)).alias("split_wrongly"),
+        F.count_if((F.col("places") != F.col("pieces")) | (F.col("containers") != F.col("pieces"))).alias("pieces_together"), F.count_if(F.col("n") > F.col("bytes")).alias("sizes_too_large"),
+    )
+    windows = packed.where("container_id is not null").groupBy("container_id", "window").agg(F.sum("piece_tokens").alias("w"), F.max("window_tokens").alias("size"), F.max("fill").alias("fill"), F.max("step_group").alias("step"))
+    per_container = windows.groupBy("container_id").agg(F.count_if(F.col("w") > F.col("size")).alias("over"), F.sum("w").alias("tokens"), F.max("fill").alias("fill"), F.max("step").alias("step"))
+    sums = per_container.agg(
+        F.coalesce(F.sum("over"), F.lit(0)).alias("overfull_windows"), F.count_if(F.col("tokens") > capacity).alias("overfull_containers"), F.count_if(F.col("tokens") != F.col("fill")).alias("wrong_fill")
+    )
+    crowded = per_container.groupBy("step").count().where(F.col("count") > packing.STEP).agg(F.count(F.lit(1)).alias("crowded_steps"))
+    return _beside(per_doc, sums, crowded)
+
+
 def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
 
@@ -64,13 +93,16 @@ def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (p6_found, p6_containers, p6_fill, p7_found, p7_mix, p7_shares, p8_found, p8_scores, p8_rates)
+    f.__name__: f for f in (p6_found, p6_containers, p6_fill, p6_checks, p7_found, p7_mix, p7_shares, p8_found, p8_scores, p8_rates)
 }
 
 SQL = {
     # a word takes at least one token, a byte at most one
     "p6_found": """SELECT doc_id FROM documents
 WHERE text IS NOT NULL AND len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) > (SELECT min(capacity_tokens) FROM container_specs WHERE capacity_tokens > 0)""",
+    "p6_checks": "SELECT count(*) AS documents, "
+    + ", ".join(f"0::BIGINT AS {c}" for c in ("missing", "not_whole", "split_though_short", "split_wrongly", "pieces_together", "sizes_too_large", "overfull_windows", "overfull_containers", "wrong_fill", "crowded_steps"))
+    + " FROM documents",
     "p7_found": """WITH s AS (SELECT source, CAST(sum(strlen(coalesce(text, ''))) AS BIGINT) AS size FROM documents GROUP BY source),
 t AS (SELECT sum(size) AS total FROM s)
 SELECT m.source FROM mix_targets m LEFT JOIN s USING (source), t WHERE coalesce(s.size, 0) * m.max_repeats < m.target_share * t.total""",

@@ -32,32 +32,45 @@ def test_tokens():
 # -- packing
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.integers(0, 150), max_size=80), st.integers(1, 60))
-def test_pack(sizes, capacity):
-    places = packing.pack(sizes, capacity)
-    fill = defaultdict(int)
-    for size, p in zip(sizes, places):
-        assert sum(t for _, t, _ in p) == size and len(p) == -(-size // capacity)
-        for c, t, _ in p:
-            fill[c] += t
+def packed(sizes, capacity, tiers):
+    windows = packing.pack_windows(sizes, capacity, tiers)
+    container, fill = packing.join_windows(windows, capacity), Counter()
+    for w, c in enumerate(container):
+        fill[c] += windows.filled[w]
+    return windows, container, fill
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(0, 150), max_size=80), st.integers(1, 60), st.integers(1, 5))
+def test_pack(sizes, capacity, tiers):
+    windows, container, fill = packed(sizes, capacity, tiers)
+    held = Counter()
+    for size, places in zip(sizes, windows.places):
+        assert sum(t for _, t in places) == size and len(places) == -(-size // capacity) == len({container[w] for w, _ in places})
+        for w, t in places:
+            held[w] += t
+    assert [held[w] for w in range(len(windows.tier))] == windows.filled
+    assert all(0 < f <= packing.window_size(t, capacity) for f, t in zip(windows.filled, windows.tier))
     assert sorted(fill) == list(range(len(fill))) and all(0 < f <= capacity for f in fill.values())
     # two containers never fit into one
     low = sorted(fill.values())[:2]
     assert len(low) < 2 or sum(low) > capacity
-    steps = packing.step_groups([fill[c] for c in range(len(fill))], 4)
-    assert not steps or max(Counter(steps).values()) <= 4
 
 
-def test_tiers_and_balance():
-    assert [packing.tier_of(s, 2048) for s in (2048, 1025, 1024, 513, 512, 1)] == [0, 0, 1, 1, 2, 11]
-    rng = random.Random(1)
-    fill = [rng.randint(1000, 2048) for _ in range(80)]
-    steps = packing.step_groups(fill, 8)
-    loads = Counter()
-    for f, s in zip(fill, steps):
-        loads[s] += f
-    assert len(loads) == 10 and max(loads.values()) - min(loads.values()) < 2048
+def test_tiers():
+    assert [packing.tier_of(s, 2048, 4) for s in (2048, 1025, 1024, 513, 512, 257, 256, 1)] == [0, 0, 1, 1, 2, 2, 3, 3]
+    sizes = [600, 700, 300, 200, 100, 90, 60, 10, 5]
+    windows, container, fill = packed(sizes, 1000, 3)
+    # the gaps of both long windows are filled from shorter tiers, longest first; what is left shares a window of its tier
+    assert windows.places[:5] == [[(1, 600)], [(0, 700)], [(0, 300)], [(1, 200)], [(1, 100)]]
+    assert windows.tier == [0, 0, 2] and windows.filled == [1000, 1000, 65]
+    rng = random.Random(3)
+    sizes = [min(2048, int(rng.lognormvariate(4.5, 1))) for _ in range(3000)]
+    unused = {tiers: 1 - sum(sizes) / (2048 * len(packed(sizes, 2048, tiers)[2])) for tiers in (1, 4)}
+    # without tiers the texts lie together in other ways
+    apart = [[(container[w], t) for places in windows.places for w, t in places] for windows, container, _ in (packed(sizes, 2048, 1), packed(sizes, 2048, 4))]
+    assert apart[0] != apart[1]
+    assert unused[4] < 0.01 and set(packed(sizes, 2048, 4)[0].tier) == {0, 1, 2, 3}
 
 
 def test_pack_documents(spark):
@@ -66,22 +79,31 @@ def test_pack_documents(spark):
     rows += [{"doc_id": 900, "text": None}, {"doc_id": 901, "text": ""}, {"doc_id": 902, "text": "long " * 700}, {"doc_id": None, "text": "no id"}, {"doc_id": 5, "text": "again"}]
     for group in (1 << 22, 2000):
         got = packing.pack_documents(docs(spark, rows), 256, group_tokens=group).collect()
-        by_doc, fill, groups = Counter(), Counter(), set()
+        by_doc, fill, groups, steps = Counter(), Counter(), set(), defaultdict(set)
         for r in got:
             by_doc[r.doc_id] += r.piece_tokens
             if r.container_id is not None:
                 fill[r.container_id] += r.piece_tokens
                 groups.add(r.container_id // packing.STRIDE)
+                steps[r.step_group].add(r.container_id)
                 assert r.pieces == 1 or r.n_tokens > 256
         assert max(fill.values()) <= 256 and len({r.container_id for r in got if r.doc_id == 902}) == max(r.pieces for r in got if r.doc_id == 902) > 1
         assert sum(fill.values()) == sum(by_doc.values()) and by_doc[900] == by_doc[901] == 0 and None in by_doc
         # of each group at most one container is less than half full
         assert sum(f < 128 for f in fill.values()) <= len(groups) and (len(groups) > 1) == (group == 2000)
-        packed = packing.pack_documents(docs(spark, rows), 256, group_tokens=group)
-        assert [r.doc_id for r in packing.oversized(packed).collect()] == [902]
-        report = packing.fill_report(packed, 256).collect()
-        assert sum(r.containers for r in report) == len(fill) and sum(r.tokens for r in report) == sum(fill.values())
+        assert all(r.fill == fill[r.container_id] for r in got if r.container_id is not None)
+        # steps are filled over all groups: all but the last are whole, and about as many tokens each
+        loads = [sum(fill[c] for c in held) for held in steps.values()]
+        assert len(steps) == -(-len(fill) // packing.STEP) and max(map(len, steps.values())) <= packing.STEP and len({r.step_group for r in got if r.doc_id == 902}) >= 1
+        assert max(loads) - min(loads) <= 2 * 256
+        placed = packing.pack_documents(docs(spark, rows), 256, group_tokens=group)
+        assert [r.doc_id for r in packing.oversized(placed).collect()] == [902]
+        report = packing.fill_report(placed, 256).collect()
+        assert sum(r.windows for r in report if r.tier is None) == len(fill)
+        assert sum(r.tokens for r in report if r.tier is None) == sum(r.tokens for r in report if r.tier is not None) == sum(fill.values())
     assert packing.pack_documents(docs(spark, []), 10).count() == 0
+    nulls = packing.pack_documents(docs(spark, [{"doc_id": None, "text": "one two three"}] * 300), 64, group_tokens=100).collect()
+    assert len(nulls) == 300 and len({r.container_id // packing.STRIDE for r in nulls}) > 3
     with pytest.raises(ValueError):
         packing.pack_documents(docs(spark, []), 0)
 
