@@ -2,7 +2,7 @@
 
 A source that holds ``t`` of all ``T`` tokens and shall contribute a share ``w`` needs a mean repetition of
 ``w * T / t``. Each document draws its number of copies from a Poisson law by inverting the distribution at a
-uniform number hashed from its id and a seed, capped at the source's ``max_repeats``; the law's mean is chosen so
+uniform number hashed from its id, source, text and a seed, capped at the source's ``max_repeats``; the law's mean is chosen so
 that the capped mean is the wanted repetition. A source that can't reach its target takes every document
 ``max_repeats`` times. Copies are exploded and shuffled globally by a hash of id, copy and seed.
 
@@ -11,22 +11,22 @@ the one shuffle is the final range partitioning by hash, in which no key is heav
 
 Defined cases: documents of a null source or one without target count in the total but contribute nothing; a
 target without documents can't be reached; null texts have 0 tokens and are drawn like others; null shares
-and caps count as 0; repeated ids draw alike; an empty table gives an empty result.
+and caps count as 0; rows equal in id, source and text draw alike, but rows without an id each for themselves; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import accumulate
 from math import exp, inf, isinf, lgamma, log, sqrt
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cloudloom.llm.tokens import token_sizes
-from cloudloom.runtime import is_small, materialize
-
-#: Sources a target table may list; it is a table of settings, joined by broadcast.
-MOST_SOURCES = 100_000
+from cloudloom.runtime import BROADCAST_ROWS, is_small, materialize
 
 #: Mean from which probabilities are taken from logarithms: exp(-mean) is too small for a double beyond 745.
 LARGE = 500
@@ -100,26 +100,28 @@ def plan(sized: DataFrame, targets: DataFrame) -> DataFrame:
     )
 
 
+def _laws(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for part in parts:
+        steps = [thresholds(poisson_mean(wanted / tokens, cap), cap) if tokens else [] for wanted, tokens, cap in zip(part["wanted"], part["tokens"], part["max_repeats"].astype(int))]
+        yield pd.DataFrame({"source": part["source"], "steps": pd.Series(steps, index=part.index, dtype=object)})
+
+
 def mix(docs: DataFrame, targets: DataFrame, seed: int = 0, tokenizer: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(chosen, shares): one row per chosen copy in mixing order, and per source target and actual shares."""
-    sized = materialize(token_sizes(docs, ["doc_id", "source"], path=tokenizer))
-    plans = materialize(plan(sized, targets))
-    if not is_small(plans, MOST_SOURCES):
-        raise ValueError(f"more than {MOST_SOURCES} sources have targets")
-    spark = docs.sparkSession
-    laws = []
-    for r in plans.collect():
-        rate = r.wanted / r.tokens if r.tokens else 0.0
-        laws.append((r.source, thresholds(poisson_mean(rate, r.max_repeats), r.max_repeats) if r.tokens else []))
-    law = F.broadcast(spark.createDataFrame(laws, "source string, steps array<double>"))
+    own = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
     # 53 bits of a hash, as a number in [0, 1)
-    uniform = F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.lit(seed)), 11) / F.lit(float(1 << 53))
-    drawn = sized.join(law, "source").withColumn("u", uniform)
+    uniform = F.shiftrightunsigned(F.xxhash64("doc_id", "source", "text", own, F.lit(seed)), 11) / F.lit(float(1 << 53))
+    sized = materialize(token_sizes(docs.select("doc_id", "source", "text", uniform.alias("u")), ["doc_id", "source", "u"], path=tokenizer))
+    plans = materialize(plan(sized, targets))
+    law = materialize(plans.select("source", "wanted", "tokens", "max_repeats").mapInPandas(_laws, "source string, steps array<double>"))
+    if is_small(law, BROADCAST_ROWS):
+        law = F.broadcast(law)
+    drawn = sized.join(law, "source")
     copies = F.size(F.filter("steps", lambda s: F.col("u") >= s))
     chosen = drawn.withColumn("copies", copies).where("copies > 0").select(
-        "doc_id", "source", "n_tokens", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")
+        "doc_id", "source", "n_tokens", "u", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")
     )
-    chosen = materialize(chosen.withColumn("mix_key", F.xxhash64("doc_id", "copy", F.lit(seed + 1))))
+    chosen = materialize(chosen.withColumn("mix_key", F.xxhash64("u", "copy", F.lit(seed + 1))).drop("u"))
     got = chosen.groupBy("source").agg(F.sum("n_tokens").alias("mixed_tokens"), F.count(F.lit(1)).alias("mixed_records"), F.max("copy").alias("most_repeats"))
     got = materialize(got)
     mixed = got.agg(F.sum("mixed_tokens")).first()[0] or 0

@@ -78,6 +78,19 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixed(spark, sf_dir)[1]
 
 
+def p7_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per source what must hold of every mix: its documents, whether it falls short, caps kept, short ones taken whole, and the share met within six standard errors."""
+    chosen, shares = _mixed(spark, sf_dir)
+    # the variance of a capped draw is at most its mean
+    spread = chosen.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("n_tokens")).alias("squares"))
+    goal = F.least("wanted", F.col("tokens") * F.col("max_repeats"))
+    return shares.join(spread, "source", "left").select(
+        "source", "documents", "short", (F.col("most_repeats") <= F.col("max_repeats")).alias("cap_kept"),
+        (~F.col("short") | (F.col("mixed_tokens") == F.col("tokens") * F.col("max_repeats"))).alias("whole_if_short"),
+        (F.abs(F.col("mixed_tokens") - goal) <= 6 * F.sqrt(F.coalesce("squares", F.lit(0)))).alias("share_met"),
+    )
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return abuse.score(table(spark, sf_dir, "documents")).where("flagged").select("doc_id")
 
@@ -93,7 +106,7 @@ def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (p6_found, p6_containers, p6_fill, p6_checks, p7_found, p7_mix, p7_shares, p8_found, p8_scores, p8_rates)
+    f.__name__: f for f in (p6_found, p6_containers, p6_fill, p6_checks, p7_found, p7_mix, p7_shares, p7_checks, p8_found, p8_scores, p8_rates)
 }
 
 SQL = {
@@ -106,4 +119,8 @@ WHERE text IS NOT NULL AND len(list_filter(string_split_regex(text, '\\s+'), lam
     "p7_found": """WITH s AS (SELECT source, CAST(sum(strlen(coalesce(text, ''))) AS BIGINT) AS size FROM documents GROUP BY source),
 t AS (SELECT sum(size) AS total FROM s)
 SELECT m.source FROM mix_targets m LEFT JOIN s USING (source), t WHERE coalesce(s.size, 0) * m.max_repeats < m.target_share * t.total""",
+    "p7_checks": """WITH s AS (SELECT source, count(*) AS documents, CAST(sum(strlen(coalesce(text, ''))) AS BIGINT) AS size FROM documents GROUP BY source),
+t AS (SELECT sum(size) AS total FROM s)
+SELECT m.source, coalesce(s.documents, 0) AS documents, coalesce(s.size, 0) * m.max_repeats < m.target_share * t.total AS short,
+  true AS cap_kept, true AS whole_if_short, true AS share_met FROM mix_targets m LEFT JOIN s USING (source), t""",
 }

@@ -148,6 +148,10 @@ def test_mix(spark):
     assert again.exceptAll(chosen).isEmpty() and again.count() == chosen.count()
     keys = [r.mix_key for r in chosen.collect()]
     assert keys == sorted(keys)
+    # rows without an id are drawn one by one
+    lone = [{"doc_id": None, "text": "one two three", "source": "small"}] * 300 + [{"doc_id": 1, "text": "word " * 900, "source": "rest"}]
+    some, _ = mixing.mix(docs(spark, lone), spark.createDataFrame([("small", 0.2, 1)], goals.schema))
+    assert 60 < some.count() < 220
     # a source that falls short is taken whole, as often as allowed
     few, part = mixing.mix(docs(spark, rows[:300]), spark.createDataFrame([("small", 0.99, 2)], goals.schema))
     n = sum(r["source"] == "small" for r in rows[:300])
