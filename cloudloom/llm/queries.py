@@ -1,14 +1,45 @@
-"""Queries over texts: packing, mixing, abusive content."""
+"""Queries of the problems tagged llm: percentiles, packing, mixing, abusive content."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloudloom.llm import abuse, mixing, packing
+from cloudloom.llm import abuse, mixing, packing, quantiles
 from cloudloom.runtime import table
 
 
+#: Shares of the rows at which percentiles are asked.
+SHARES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
+
+
+def p2_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles of Z per classification: of each file, and of all files put together from the files' sketches (file_id null)."""
+    once = quantiles.once(table(spark, sf_dir, "las_points"), "point_id", ["file_id", "classification", "Z"])
+    usable = once.where("classification is not null and Z is not null and file_id is not null")
+    return _levels(quantiles.sketches(usable, "Z", ["classification", "file_id"]), "file_id")
+
+
+def p2_percentiles_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by day (UTC) of first arrival (ingest_day null: all days together)."""
+    once = quantiles.once(table(spark, sf_dir, "las_points"), "point_id", ["ingested_at", "classification", "Z"])
+    usable = once.where("classification is not null and Z is not null and ingested_at is not null")
+    return _levels(quantiles.sketches(usable, "Z", ["classification", F.date_from_unix_date(F.floor(F.unix_micros("ingested_at") / 86_400_000_000).cast("int")).alias("ingest_day")]), "ingest_day")
+
+
+def _levels(parts: DataFrame, part: str) -> DataFrame:
+    whole = quantiles.merge(parts, ["classification"]).withColumn(part, F.lit(None).cast(parts.schema[part].dataType))
+    both = parts.unionByName(whole)
+    return quantiles.percentiles(both, SHARES).withColumn("rank_error", F.lit(quantiles.rank_error()))
+
+
+def p2_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per classification: rows, range, and whether each percentile of all files put together is within the stated bound of its true rank."""
+    once = quantiles.once(table(spark, sf_dir, "las_points"), "point_id", ["classification", "Z"]).where("classification is not null and Z is not null")
+    whole = p2_percentiles(spark, sf_dir).where("file_id is null").select("classification", "lowest", "highest", *[c for c in ("p1", "p5", "p25", "p50", "p75", "p95", "p99")])
+    return quantiles.within_bound(once, whole, "Z", "classification", SHARES).join(whole.select("classification", "lowest", "highest"), "classification")
+
+
 def _beside(*single: DataFrame) -> DataFrame:
     """Tables of one row each as one row."""
     both = single[0]
@@ -106,10 +137,13 @@ def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (p6_found, p6_containers, p6_fill, p6_checks, p7_found, p7_mix, p7_shares, p7_checks, p8_found, p8_scores, p8_rates)
+    f.__name__: f for f in (p2_percentiles, p2_percentiles_by_day, p2_checks, p6_found, p6_containers, p6_fill, p6_checks, p7_found, p7_mix, p7_shares, p7_checks, p8_found, p8_scores, p8_rates)
 }
 
 SQL = {
+    "p2_checks": "SELECT classification, count(*) AS n, CAST(min(Z) AS BIGINT) AS lowest, CAST(max(Z) AS BIGINT) AS highest, "
+    + ", ".join(f"true AS p{share * 100:g}_ok" for share in SHARES)
+    + " FROM (SELECT DISTINCT point_id, classification, Z FROM las_points) WHERE classification IS NOT NULL AND Z IS NOT NULL GROUP BY classification",
     # a word takes at least one token, a byte at most one
     "p6_found": """SELECT doc_id FROM documents
 WHERE text IS NOT NULL AND len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) > (SELECT min(capacity_tokens) FROM container_specs WHERE capacity_tokens > 0)""",
