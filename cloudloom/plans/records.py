@@ -1,11 +1,10 @@
-"""Queries over the record tables: implausible readings, percentiles, heavy keys, proximity, drift."""
+"""Queries over the record tables: implausible readings, heavy keys, proximity, drift."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from cloudloom.operators import drift, proximity, quantiles, spikes, treeagg
+from cloudloom.operators import drift, proximity, spikes, treeagg
 from cloudloom.runtime import table
 
 #: Distance under which two points are near each other, in raw units.
@@ -14,7 +13,6 @@ NEAR_UNITS = 25
 HEAVY = {"classification": 0.10, "point_source_ID": 0.04}
 #: Readings of a season that p1_flags looks for.
 PERIOD = 10
-SHARES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,26 +24,6 @@ def p1_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spikes.implausible(table(spark, sf_dir, "las_points"), period=PERIOD)
 
 
-def p2_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Percentiles of Z per classification: of each file, and of all files put together from the files' sketches (file_id null)."""
-    once = quantiles.once(table(spark, sf_dir, "las_points"), "point_id", ["file_id", "classification", "Z"])
-    usable = once.where("classification is not null and Z is not null and file_id is not null")
-    return _levels(quantiles.sketches(usable, "Z", ["classification", "file_id"]), "file_id")
-
-
-def p2_percentiles_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same by day (UTC) of first arrival (ingest_day null: all days together)."""
-    once = quantiles.once(table(spark, sf_dir, "las_points"), "point_id", ["ingested_at", "classification", "Z"])
-    usable = once.where("classification is not null and Z is not null and ingested_at is not null")
-    return _levels(quantiles.sketches(usable, "Z", ["classification", F.date_from_unix_date(F.floor(F.unix_micros("ingested_at") / 86_400_000_000).cast("int")).alias("ingest_day")]), "ingest_day")
-
-
-def _levels(parts: DataFrame, part: str) -> DataFrame:
-    whole = quantiles.merge(parts, ["classification"]).withColumn(part, F.lit(None).cast(parts.schema[part].dataType))
-    both = parts.unionByName(whole)
-    return quantiles.percentiles(both, SHARES).withColumn("rank_error", F.lit(quantiles.rank_error()))
-
-
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     per = treeagg.per_value(table(spark, sf_dir, "las_points"), list(HEAVY), "point_id")
     return treeagg.heavy_values(per, HEAVY).select("field_name", "key_value")
@@ -76,7 +54,7 @@ def p5_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_flags, p2_percentiles, p2_percentiles_by_day, p3_found, p3_per_value, p4_found, p5_found, p5_headers, p5_versions)
+    for f in (p1_found, p1_flags, p3_found, p3_per_value, p4_found, p5_found, p5_headers, p5_versions)
 }
 
 _ONCE = "WITH pts AS (SELECT DISTINCT point_id, file_id, point_index, X, Y, Z, intensity, classification, point_source_ID FROM las_points)"

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cloudloom.operators import drift, proximity, quantiles, spikes, treeagg
+from cloudloom.operators import drift, proximity, spikes, treeagg
 from cloudloom.runtime import is_small, materialize, shared_dir
 
 POINTS = "point_id long, file_id long, point_index long, X int, Y int, Z int, intensity int, classification short, point_source_ID int, ingested_at timestamp, SOURCE string"
@@ -179,26 +179,6 @@ def test_constant_series_move_in_proportion(spark):
     assert moved[16000] < 4.2 * moved[4000]
 
 
-# -- percentiles
-
-
-def test_percentiles(spark):
-    rng = random.Random(3)
-    rows = [{"point_id": i, "classification": rng.choice((1, 1, 1, 1, 2)), "file_id": i % 7, "Z": rng.randint(-(10**6), 10**6)} for i in range(30000)]
-    rows += [dict(rows[0]), {"point_id": 99999, "classification": 1, "file_id": 1, "Z": None}, {"point_id": 99998, "classification": None, "file_id": 1, "Z": 4}]
-    once = quantiles.once(cloud(spark, rows), "point_id", ["file_id", "classification", "Z"])
-    parts = quantiles.sketches(once.where("classification is not null"), "Z", ["classification", "file_id"], k=400)
-    whole = quantiles.percentiles(quantiles.merge(parts, ["classification"], k=400), (0.01, 0.5, 0.99)).collect()
-    bound = quantiles.rank_error(400)
-    for r in whole:
-        v = np.sort([x["Z"] for x in rows[:30000] if x["classification"] == r.classification])
-        assert r.n == len(v) and (r.lowest, r.highest) == (v[0], v[-1])
-        for share, got in ((0.01, r.p1), (0.5, r.p50), (0.99, r.p99)):
-            assert abs(np.searchsorted(v, got) / len(v) - share) < 2 * bound
-    assert quantiles.sketches(once.limit(0), "Z", ["classification"]).count() == 0
-    assert quantiles.rank_error() < 0.0014
-
-
 # -- heavy keys
 
 
