@@ -48,13 +48,23 @@ def p5_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The registry of schema versions: per feed, each fingerprint with its shape, first dump and number of dumps."""
+    """Schema versions as they came: per feed, each fingerprint with its shape, first dump and number of dumps."""
     return drift.versions(table(spark, sf_dir, "header_dumps"), table(spark, sf_dir, "las_headers"))
 
 
+def p5_migrations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored migrations: the steps of every pair of versions met one after the other in a feed."""
+    return drift.all_migrations(table(spark, sf_dir, "header_dumps"), table(spark, sf_dir, "las_headers"))
+
+
+def p5_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rename, default and cast rules of every version."""
+    return drift.rules(table(spark, sf_dir, "header_dumps"), table(spark, sf_dir, "las_headers"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_flags, p3_found, p3_per_value, p4_found, p5_found, p5_headers, p5_versions)
+    for f in (p1_found, p1_flags, p3_found, p3_per_value, p4_found, p5_found, p5_headers, p5_versions, p5_migrations, p5_rules)
 }
 
 _ONCE = "WITH pts AS (SELECT DISTINCT point_id, file_id, point_index, X, Y, Z, intensity, classification, point_source_ID FROM las_points)"
