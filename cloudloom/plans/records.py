@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cloudloom.operators import drift, proximity, spikes, treeagg
+from cloudloom.plans import drift_sql
 from cloudloom.runtime import table
 
 #: Distance under which two points are near each other, in raw units.
@@ -43,8 +45,9 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All readable dumps as one table with the columns of las_headers."""
-    return drift.conform(table(spark, sf_dir, "header_dumps"), table(spark, sf_dir, "las_headers"))
+    """All readable dumps as one table with the columns of las_headers (time of arrival in microseconds), their version and what could not be cast."""
+    flat = drift.conform(table(spark, sf_dir, "header_dumps"), table(spark, sf_dir, "las_headers"))
+    return flat.withColumn("received_us", F.unix_micros("received_at")).drop("received_at")
 
 
 def p5_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,3 +158,4 @@ SELECT 'inside', z.zone_id, q.point_id FROM q JOIN zones z ON
   (z.shape = 'rect' AND q.x >= z.min_x AND q.x < z.max_x AND q.y >= z.min_y AND q.y < z.max_y)
   OR (z.shape = 'circle' AND (q.x - z.centre_x) * (q.x - z.centre_x) + (q.y - z.centre_y) * (q.y - z.centre_y) < CAST(z.radius AS BIGINT) * z.radius)""",
 }
+SQL |= drift_sql.SQL

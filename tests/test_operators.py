@@ -327,6 +327,36 @@ def test_blocks_agree(spark):
     assert one.isEmpty() and drift.changes(d, headers(spark), 7).count() == drift.changes(d, headers(spark)).count() > 100
 
 
+def test_one_dump_with_both_names(spark):
+    row = lambda k, name: {name: 20 + 2 * (k % 5), "version_minor": 2 + k % 5 % 3}
+    p = [row(k, "point_data_record_length" if k < 100 else "len") for k in range(200)]
+    want = {(100, "point_data_record_length", "renamed")}
+    got = drift.changes(dumps(spark, p), headers(spark)).collect()
+    assert {(r.dump_id, r.field_name, r.change) for r in got} == want and len(got) == 1
+    p[50]["len"] = 30
+    got = drift.changes(dumps(spark, p), headers(spark)).collect()
+    assert {(r.dump_id, r.field_name, r.change) for r in got} == want | {(50, "len", "added"), (51, "len", "removed")}
+
+
+def test_migrations_and_rules(spark):
+    v = lambda k: 2 + k % 5 % 3
+    p = [{"minor" if k // 3 % 2 else "version_minor": v(k) if k // 6 % 2 else str(v(k)), "note": [1, "x"]} for k in range(60)]
+    d = dumps(spark, p)
+    # every pair of versions is stored once, however often it is met
+    met = {(r.change, r.from_type, r.to_type): (r.moves, r.from_path, r.to_path) for r in drift.all_migrations(d, headers(spark)).collect()}
+    assert met == {("renamed", "string", "string"): (5, "version_minor", "minor"), ("renamed", "integer", "integer"): (5, "version_minor", "minor"),
+                   ("renamed", "string", "integer"): (5, "minor", "version_minor"), ("retyped", "string", "integer"): (5, "minor", "version_minor"),
+                   ("renamed", "integer", "string"): (4, "minor", "version_minor"), ("retyped", "integer", "string"): (4, "minor", "version_minor")}
+    rules = defaultdict(list)
+    for r in sorted(drift.rules(d, headers(spark)).collect(), key=lambda r: r.step):
+        rules[r.fingerprint].append((r.rule, r.field, r.was, r.becomes))
+    assert len(rules) == 4 and sum(("rename", "version_minor", "minor", "version_minor") in x for x in rules.values()) == 2
+    assert all([x[0] for x in steps] == sorted((x[0] for x in steps), key=["rename", "default", "cast"].index) for steps in rules.values())
+    assert [r.version_minor for r in drift.conform(d, headers(spark)).orderBy("seq_no").collect()] == [v(k) for k in range(60)]
+    bad = drift.conform(dumps(spark, [{"version_minor": "many", "x_offset": 10**400, "point_data_record_length": 10**12, "number_of_points_by_return": ["1", 2.0], "generating_software": 5}]), headers(spark)).first()
+    assert sorted(bad.failed_casts) == ["point_data_record_length", "version_minor"] and bad.version_minor is None and bad.number_of_points_by_return == [1, 2] and bad.generating_software == "5" and bad.file_name == "f0"
+
+
 def test_drift_defined_cases(spark):
     empty = spark.createDataFrame([], DUMPS)
     assert drift.changes(empty, headers(spark)).count() == 0 and drift.conform(empty, headers(spark)).count() == 0
