@@ -3,13 +3,14 @@
 Each word of a text is turned into a Levenshtein automaton (one edit from five letters, two from nine; a swap of
 neighbours is one edit; digits and signs stand for the letters they look like) and run against the trie of
 all lexicon words, so misspelled and masked terms are met without listing them. Edits that easily make another word (in
-words of five letters, or at the first or last letter) are guesses, taken only next to what bears them out (``SUPPORT``). Words and phrases met have
+words of five letters, or at the first or last letter) are guesses, taken only next to what bears them out (``SUPPORT``). Japanese terms are met the same way from every place in a text, in any kana. Words and phrases met have
 classes: insults, attacks, harm, groups, degrading words, explicit words, and those that set the context, as who is
 addressed, what is wished, what is offered, what is only told of others or said of goods. A hit is scored by the
-classes in its window, within its sentence; report and goods words nearby take the score down. A document's
+classes in its window, within its sentence; report and goods words nearby take the score down, and so do quotation marks in a
+sentence that says somebody said it. A document's
 score is that of its highest hit, per category (abuse, hate, sexual).
 
-How it scales: one pass without a shuffle of texts; a task keeps the matches of the words it met last. Rates per source are one aggregation.
+How it scales: one pass without a shuffle of texts; a task keeps the matches of the words it met last, and looks closer only at sentences with a word that can score. Rates per source are one aggregation.
 A text's scores depend on nothing but itself: what counts as an ordinary word is a fixed list (``INNOCENT`` and the whole words of the
 tokenizer's vocabulary), not what is frequent in the table.
 
@@ -23,7 +24,7 @@ import html
 import re
 import unicodedata
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cloudloom.llm import tokens
-from cloudloom.llm.lexicon import INNOCENT, LOOKALIKES, MASKS, TERMS
+from cloudloom.llm.lexicon import INNOCENT, KANA_MASKS, LOOKALIKES, MASKS, SAYING, TERMS
 from cloudloom.runtime import spread
 
 #: Score from which a document counts as abusive, hateful or sexual.
@@ -47,8 +48,13 @@ SUPPORT = {
     "explicit": (("explicit", 6, 6), ("offer", 6, 6), ("you", 3, 1)), "bodily": (("explicit", 6, 6), ("offer", 6, 6)),
 }
 
+#: Classes that only set the context of others: a text without any other class scores 0.
+CONTEXT = frozenset(("you", "person", "self", "claim", "heat", "offer", "report", "goods", "wish", "slur", "degrade", "belittle", "body", "absence", "better", "place"))
+
 #: Characters of Japanese that count as a word in windows.
 CJK_WORD = 2.5
+#: Characters of a Japanese term from which one edit is allowed.
+CJK_EDIT = 5
 
 #: Longest word whose results are kept for the next time it is met.
 _KEPT = 64
@@ -58,21 +64,26 @@ ENDINGS = {"en": ("s", "es"), "de": ("e", "en", "er", "es", "em", "n", "s"), "fr
 #: Function words that tell the language of a sentence.
 FUNCTION_WORDS = {
     "en": "the and is it i you to of for this that was with not my have are on in at will so they what all your who from just would should do off up hope be",
-    "de": "der die das und ist ich du nicht ein eine mit für von zu es den dem auf sich im doch ihr wir sind alle dich dir mir habe wird halt so so was beim von bis gehören zum",
-    "fr": "le la les un une et est je tu ne pas de des du pour avec ce cette que qui il elle on sur dans nous vous sont mon ma ta toi sans au aux espèce sale va te se voir son ses",
+    "de": "der die das und ist ich du nicht ein eine mit für von zu es den dem auf sich im doch ihr wir sind alle dich dir mir habe wird halt so so was beim von bis zum zur als auch nur noch wie aber oder wenn",
+    "fr": "le la les un une et est je tu ne pas de des du pour avec ce cette que qui il elle on sur dans nous vous sont mon ma ta toi sans au aux te se son ses leur leurs mais ou où donc plus très bien été",
     "es": "el la los las un una y es yo tú no de del para con este esta que se en lo por mi su son está muy al te eres vete hay ese esa como hoy quieren",
 }
+_JA_ENDS = " \t\n。、！？!?.…ーっッ"
 _LETTERS = re.compile(r"[^\W\d_]")
+#: Words put between quotation marks; each is marked, to tell what is said by others.
+_QUOTED = re.compile("\"[^\"\n]{1,300}\"|“[^”\n]{1,300}”|„[^“”\n]{1,300}[“”]|«[^»\n]{1,300}»|「[^」\n]{1,300}」|『[^』\n]{1,300}』|(?<!\\w)['‘][^'’\n]{3,300}['’](?!\\w)")
+_MARK = "\x01"
+_STARTS = re.compile(r"\b(?=\w)")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿]")
 _SENTENCE = re.compile(r"[^.!?。！？\n]*(?:[.!?。！？\n]+|$)")
 _WORD = re.compile(r"[^\s.,;:?\"“”„«»()<>/\\\-–—、。！？「」…~=+\[\]{}]+")
 #: A name called at the end of a sentence: ", you old fool!"
 _CALLED = re.compile(r",\s*(?:[^\s,]+\s+){0,2}[^\s,]+\s*[.!?]*\s*$")
 #: A word spelled with signs between its letters: "f.u.c.k"
-_SPELLED = re.compile(r"(?<!\w)(?:[^\W\d_][.\-_·*]){2,}[^\W\d_](?!\w)")
+_SPELLED = re.compile(r"(?<!\w)(?:(?:[^\W\d_][.\-_·*]){2,}|(?:[^\W\d_] ){2,})[^\W\d_](?!\w)")
 #: Characters without a width: soft hyphen, joiners, marks of direction.
 _INVISIBLE = re.compile("[\u00ad\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\u2066-\u206f\ufeff\ufff9-\ufffb]")
-_TAG = re.compile(r"</?[a-zA-Z][^<>]{0,200}>")
+_TAG = re.compile(r"</?[a-zA-Z][^<>]*>")
 _WRONG = re.compile("[ÃÂãåæçèéä][\u0080-¿Œ-Ÿ–-™]")
 
 
@@ -87,6 +98,14 @@ def _fold(word: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", word) if not unicodedata.combining(c))
 
 
+def fold_kana(text: str) -> str:
+    """Katakana as hiragana; everything else, and every length, stays."""
+    return text.translate(_HIRAGANA)
+
+
+_HIRAGANA = {k: k - 96 for k in range(0x30A1, 0x30F7)}
+
+
 def repair(text: str) -> str:
     """Undo UTF-8 read as a Western code page, markup, look-alike and invisible characters."""
     if _WRONG.search(text):
@@ -106,7 +125,7 @@ def repair(text: str) -> str:
         text = _TAG.sub(" ", text)
     if not text.isascii():
         text = _INVISIBLE.sub("", unicodedata.normalize("NFKC", text)).replace("’", "'")
-    return _SPELLED.sub(lambda m: re.sub(r"[.\-_·*]", "", m[0]), text)
+    return _SPELLED.sub(lambda m: re.sub(r"[.\-_·* ]", "", m[0]), text)
 
 
 @lru_cache(maxsize=1)
@@ -121,13 +140,13 @@ class Lexicon:
 
     def __init__(self, terms: dict[str, dict[str, str]] = TERMS):
         self.phrases: dict[str, list[tuple[tuple[str, ...], str, str]]] = defaultdict(list)
-        self.cjk: list[tuple[str, str]] = []
+        self.cjk: dict[str, list[tuple[str, str]]] = defaultdict(list)
         loose: set[str] = set()
         for cls, by_lang in terms.items():
             for lang, listed in by_lang.items():
                 for term in filter(None, (t.strip() for t in listed.split(","))):
                     if lang == "ja":
-                        self.cjk.append((term, cls))
+                        self.cjk[fold_kana(term)].append((term, cls))
                         continue
                     words = tuple(fold(w) for w in _WORD.findall(term))
                     forms = {words}
@@ -146,15 +165,35 @@ class Lexicon:
         words = {w for found in self.phrases.values() for f, _, _ in found for w in f}
         self.words = words
         self.innocent = {fold(w.strip()) for w in INNOCENT.split(",")} | {fold(w) for text in FUNCTION_WORDS.values() for w in text.split()}
-        self.trie: dict = {}
+        #: A trie for each length of word, so that the automaton of a token meets only words of about its length.
+        self.tries: dict[int, dict] = {}
         for w in words:
-            node = self.trie
-            for c in w:
-                node = node.setdefault(c, {})
-            node[""] = w if w in loose else None
-        self.longest = max(map(len, words))
+            _insert(self.tries.setdefault(len(w), {}), w, w in loose)
+        self.kana: dict = {}
+        for w in self.cjk:
+            _insert(self.kana, w, True)
+        self.kana_starts = frozenset(w[0] for w in self.cjk) | frozenset(c for c, others in KANA_MASKS.items() if any(w[0] in others for w in self.cjk))
+        self.longest = max(map(len, words), default=0)
+        self.longest_kana = max(map(len, self.cjk), default=0)
         self._seen = lru_cache(maxsize=200_000)(self._see)
         self._begun = lru_cache(maxsize=200_000)(self._begin)
+        #: Beginnings, ends and inner pieces of words: a token within an edit or two of a word shares one of them with it.
+        self.heads = frozenset(w[:k] for w in words for k in range(len(w) + 1))
+        self.tails = frozenset(w[k:] for w in words for k in range(len(w) + 1))
+        self.grams = frozenset(w[i : i + k] for w in words for k in range(2, 12) for i in range(len(w) - k + 1))
+        self._known = lru_cache(maxsize=200_000)(self._know)
+
+    def known(self, token: str) -> tuple[str, tuple[int, ...], tuple, bool]:
+        """Of a word as it is written: the bare word, the languages it is a function word of, phrases it may begin, and whether one of them can score."""
+        return self._known(token) if len(token) <= _KEPT else self._know(token)
+
+    def _know(self, token: str) -> tuple[str, tuple[int, ...], tuple, bool]:
+        word = _bare(token)
+        begun = self.begun(word) if word else ()
+        return word, _function_words().get(fold(word), ()), begun, any(p[1] not in CONTEXT for p in begun)
+
+    def begins_kana(self, text: str) -> bool:
+        return not text.isascii() and not self.kana_starts.isdisjoint(fold_kana(text))
 
     def met(self, token: str) -> dict[str, int]:
         return self.seen(token)[0]
@@ -199,10 +238,11 @@ class Lexicon:
         if len(token) < 4 or token in self.innocent:
             return {}, {}
         edits = 2 if len(token) >= 9 else 1
-        got = self._run(list(token), edits)
+        # the vocabulary holds beginnings of words too: those may be terms cut short
         if token in real_words():
-            # the vocabulary holds beginnings of words too: those may be terms cut short
-            got = {w: k for w, k in got.items() if w.startswith(token)}
+            got = self._begin_with(token, edits)
+        else:
+            got = self._run(list(token), edits) if self._shares(token, edits) else {}
         sure = {w: k for w, k in got.items() if self._may_be(w, token, k)}
         least = min(sure.values(), default=0)
         if sure:
@@ -219,52 +259,122 @@ class Lexicon:
         # a change in a short word makes another word, and so does a new ending or beginning: those are only guessed
         return len(word) >= 6 and word[0] == token[0] and (edits == 1 or len(word) >= 9) and word[:-1] != token and token[:-1] != word and word[:-1] != token[:-1]
 
-    def _run(self, sets: list[str], most: int) -> dict[str, int]:
-        """Walks the trie with the automaton of ``sets`` (one string of letters per place, empty for any letter).
+    def _shares(self, token: str, most: int) -> bool:
+        """False if no word can be within ``most`` edits. An edit touches two neighbours at most, so of pieces with a gap between them one more than edits stays whole."""
+        n = len(token)
+        h = (n - most) // (most + 1)
+        if token[:h] in self.heads or token[n - h :] in self.tails:
+            return True
+        middle = (n - h) // 2
+        return most == 2 and (token[middle : middle + h] in self.grams or h < 2)
+
+    def _begin_with(self, token: str, most: int) -> dict[str, int]:
+        """Words that are the token and up to ``most`` letters more."""
+        found = {}
+        for k in range(most + 1):
+            node = self.tries.get(len(token) + k)
+            for c in token:
+                node = node and node.get(c)
+            stack = [node] if node else []
+            while stack:
+                node = stack.pop()
+                if (w := node.get("")) is not None:
+                    found[w] = k
+                stack += [child for c, child in node.items() if c]
+        return found
 
-        A state holds, for 0..most edits, the bit set of places reached, and the places where a swap is half done.
-        """
+    def _run(self, sets: list[str], most: int) -> dict[str, int]:
+        """Meets the words with the automaton of ``sets`` (one string of letters per place, empty for any letter): word -> edits."""
         n = len(sets)
-        full = (1 << n) - 1
-        anyone = 0
-        at: dict[str, int] = defaultdict(int)
-        for i, s in enumerate(sets):
-            if not s:
-                anyone |= 1 << i
-            for c in s:
-                at[c] |= 1 << i
-        start = [1]
-        for _ in range(most):
-            start.append(start[-1] | (start[-1] << 1))
         found: dict[str, int] = {}
-        stack = [(self.trie, start, [0] * (most + 1))]
-        while stack:
-            node, reached, half = stack.pop()
-            for c, child in node.items():
-                if c == "":
-                    if child is not None:
-                        for k in range(most + 1):
-                            if reached[k] >> n & 1:
-                                found[child] = k
-                                break
-                    elif reached[0] >> n & 1 and anyone == 0 and most == 0:
-                        pass
-                    continue
-                here = at.get(c, 0) | anyone
-                now, swap = [], []
-                for k in range(most + 1):
-                    s = (reached[k] & here) << 1
-                    if k:
-                        before = reached[k - 1]
-                        s |= before | ((before & full) << 1) | ((now[k - 1] & full) << 1) | ((half[k] & here) << 2)
-                        swap.append(before & (here >> 1) & (full >> 1))
-                    else:
-                        swap.append(0)
-                    now.append(s)
-                if any(now):
-                    stack.append((child, now, swap))
+        for length in range(max(1, n - most), n + most + 1):
+            if (trie := self.tries.get(length)) is not None:
+                for w, k, at in _meet(trie, sets, most, length):
+                    if at == n:
+                        found[w] = min(k, found.get(w, most))
         return found
 
+    def in_kana(self, text: str) -> list[tuple[int, int, str, str, int]]:
+        """Japanese terms in a text: (first, last, term, class, edits), edits -1 for a term that is written as it is.
+
+        From every place where a term may begin the automaton of what follows meets the trie of terms. Katakana stand for
+        hiragana, some characters for others (``KANA_MASKS``), and terms from ``CJK_EDIT`` characters may have one edit after the first.
+        """
+        soft, out = fold_kana(text), []
+        for i, c in enumerate(soft):
+            if c not in self.kana_starts:
+                continue
+            window = soft[i : i + self.longest_kana + 1]
+            sets = ["" if KANA_MASKS.get(x) == "" else x + KANA_MASKS.get(x, "") for x in window]
+            best: dict[str, tuple[int, int]] = {}
+            for first in sets[0]:
+                if (after := self.kana.get(first)) is not None:
+                    for w, k, at in _meet(after, sets[1:], 1):
+                        if k <= (len(w) >= CJK_EDIT) and (k, at + 1) < best.get(w, (9, 0)):
+                            best[w] = (k, at + 1)
+            for w, (k, at) in best.items():
+                for term, cls in self.cjk[w]:
+                    plainly = text.startswith(term, i)
+                    if plainly or any(x and x in w for x in soft[i : i + at]):
+                        out.append((i, i + (len(term) if plainly else at) - 1, term, cls, -1 if plainly else k))
+        return out
+
+
+def _insert(trie: dict, word: str, counts: bool) -> None:
+    for c in word:
+        trie = trie.setdefault(c, {})
+    trie[""] = word if counts else None
+
+
+def _meet(trie: dict, sets: list[str], most: int, length: int | None = None) -> list[tuple[str, int, int]]:
+    """Intersects a trie with the Levenshtein automaton of ``sets``, up to two edits: (word, edits, places of ``sets`` it takes up).
+
+    A state holds, for every number of edits, the bit set of places reached (a, b, c), and the places where a swap of neighbours is half done (p, q).
+    If all words have ``length`` letters and must take up all places, places from which the rest can't be reached are left out.
+    """
+    n = len(sets)
+    full, anyone, at = (1 << n) - 1, 0, {}
+    for i, letters in enumerate(sets):
+        if not letters:
+            anyone |= 1 << i
+        for x in letters:
+            at[x] = at.get(x, 0) | 1 << i
+    one, two = most > 0, most > 1
+    if length is None:
+        bands = None
+    else:
+        middle = [n - length + d for d in range(length + 1)]
+        bands = [tuple(sum(1 << i for i in range(max(0, m - r), min(n, m + r) + 1)) for r in (most, most - 1, most - 2)) for m in middle]
+    found = []
+    stack = [(trie, 0, 1, 3 if one else 0, 7 if two else 0, 0, 0)]
+    while stack:
+        node, depth, a, b, c, p, q = stack.pop()
+        depth += 1
+        for x, child in node.items():
+            if not x:
+                if child is not None:
+                    for k, reached in enumerate((a, b, c)):
+                        while reached:
+                            low = reached & -reached
+                            found.append((child, k, low.bit_length() - 1))
+                            reached ^= low
+                continue
+            here = at.get(x, 0) | anyone
+            na = (a & here) << 1
+            nb = nc = np = nq = 0
+            if one:
+                nb = ((b & here) << 1) | a | ((a & full) << 1) | ((na & full) << 1) | ((p & here) << 2)
+                np = a & (here >> 1) & (full >> 1)
+                if two:
+                    nc = ((c & here) << 1) | b | ((b & full) << 1) | ((nb & full) << 1) | ((q & here) << 2)
+                    nq = b & (here >> 1) & (full >> 1)
+            if bands is not None:
+                ma, mb, mc = bands[depth]
+                na, nb, nc = na & ma, nb & mb, nc & mc
+            if na or nb or nc or np or nq:
+                stack.append((child, depth, na, nb, nc, np, nq))
+    return found
+
 
 @lru_cache(maxsize=1)
 def lexicon() -> Lexicon:
@@ -281,11 +391,11 @@ def _function_words() -> dict[str, tuple[int, ...]]:
     return {w: tuple(ks) for w, ks in out.items()}
 
 
-def _tally(words: list[str]) -> list[int]:
+def _tally(languages: Iterable[tuple[int, ...]]) -> list[int]:
     """Function words per language, in the order of FUNCTION_WORDS."""
-    known, counts = _function_words(), [0] * len(FUNCTION_WORDS)
-    for w in words:
-        for k in known.get(w, ()):
+    counts = [0] * len(FUNCTION_WORDS)
+    for ks in languages:
+        for k in ks:
             counts[k] += 1
     return counts
 
@@ -319,16 +429,29 @@ def _join_spelled(words: list[str]) -> list[str]:
     return out
 
 
+def _bare(token: str) -> str:
+    w = token.replace(_MARK, "").strip("'!*#|%_")
+    if w and not w.isascii() and any("a" <= c <= "z" for c in w.lower()):
+        w = w.translate(LOOKALIKES)
+    return w
+
+
 def _words(sentence: str) -> list[str]:
-    out = []
-    for w in _WORD.findall(sentence):
-        w = w.strip("'!*#|%_")
-        if not w:
-            continue
-        if not w.isascii() and any("a" <= c <= "z" for c in w.lower()):
-            w = w.translate(LOOKALIKES)
-        out.append(w)
-    return _join_spelled(out)
+    return _join_spelled([w for w in map(_bare, _WORD.findall(sentence)) if w])
+
+
+def _quoted(sentence: str) -> set[int]:
+    """Numbers of the words between quotation marks."""
+    if _MARK not in sentence:
+        return set()
+    kept = [t for t in _WORD.findall(sentence) if _bare(t)]
+    # words spelled letter by letter are one, so numbers only hold without them
+    return {k for k, t in enumerate(kept) if _MARK in t} if len(kept) == len(_words(sentence)) else set()
+
+
+@lru_cache(maxsize=1)
+def _saying() -> tuple[frozenset[str], tuple[str, ...]]:
+    return frozenset(fold(w.strip()) for lang, listed in SAYING.items() if lang != "ja" for w in listed.split(",")), tuple(w.strip() for w in SAYING["ja"].split(","))
 
 
 class _Hits:
@@ -336,6 +459,8 @@ class _Hits:
 
     def __init__(self):
         self.by: dict[str, list[tuple[float, float, int]]] = defaultdict(list)
+        #: Places of words that are quoted from others.
+        self.quoted: set[float] = set()
 
     def add(self, cls: str, first: float, last: float, edits: int) -> None:
         self.by[cls].append((first, last, edits))
@@ -358,13 +483,11 @@ class _Hits:
         return sum(1 for o in self.by.get(cls, ()) if not (o[0] <= hit[1] and hit[0] <= o[1]) and min(abs(o[0] - hit[1]), abs(hit[0] - o[1])) <= within)
 
 
-def _find(words: list[str], sentence: str, langs: list[str]) -> _Hits | None:
+def _find(words: list[str], phrases: list[tuple[int, tuple]], sentence: str, langs: list[str]) -> _Hits | None:
+    """Hits in a sentence: its words, and by place the phrases that may begin there."""
     lex, hits, n = lexicon(), _Hits(), len(words)
     guesses: list[tuple[str, tuple[int, int, int]]] = []
-    for i, w in enumerate(words):
-        begun = lex.begun(w)
-        if not begun:
-            continue
+    for i, begun in phrases:
         longest: dict[str, int] = {}
         for f, cls, lang, total, guess in begun:
             k = len(f)
@@ -385,24 +508,37 @@ def _find(words: list[str], sentence: str, langs: list[str]) -> _Hits | None:
                 else:
                     longest[cls] = k
                     hits.add(cls, i, i + k - 1, total)
+    told = False
     if _CJK.search(sentence):
         # places are in words of mean length, so that windows reach as far as in other languages
-        for term, cls in lex.cjk:
-            at = sentence.find(term)
-            while at >= 0:
-                hits.add(cls, n + at / CJK_WORD, n + (at + len(term) - 1) / CJK_WORD, 0)
-                at = sentence.find(term, at + len(term))
+        clean = sentence.replace(_MARK, "")
+        for first, last, term, cls, edits in lex.in_kana(clean):
+            place = n + first / CJK_WORD, n + last / CJK_WORD
+            if edits < 0 or (cls == "attack" and edits == 0 and len(clean.strip(_JA_ENDS)) == last - first + 1):
+                hits.add(cls, *place, 0)
+            elif cls in SUPPORT:
+                guesses.append((cls, (*place, edits)))
+        told = any(w in clean for w in _saying()[1])
+        if told and "」" in clean and "「" in clean:
+            hits.quoted |= {n + k / CJK_WORD for k in range(clean.index("「"), clean.rindex("」"))}
     if (hits.by or guesses) and _CALLED.search(sentence):
         hits.add("vocative", n, n, 0)
     # guesses are borne out by what is met, not by each other
     for cls, hit in [g for g in guesses if hits.supported(*g)]:
         hits.add(cls, *hit)
+    if hits.by and _MARK in sentence and (told or any(fold(w) in _saying()[0] for w in words)):
+        hits.quoted |= _quoted(sentence)
     return hits if hits.by else None
 
 
+def _reported(h: _Hits, hit) -> float:
+    """What is left of a score if others are only told to have said it."""
+    return 0.4 if h.near("report", hit, 6) or hit[0] in h.quoted else 1.0
+
+
 def _eased(h: _Hits, hit, score: float) -> float:
-    if h.near("report", hit, 6):
-        score *= 0.4
+    left = _reported(h, hit)
+    score = score if left == 1 else left * min(1.0, score)
     if h.near("goods", hit, 6) or any(o[0] <= hit[1] and hit[0] <= o[1] for o in h.by.get("goods", ())):
         score *= 0.4
     return score - 0.05 * min(2, hit[2])
@@ -454,12 +590,15 @@ def judge(h: _Hits) -> tuple[float, float, float]:
             s = 0.3 + 0.35 * (h.near("claim", x, 6))
         elif h.near("harm", x, 8) and h.near("wish", x, 6):
             s = 0.7
-        hate = max(hate, s * (0.4 if h.near("report", x, 6) else 1.0) - 0.05 * min(2, x[2]))
+        elif h.near("absence", x, 4) and h.near("better", x, 10) and h.near("place", x, 10):
+            # a better country without them
+            s = 0.8
+        hate = max(hate, s * _reported(h, x) - 0.05 * min(2, x[2]))
     for x in h.by.get("explicit", ()):
         s = 0.75 + 0.2 * h.near("offer", x, 10) + 0.1 * (addressed(x, 6) or h.near("person", x, 6))
-        sexual = max(sexual, s * (0.4 if h.near("report", x, 6) else 1.0) - 0.05 * min(2, x[2]))
+        sexual = max(sexual, s * _reported(h, x) - 0.05 * min(2, x[2]))
     for x in h.by.get("bodily", ()):
-        s = 0.2 + 0.4 * h.near("offer", x, 10) + 0.2 * (h.others("bodily", x, 10) > 0) + 0.3 * h.near("heat", x, 10) + 0.25 * (addressed(x, 4) or h.near("person", x, 4)) + 0.3 * h.near("explicit", x, 12)
+        s = 0.2 + 0.4 * h.near("offer", x, 10) + 0.2 * (h.others("bodily", x, 10) > 0) + 0.3 * h.near("heat", x, 10) + 0.15 * (h.others("heat", x, 10) > 1) + 0.25 * (addressed(x, 4) or h.near("person", x, 4)) + 0.3 * h.near("explicit", x, 12)
         sexual = max(sexual, _eased(h, x, min(s, 1.0)))
     return abuse, hate, sexual
 
@@ -468,17 +607,31 @@ def score_text(text: str | None, lang: str | None = None) -> tuple[float, float,
     """Scores (abuse, hate, sexual) of a text, each from 0 to 1."""
     if not text or not text.strip():
         return 0.0, 0.0, 0.0
-    parts = [s for s in _SENTENCE.findall(repair(text)) if s.strip()]
-    tokens = [_words(s) for s in parts]
-    tallies = [_tally([fold(w) for w in ws]) for ws in tokens]
+    text = repair(text)
+    lex = lexicon()
+    # quoted words are marked before sentences are cut, since a quotation may hold several
+    text = _QUOTED.sub(lambda m: _STARTS.sub(_MARK, m[0]), text.replace(_MARK, ""))
+    parts, scoring = [], False
+    for s in _SENTENCE.findall(text):
+        known = [k for k in map(lex.known, _WORD.findall(s)) if k[0]]
+        if known and sum(len(k[0]) == 1 for k in known) >= 3:
+            known = [lex.known(w) for w in _join_spelled([k[0] for k in known])]
+        counts = any(k[3] for k in known) or lex.begins_kana(s)
+        scoring |= counts
+        parts.append((s, known, counts))
+    if not scoring:
+        return 0.0, 0.0, 0.0
+    tallies = [_tally(k[1] for k in known) for _, known, _ in parts]
     whole = [sum(t) for t in zip(*tallies)] or [0] * len(FUNCTION_WORDS)
     general = _best(whole, 1) or declared(lang) or list(FUNCTION_WORDS)
     best = [0.0, 0.0, 0.0]
-    for sentence, words, tally in zip(parts, tokens, tallies):
+    for (sentence, known, counts), tally in zip(parts, tallies):
+        if not counts:
+            continue
         own = _best(tally, 2)
         # a sentence without clear signs follows its text, and may be in the declared language
         langs = own if own and (len(own) == 1 or not set(own) & set(general)) else list({*general, *declared(lang), *_best(tally, 1)})
-        h = _find(words, sentence, langs)
+        h = _find([k[0] for k in known], [(i, k[2]) for i, k in enumerate(known) if k[2]], sentence, langs)
         if h is not None:
             for k, s in enumerate(judge(h)):
                 best[k] = max(best[k], s)

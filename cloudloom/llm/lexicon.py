@@ -8,7 +8,7 @@ TERMS: dict[str, dict[str, str]] = {
     "insult": {
         "en": "idiot, moron, twat, scumbag, scum bag, wanker, dickhead, asshole, arsehole, bastard, cretin, imbecile, dumbass, dumb ass, shithead, bitch, cunt, prick, motherfucker,"
         " jackass, douchebag, douche, retard, slut, whore, piece of shit, pieces of shit, waste of air, waste of space, waste of oxygen, son of a bitch, halfwit, nitwit, dimwit, scum, tosser, bellend, fuckwit,"
-        " fucker, airhead, lowlife, low life, degenerate, dipshit, shitbag, sleazebag, numbskull, bonehead, bollocks brain, skank, tramp, pig face, cow face",
+        " fucker, airhead, wazzock, pillock, plonker, numpty, arsewipe, knobhead, buffoon, nincompoop, simpleton, ignoramus, dunce, imbecilic, sociopath, psychopath, bigot, lowlife, low life, degenerate, dipshit, shitbag, sleazebag, numbskull, bonehead, bollocks brain, skank, tramp, pig face, cow face",
         "de": "idiot, depp, trottel, arschloch, arschlöcher, wichser, hurensohn, hurensöhne, drecksack, schwachkopf, schwachköpfe, penner, dreckskerl, missgeburt, schlampe, hure, fotze, arsch, blödmann, vollidiot,"
         " spast, spasti, dummkopf, mistkerl, blöder sack, drecksau, miststück, vollpfosten, schwein, saukerl, lump, halunke, dumme kuh, blöde kuh, dummes schwein, wixer, kackbratze, volltrottel",
         "fr": "connard, connasse, salaud, salope, enculé, abruti, bouffon, crétin, débile, ordure, fils de pute, pute, trou du cul, con, conne, imbécile, raclure, sale type, batard, tocard, crevard, pourriture, enfoiré, bande de cons, idiot, minable, couillon",
@@ -34,7 +34,7 @@ TERMS: dict[str, dict[str, str]] = {
     # sayings that attack by themselves
     "attack": {
         "en": "fuck you, fuck off, fuck yourself, go fuck, piss off, kiss my ass, kiss my arse, eat shit, shut your mouth, shut the fuck up, shut up you, drop dead, hang yourself, kill yourself, go to hell, rot in hell, screw you, suck my dick, suck my cock,"
-        " up yours, go die, nobody loves you, thrown you out with the bin, too stupid to breathe, burn in hell, get cancer, get run over, no wonder nobody likes you, you make me sick, you are garbage, you are trash, shove it up your, stick it up your, get lost you, worthless to this world, bring a bat, come with a bat, nobody would miss you",
+        " up yours, go die, nobody loves you, too stupid to breathe, burn in hell, get cancer, get run over, no wonder nobody likes you, you make me sick, you are garbage, you are trash, shove it up your, stick it up your, get lost you, nobody would miss you",
         "de": "fick dich, fickt euch, halt die fresse, halt deine fresse, halts maul, halt die klappe, halt dein maul, leck mich, leckt mich, verreck, verrecke, verreckt, verpiss dich, geh sterben, zur hölle mit dir, bring dich um, häng dich auf, schlag dich tot, stirb, friss scheiße, du kannst mich mal, scher dich zum teufel, mach dich vom acker du",
         "fr": "va te faire foutre, allez vous faire foutre, va te faire enculer, ferme ta gueule, fermez vos gueules, ta gueule, va crever, va mourir, casse toi, nique ta mère, je t'emmerde, je vous emmerde, va te pendre, va au diable, bouffe ta merde, suce moi, te casser la figure, te casser la gueule, te crever, te buter, te tuer",
         "es": "vete a la mierda, que te jodan, que te den, que os jodan, cállate la boca, cierra la boca, jódete, chinga tu madre, chúpamela, púdrete, muérete, ojalá te mueras, ojalá os muráis, te voy a partir, te voy a matar, te voy a romper, vete al infierno, ahórcate, come mierda, a la chingada, tírate por",
@@ -42,7 +42,7 @@ TERMS: dict[str, dict[str, str]] = {
     },
     # harm done to a body; a weak one needs a part of the body
     "harm": {
-        "en": "kill, die, choke, starve, burn, strangle, stab, murder, suffer, rot, drown, shoot, get sick, sick, bleed, hang, gut, bury, hurt, perish, slaughter, run over, beaten up, beat up, crash, suffocate",
+        "en": "kill, die, choke, starve, burn, strangle, stab, murder, suffer, rot, drown, shoot, get sick, sick, bleed, hang, gut, bury, hurt, perish, slaughter, shot, hanged, stabbed, gassed, run over, beaten up, beat up, crash, suffocate",
         "de": "umbringen, töten, sterben, verrecken, ersticken, verbrennen, erwürgen, abstechen, erschießen, krepieren, verhungern, leiden, totschlagen, verrotten, bluten",
         "fr": "tuer, crever, crève, crèves, mourir, meure, meures, étouffer, brûler, brûles, pendre, étrangler, souffrir, saigner, pourrir",
         "es": "matar, morir, mueras, muera, mueran, ahogar, quemar, ahorcar, sufrir, pudrir, sangrar, asfixiar, pudras, reventar",
@@ -63,7 +63,7 @@ TERMS: dict[str, dict[str, str]] = {
         "ja": "",
     },
     "wish": {
-        "en": "hope, deserve, deserves, wish, would pay, i pray, hopefully, should all, someone should, somebody should, i will, i would, i am going to, i am gonna, ought to, want to see, will come and, going to come, and should, better watch, love to see",
+        "en": "hope, should be, deserve, deserves, wish, would pay, i pray, hopefully, should all, someone should, somebody should, i will, i would, i am going to, i am gonna, ought to, want to see, will come and, going to come, and should, better watch, love to see",
         "de": "hoffe, hoffentlich, ich wünsche, wünsche dir, sollst, sollt, ich werde, soll, verdienst, man sollte, ich komme und",
         "fr": "j'espère, espère, que tu, je vais, tu mérites, vous méritez, puisses, puissiez, je souhaite, on devrait te",
         "es": "ojalá, espero que, te voy, os voy, que te, mereces, merecéis, voy a, te deseo, habría que te",
@@ -93,7 +93,7 @@ TERMS: dict[str, dict[str, str]] = {
     # groups of people for what they are
     "group": {
         "en": "woman, women, girl, gay people, gays, gay, lesbian, homosexual, trans people, immigrant, migrant, foreigner, refugee, muslim, jew, jewish people, christian, hindu, black people, blacks, asian, arab, gypsy, gypsies, roma, disabled people, disabled, cripple, old people, elderly,"
-        " people from over the border, over the border, that faith, their faith, that religion, that skin colour, skin colour, skin color, that skin, tribe, newcomer, people like them, that race, their race, their kind, that kind, asylum seeker, mexican, africans, chinese people, poles, turks, those people, orphans, handicapped",
+        " that faith, their faith, that religion, that skin colour, over the border, across the border, beyond the border, skin colour, skin color, that skin, tribe, newcomer, people like them, that race, their race, their kind, that kind, asylum seeker, mexican, africans, chinese people, poles, turks, those people, orphans, handicapped",
         "de": "frauen, mädchen, schwule, schwulen, lesben, ausländer, ausländern, flüchtlinge, flüchtlingen, muslime, juden, behinderte, behinderten, fremde volk, fremden, volk, alte leute, schwarze, schwarzen, zigeuner, migranten, türken, polen, christen, asylanten, homosexuelle, weiber, transen",
         "fr": "femmes, filles, homos, gays, homosexuels, lesbiennes, étrangers, migrants, immigrés, réfugiés, musulmans, juifs, handicapés, vieux, noirs, arabes, peuple, gens du voyage, roms, chrétiens, trans",
         "es": "mujeres, chicas, gays, homosexuales, lesbianas, extranjeros, inmigrantes, migrantes, refugiados, musulmanes, judíos, discapacitados, viejos, negros, gitanos, pueblo, moros, árabes, cristianos, indígenas",
@@ -101,13 +101,29 @@ TERMS: dict[str, dict[str, str]] = {
     },
     # words that degrade a group by themselves
     "degrade": {
-        "en": "vermin, subhuman, sub human, parasite, filth, scum, sewer, breed like, plague, disease, inferior, infest, cockroach, rats and, are rats, savages, driven out, beaten back, shipped back, ship back, sent back home, send them back, not human, right answer for, cleaner without, better without, keep those, keep them out, out of our town, are animals,"
-        " born thieves, born cheats, born criminals, born parasites, by nature, worth nothing, know what, lot is too stupid, cannot think, are a burden, get rid of, wiped out, gassed, exterminate, go back where, should be locked, should be banned, do not belong, never be human, ruin everything they touch, drive them out, lock them up, deport, degenerates, all the same filth, sterilised, sterilized, in cages, shot at the border, human waste, more rights than, know their place, less than human, breed like",
+        "en": "vermin, subhuman, sub human, parasite, filth, scum, sewer, breed like, plague, disease, inferior, infest, cockroach, rats and, are rats, savages, driven out, beaten back, shipped back, ship back, sent back home, send them back, not human, keep those, keep them out, out of our town, are animals,"
+        " born thieves, born cheats, born criminals, born parasites, by nature, worth nothing, know what, cannot think, are a burden, hitler was right, hitler had the right, history had the right, history was right, behind everything, control the banks, control the media, run the world, ruin this country, cannot be trusted, get rid of, wiped out, gassed, exterminate, go back where, should be locked, should be banned, do not belong, never be human, ruin everything they touch, drive them out, lock them up, deport, degenerates, all the same filth, sterilised, sterilized, in cages, shot at the border, human waste, more rights than, know their place, less than human, breed like",
         "de": "untermensch, untermenschen, abschaum, parasiten, parasit, ungeziefer, raus, weg mit, gehören raus, zu dumm für, vergasen, gehört vergast, ins lager, dreck, pack, sozialschmarotzer, minderwertig, kein mensch, keine menschen, plage, seuche, nichts wert, ratten, abschieben, einsperren",
-        "fr": "vermine, parasites, parasite, dehors, serait plus propre, trop bêtes, sous hommes, racaille, cafards, inférieurs, qu'ils se taisent, qu'elles se taisent, se taisent, rats, ordures, déchets, renvoyer, expulser, inutiles par nature, à enfermer, enfermer, fléau, pas humains",
-        "es": "parásitos, basura humana, escoria, ratas, plaga, fuera de aquí, inútiles por naturaleza, que se callen, encerrar, expulsar, echarlos, inferiores, no son humanos, bichos, subhumanos, estaría más limpio, más limpio sin, demasiado tontos, lacra, basura, por naturaleza, fuera",
+        "fr": "vermine, parasites, parasite, dehors, trop bêtes, sous hommes, racaille, cafards, inférieurs, qu'ils se taisent, qu'elles se taisent, se taisent, rats, ordures, déchets, renvoyer, expulser, inutiles par nature, à enfermer, enfermer, fléau, pas humains",
+        "es": "parásitos, basura humana, escoria, ratas, plaga, fuera de aquí, inútiles por naturaleza, que se callen, encerrar, expulsar, echarlos, inferiores, no son humanos, bichos, subhumanos, demasiado tontos, lacra, basura, por naturaleza, fuera",
         "ja": "害虫, 人間じゃない, 追い出せ, 出て行け, 劣等, 寄生虫, 馬鹿だから, バカだから, ゴミだ, 国へ帰れ, 国に帰れ, 社会のクズ, 駆除, 邪魔だ, 汚い民族",
     },
+    # a place said to be better without a group
+    "absence": {"en": "without, rid of, free of", "de": "ohne", "fr": "sans, débarrassé", "es": "sin, libre de", "ja": "がいなければ, のいない"},
+    "better": {
+        "en": "better, cleaner, safer, happier, nicer, richer, better off, paradise",
+        "de": "besser, sauberer, sicherer, schöner, reicher, glücklicher",
+        "fr": "mieux, meilleur, propre, plus sûr, plus beau, heureux",
+        "es": "mejor, limpio, más seguro, más bonito, feliz",
+        "ja": "きれいになる, 良くなる, よくなる, 平和",
+    },
+    "place": {
+        "en": "country, world, nation, town, city, village, society, street, neighbourhood, neighborhood, europe, land",
+        "de": "land, welt, stadt, dorf, gesellschaft, europa, viertel, straße",
+        "fr": "pays, monde, ville, village, société, europe, quartier, rue",
+        "es": "país, mundo, ciudad, pueblo, sociedad, europa, barrio, calle",
+        "ja": "国, 世界, 町, 社会",
+    },
     # words that degrade a group only with a claim about all of it
     "belittle": {
         "en": "rats, animals, thieves, criminals, cheats, useless, stupid, worthless, nothing, burden, liars, lazy, dirty, pigs, apes, trash, garbage, idiots, too stupid",
@@ -125,8 +141,8 @@ TERMS: dict[str, dict[str, str]] = {
     },
     # explicit by itself, plain words that may be, and words that only add
     "explicit": {
-        "en": "until we both came, we both came, blowjob, blow job, handjob, hand job, pussy, tits, boobs, titties, porn, porno, xxx, cumshot, jerk off, jerked off, jerking off, wank, masturbate, masturbating, horny, nudes, nude pics, nude pictures, naked pics, had sex, have sex, having sex, suck you off, sucked me off, suck me off, bend her over, bend you over, fuck me, fuck her, fucked her, fucking me, deepthroat, creampie, gangbang, orgasm, touch myself, bare body, my cock, your cock, great cock, my dick, your dick, huge dick, great ass, tight ass, sexy body, eat her out, lick her all over, finger me, dildo in, cam girl, camgirl, get laid, came inside, sex chat, sexting, stripping for",
-        "de": "ficken, fickte, gefickt, fick mich, blasen, geile nackte, titten, muschi, möpse, runtergeholt, runterholen, wichsen, nacktbilder, nacktfotos, porno, pornos, orgasmus, schwanz lutschen, geil auf, so geil, es getrieben, ding getrieben, sexkontakte, sexdate, nackten hintern, nackten arsch, nackt vor der kamera, vögeln, gevögelt, nutte, bumsen, bis wir beide kamen",
+        "en": "blowjob, blow job, handjob, hand job, pussy, tits, boobs, titties, porn, porno, xxx, cumshot, jerk off, jerked off, jerking off, wank, masturbate, masturbating, horny, nudes, nude pics, nude pictures, naked pics, had sex, have sex, having sex, suck you off, sucked me off, suck me off, bend her over, bend you over, fuck me, fuck her, fucked her, fucking me, deepthroat, creampie, gangbang, orgasm, touch myself, bare body, my cock, your cock, great cock, my dick, your dick, huge dick, great ass, tight ass, sexy body, eat her out, lick her all over, finger me, dildo in, cam girl, camgirl, get laid, came inside, sex chat, sexting, stripping for",
+        "de": "ficken, fickte, gefickt, fick mich, blasen, geile nackte, titten, muschi, möpse, runtergeholt, runterholen, wichsen, nacktbilder, nacktfotos, porno, pornos, orgasmus, schwanz lutschen, geil auf, so geil, es getrieben, ding getrieben, sexkontakte, sexdate, nackten hintern, nackten arsch, nackt vor der kamera, vögeln, gevögelt, nutte, bumsen",
         "fr": "baiser ce soir, veulent baiser, baisé, baise moi, baiser avec, une pipe, sucer, suce, bande déjà, je bande, nichons, chatte, bite, branler, branlé, branle, photos de tes seins, tes seins, nue et chaude, nues et chaudes, toute nue, coucher avec moi, porno, jouir, orgasme, plan cul, te baiser, on a baisé, faire l'amour toute",
         "es": "follar, follamos, follé, fóllame, mamada, tetas, polla, coño, cachondo, cachonda, porno, fotos desnuda, desnudas y calientes, desnuda para, sin ropa y, correrme, me corrí, masturbar, masturbé, paja, orgasmo, sexo oral, quiero sexo, chupar, culo rico, cogimos, a mi cama",
         "ja": "セックス, エッチ, おっぱい, 裸の写真, フェラ, オナニー, ヌード, 今すぐやりたい, ちんこ, まんこ, 巨乳, ハメ撮り, 性交, アダルト動画, 中出し, セフレ",
@@ -139,7 +155,7 @@ TERMS: dict[str, dict[str, str]] = {
         "ja": "裸, やりたい, 下着, 脱い, エロ",
     },
     "heat": {
-        "en": "came, cum, hard, wet, hot, legs, all night, in bed, all over, until we both, come and watch, do it, did it, kinky, position, on show, bring, over the counter, use it for",
+        "en": "came, cum, hard, wet, hot, legs, all night, in bed, all over, come and watch, do it, did it, kinky, position, on show, bring, over the counter, use it for",
         "de": "kamen, heiß, die ganze nacht, im bett, beide, beim anblick, scharf",
         "fr": "toute la nuit, au lit, ce soir, dessus, chaud",
         "es": "toda la noche, en la cama, encima, esta noche, hoy, rico",
@@ -154,7 +170,7 @@ TERMS: dict[str, dict[str, str]] = {
     },
     # what takes the edge off: telling what others said, goods, animals, lessons, care
     "report": {
-        "en": "called me, called him, called her, names, repeat, quote, quoted, said that, told me, the word, the words, a word, sign said, lyrics, printed, title, spelled, insult, insulted, swear word, reported, accused, do not call, rude, scolded, shouted at me, education, lesson, film, novel, chapter, dictionary, joke about",
+        "en": "he said, she said, they said, he told, she told, they told, he called, she called, they called, said to my, said to me, shouted at, yelled at, called us, called me, called him, called her, names, repeat, quote, quoted, said that, told me, the word, the words, a word, sign said, lyrics, printed, title, spelled, insult, insulted, swear word, reported, accused, do not call, rude, scolded, shouted at me, education, lesson, film, novel, chapter, dictionary, joke about",
         "de": "nannte mich, genannt, sagte, wort, wörter, beschimpft, zitat, steht auf, gedruckt, aufklärung, roman, titel, wiederhole",
         "fr": "m'a traité, traité de, a dit, le mot, insulté, citation, imprimé, éducation, roman, titre, répéter",
         "es": "me llamó, llamado, dijo, la palabra, insultó, cita, impreso, educación, novela, título, repetir",
@@ -169,6 +185,16 @@ TERMS: dict[str, dict[str, str]] = {
     },
 }
 
+#: Words that tell that somebody said what stands between quotation marks.
+SAYING = {
+    "en": "said, says, saying, told, called, calls, wrote, shouted, yelled, screamed, muttered, heard, reads, printed, titled, title, lyrics, chapter, quote, quoted, replied, answered, line, sign",
+    "de": "sagte, sagt, nannte, rief, schrie, schrieb, meinte, steht, stand, heißt, titel, antwortete, zitat",
+    "fr": "dit, disait, appelé, traité, crié, hurlé, écrit, lance, répondu, titre, intitulé",
+    "es": "dijo, dice, llamó, gritó, escribió, contestó, título, titulado, pone",
+    "ja": "と言, と書, と呼, という, って言, と叫, と怒鳴",
+}
+#: Characters that may stand for others in Japanese terms; an empty string stands for any.
+KANA_MASKS = {"4": "死", "し": "死", "氏": "死", "○": "", "〇": "", "●": "", "*": ""}
 #: Letters that look like Latin ones.
 LOOKALIKES = str.maketrans("аеорсухікмтнвАЕОРСУХІКМТНВοαενικ", "aeopcyxikmthbAEOPCYXIKMTHBoaevik")
 #: What a digit or sign inside a word may stand for.

@@ -278,6 +278,57 @@ def test_real_words_are_not_guessed(text):
     assert max(abuse.score_text(text)) < abuse.LIMIT
 
 
+@pytest.mark.parametrize("text", ["He said you are an idiot.", "My review: 'you stupid cow' was what the clerk said to my wife; shocking", 'The driver shouted "you filthy moron" at us.', "Il a crié « sale con, va crever » dans la rue.", "「お前は死ね」と言われました。"])
+def test_told_of_others(text):
+    assert max(abuse.score_text(text)) < abuse.LIMIT
+
+
+@pytest.mark.parametrize("text", ['"You filthy moron" is all I have for you.', "You filthy moron. She said it was fine.", "you should be shot", "You wazzock", "Jews are behind everything."])
+def test_quotation_alone_is_no_excuse(text):
+    assert max(abuse.score_text(text)) >= abuse.LIMIT
+
+
+@pytest.mark.parametrize("text,found", [("しね", 1), ("死ネ", 1), ("お前は4ね", 1), ("お前は氏ね", 1), ("安いしね。", 0), ("お前から買うのは楽だしね、と友達", 0), ("使いやすいばかりか安い", 0)])
+def test_japanese_spellings(text, found):
+    assert (max(abuse.score_text(text, "ja")) >= abuse.LIMIT) == bool(found)
+
+
+def test_japanese_terms_by_automata():
+    lex = abuse.Lexicon({"insult": {"ja": "ばかやろうめ"}, "attack": {"ja": "死ね"}})
+    at = lambda text: {(a, b, term, k) for a, b, term, _, k in lex.in_kana(text)}
+    assert at("このバカヤロウメ、ばかやろうめ") == {(2, 7, "ばかやろうめ", 0), (9, 14, "ばかやろうめ", -1)}
+    assert {(0, "ばかやろうめ", 1)} == {(a, t, k) for a, _, t, k in at("ばかやろめ")} == {(a, t, k) for a, _, t, k in at("ばかやらうめ")}
+    assert at("死ね、死ネ") == {(0, 1, "死ね", -1), (3, 4, "死ね", 0)} and at("ばやうめ") == set()
+
+
+def test_pieces_lose_no_word():
+    lex = abuse.lexicon()
+    rng = random.Random(9)
+    words = [w for w in sorted(lex.words) if len(w) >= 4 and w.isalpha()]
+    for _ in range(3000):
+        w = list(rng.choice(words))
+        for _ in range(2 if len(w) >= 11 else 1):
+            k, how = rng.randrange(len(w) - 1), rng.randrange(4)
+            if how == 0:
+                w[k] = rng.choice("aeinrst")
+            elif how == 1:
+                w.insert(k, rng.choice("aeinrst"))
+            elif how == 2:
+                w.pop(k)
+            else:
+                w[k], w[k + 1] = w[k + 1], w[k]
+        t = "".join(w)
+        most = 2 if len(t) >= 9 else 1
+        assert lex._shares(t, most) or not lex._run(list(t), most)
+
+
+def test_held_out():
+    from held_out import TEXTS
+
+    found = [(case, max(abuse.score_text(text, lang)) >= abuse.LIMIT) for case, lang, text in TEXTS]
+    assert sum(f for c, f in found if c) >= 0.9 * sum(c for c, _ in found) and sum(f for c, f in found if not c) <= 2
+
+
 @pytest.mark.parametrize("k,text", [
     (0, "お前は本当にどうしようもない間抜けだ"), (1, "外国人の客が多い店で買いましたが、品物はとても良くて安かったので満足です、でも外国人は害虫だ"),
     (0, "お前から買ったのは去年の夏のことでしたが、品物の到着がとても遅かったし、お前は間抜けだ"),
