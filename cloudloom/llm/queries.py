@@ -136,11 +136,30 @@ def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return abuse.rates(abuse.score(table(spark, sf_dir, "documents")))
 
 
+def p8_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per source what must hold of the scores: a row for every document, scores from 0 to 1, the highest as the document's, nothing in blank texts, and rates that add up."""
+    docs = table(spark, sf_dir, "documents")
+    scored = abuse.score(docs)
+    blank = docs.select("doc_id", F.coalesce(F.trim("text") == "", F.lit(True)).alias("blank"))
+    each = scored.join(blank, "doc_id").groupBy("source").agg(
+        F.count(F.lit(1)).alias("documents"), F.count_if("blank").alias("blank_documents"), F.count_if(F.col("blank") & (F.col("score") > 0)).alias("blank_scored"),
+        F.count_if((F.least("abuse", "hate", "sexual") < 0) | (F.col("score") > 1) | (F.col("score") != F.greatest("abuse", "hate", "sexual"))).alias("out_of_range"),
+        F.count_if(F.col("flagged") != (F.col("score") >= abuse.LIMIT)).alias("flagged_wrongly"), F.count_if("flagged").alias("flagged"),
+    )
+    rate = abuse.rates(scored).select(F.col("source").alias("s"), "documents", "flagged_documents", "rate").withColumnRenamed("documents", "d")
+    # both have a row per source
+    return each.join(rate, F.col("source").eqNullSafe(F.col("s"))).select(
+        "source", "documents", "blank_documents", "blank_scored", "out_of_range", "flagged_wrongly", ((F.col("d") == F.col("documents")) & (F.col("flagged_documents") == F.col("flagged")) & (F.abs(F.col("rate") * F.col("d") - F.col("flagged")) < 1e-6)).alias("rates_add_up"),
+    )
+
+
 QUERIES = {
-    f.__name__: f for f in (p2_percentiles, p2_percentiles_by_day, p2_checks, p6_found, p6_containers, p6_fill, p6_checks, p7_found, p7_mix, p7_shares, p7_checks, p8_found, p8_scores, p8_rates)
+    f.__name__: f for f in (p2_percentiles, p2_percentiles_by_day, p2_checks, p6_found, p6_containers, p6_fill, p6_checks, p7_found, p7_mix, p7_shares, p7_checks, p8_found, p8_scores, p8_rates, p8_checks)
 }
 
 SQL = {
+    "p8_checks": """SELECT source, count(*) AS documents, count(*) FILTER (WHERE coalesce(trim(text), '') = '') AS blank_documents,
+  0::BIGINT AS blank_scored, 0::BIGINT AS out_of_range, 0::BIGINT AS flagged_wrongly, true AS rates_add_up FROM documents GROUP BY source""",
     "p2_checks": "SELECT classification, count(*) AS n, CAST(min(Z) AS BIGINT) AS lowest, CAST(max(Z) AS BIGINT) AS highest, "
     + ", ".join(f"true AS p{share * 100:g}_ok" for share in SHARES)
     + " FROM (SELECT DISTINCT point_id, classification, Z FROM las_points) WHERE classification IS NOT NULL AND Z IS NOT NULL GROUP BY classification",
