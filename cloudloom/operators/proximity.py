@@ -24,9 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cloudloom.runtime import is_small
+from cloudloom.runtime import is_small, materialize
 
-#: Zones a task may hold at once; with more, zones are joined by strip.
+#: Zones a task may hold at once; with more, zones are joined by tile.
 ZONES_AT_ONCE = 10_000
 
 _FOUND = T.StructType([T.StructField("code", T.ByteType()), T.StructField("left_id", T.LongType()), T.StructField("right_id", T.LongType())])
@@ -139,7 +139,7 @@ def neighbours_and_zones(points: DataFrame, zones: DataFrame | None, radius: flo
         if is_small(usable, ZONES_AT_ONCE):
             held = [_box(r.asDict()) for r in usable.collect()]
         else:
-            far = zones_by_strip(points, usable)
+            far = zones_by_tile(points, usable)
     cut = _sections(points, radius)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     swept = cut.repartitionByRange(parts, "cell").sortWithinPartitions("cell", "X", "point_id").mapInArrow(_sweep(radius, held), _FOUND)
@@ -147,17 +147,37 @@ def neighbours_and_zones(points: DataFrame, zones: DataFrame | None, radius: flo
     return found if far is None else found.unionByName(far)
 
 
-def zones_by_strip(points: DataFrame, zones: DataFrame, strip: int = 1 << 16) -> DataFrame:
-    """'inside' rows for any number of zones: zones are listed under the strips of Y they meet, then joined by strip and tested."""
+def zones_by_tile(points: DataFrame, zones: DataFrame, salts: int = 32) -> DataFrame:
+    """'inside' rows for any number of zones: zones are listed under tiles of about their size, then joined by tile and tested.
+
+    A zone meets at most four tiles of the smallest power of two that its sides fit in; a point looks at one tile of each size that occurs,
+    33 at most. A tile that holds many points is spread over ``salts`` keys, with its zones under each.
+    """
     r = F.coalesce(F.greatest(F.col("radius"), F.lit(0)), F.lit(0)).cast("long")
     circle = F.col("shape") == "circle"
-    low = F.when(circle, F.col("centre_y") - r).otherwise(F.col("min_y").cast("long"))
-    high = F.when(circle, F.col("centre_y") + r).otherwise(F.col("max_y").cast("long"))
-    z = zones.where(low <= high).withColumn("strip", F.explode(F.sequence(F.floor(low / strip), F.floor(high / strip))))
+
+    def side(centre: str, low: str, high: str):
+        c = F.col(centre).cast("long")
+        return F.when(circle, c - r).otherwise(F.col(low).cast("long")), F.when(circle, c + r).otherwise(F.col(high).cast("long"))
+
+    (low_x, high_x), (low_y, high_y) = side("centre_x", "min_x", "max_x"), side("centre_y", "min_y", "max_y")
+    size = F.length(F.bin(F.greatest(high_x - low_x, high_y - low_y)))
+    z = zones.where((low_x <= high_x) & (low_y <= high_y)).withColumn("size", size)
+    for axis, (low, high) in (("tile_x", (low_x, high_x)), ("tile_y", (low_y, high_y))):
+        first, last = F.expr("shiftright(__low, size)"), F.expr("shiftright(__high, size)")
+        z = z.withColumns({"__low": low, "__high": high}).withColumn(axis, F.explode(F.array_distinct(F.array(first, last)))).drop("__low", "__high")
+    z = materialize(z)
+    sizes = [row[0] for row in z.select("size").distinct().collect()]
     p = points.where("X is not null and Y is not null and point_id is not null").groupBy("point_id").agg(F.min("X").alias("X"), F.min("Y").alias("Y"))
-    p = p.withColumn("strip", F.floor(F.col("Y") / strip))
+    x, y = F.col("X").cast("long"), F.col("Y").cast("long")
+    tiles = [F.struct(F.lit(k).alias("size"), F.shiftright(x, k).alias("tile_x"), F.shiftright(y, k).alias("tile_y")) for k in sizes]
+    if not tiles:
+        return p.where(F.lit(False)).select(F.lit("inside").alias("kind"), F.col("point_id").alias("left_id"), "point_id").withColumnRenamed("point_id", "right_id")
+    p = p.withColumn("tile", F.explode(F.array(*tiles))).select("point_id", "X", "Y", "tile.*", F.pmod(F.xxhash64("point_id"), F.lit(salts)).cast("int").alias("salt"))
+    z = z.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     dx, dy = F.col("X").cast("long") - F.col("centre_x"), F.col("Y").cast("long") - F.col("centre_y")
     inside = F.when(circle, dx * dx + dy * dy < r * r).otherwise(
         (F.col("X") >= F.col("min_x")) & (F.col("X") < F.col("max_x")) & (F.col("Y") >= F.col("min_y")) & (F.col("Y") < F.col("max_y"))
     )
-    return p.join(z, "strip").where(inside).select(F.lit("inside").alias("kind"), F.col("zone_id").alias("left_id"), F.col("point_id").alias("right_id"))
+    found = p.join(z, ["size", "tile_x", "tile_y", "salt"]).where(inside)
+    return found.select(F.lit("inside").alias("kind"), F.col("zone_id").alias("left_id"), F.col("point_id").alias("right_id"))

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import struct
 from dataclasses import dataclass
+from functools import reduce
 from math import floor, log
 
 import numpy as np
@@ -34,6 +35,8 @@ GAP = 1000
 LEVELS = 15
 #: Ordinals of a block in which runs are found first.
 BLOCK = 1 << 20
+#: Counts that come to the driver at a time where a value is narrowed down.
+BUCKETS = 1 << 12
 
 
 class IndexDataError(ValueError):
@@ -142,17 +145,37 @@ def cell_counts(points: DataFrame, cell: str = "cell") -> DataFrame:
 
 
 def merge_runs(runs: DataFrame, keys: list[str], gap: int, block: int = BLOCK) -> DataFrame:
-    """Joins runs (run_start, run_end, n) of each key that overlap or lie at most ``gap`` apart; n adds up."""
+    """Joins runs (run_start, run_end, n) of each key that overlap or lie at most ``gap`` apart; n adds up.
 
-    def once(df: DataFrame, by: list[str]) -> DataFrame:
-        w = Window.partitionBy(*by).orderBy("run_start", "run_end") if by else Window.orderBy("run_start", "run_end")
-        before = F.max("run_end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-        cut = df.withColumn("__new", F.when(F.col("run_start") - before <= gap, 0).otherwise(1))
-        cut = cut.withColumn("__island", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-        return cut.groupBy(*by, "__island").agg(F.min("run_start").alias("run_start"), F.max("run_end").alias("run_end"), F.sum("n").alias("n")).drop("__island")
+    Runs are joined inside blocks of ordinals. What reaches into a block from the left is carried over by a pass over one row a block.
+    """
+    cut = runs.withColumn("__block", F.floor(F.col("run_start") / block))
+    own = [*keys, "__block"]
+    w = Window.partitionBy(*own).orderBy("run_start", "run_end")
+    ahead, upto = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(Window.unboundedPreceding, 0)
+
+    def islands(df: DataFrame, reach: Column) -> DataFrame:
+        new = F.when(F.col("run_start") - reach <= gap, 0).otherwise(1)
+        return df.withColumn("__new", new).withColumn("__island", F.sum("__new").over(upto))
 
-    inside = once(runs.withColumn("__block", F.floor(F.col("run_start") / block)), [*keys, "__block"]).drop("__block")
-    return once(inside, keys)
+    def beside(rows: DataFrame, per_block: DataFrame) -> DataFrame:
+        each = per_block.select(*[F.col(k).alias(f"__of_{k}") for k in own], *[c for c in per_block.columns if c not in own])
+        return rows.join(each, reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"__of_{k}")) for k in own])).drop(*[f"__of_{k}" for k in own])
+
+    inside = islands(cut, F.max("run_end").over(ahead)).groupBy(*own, "__island").agg(
+        F.min("run_start").alias("run_start"), F.max("run_end").alias("run_end"), F.sum("n").alias("n")
+    ).drop("__island")
+    # one row a block, in order
+    blocks = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = inside.groupBy(*own).agg(F.max("run_end").alias("__last")).withColumn("__carried", F.max("__last").over(blocks)).drop("__last")
+    local = islands(beside(inside, carried), F.greatest(F.max("run_end").over(ahead), "__carried"))
+    # runs before the first island of a block belong to the last one begun before it
+    begun = local.groupBy(*own).agg(F.sum("__new").alias("__begun"))
+    opened = F.last(F.when(F.col("__begun") > 0, F.struct(F.col("__block").alias("b"), F.col("__begun").alias("k"))), True).over(blocks)
+    begun = begun.withColumn("__open", opened).drop("__begun")
+    named = beside(local, begun)
+    home = F.when(F.col("__island") > 0, F.struct(F.col("__block").alias("b"), F.col("__island").alias("k"))).otherwise(F.col("__open"))
+    return named.groupBy(*keys, home.alias("__home")).agg(F.min("run_start").alias("run_start"), F.max("run_end").alias("run_end"), F.sum("n").alias("n")).drop("__home")
 
 
 def cell_runs(points: DataFrame, gap: int = GAP, cell: str = "cell", block: int = BLOCK) -> DataFrame:
@@ -181,6 +204,21 @@ def coarsen(counts: DataFrame, levels: int, minimum_points: int) -> DataFrame:
     return each.join(fit, ["k", "up"]).groupBy("leaf").agg(F.max_by("up", "k").alias("cell"), F.max_by("full", "k").alias("full"))
 
 
+def _place(df: DataFrame, column: str, place: int) -> tuple[int, int]:
+    """The value of ``column`` at a place (from 1) in ascending order, and how many rows lie below that value. Narrowed by counts, never sorted."""
+    low, high = df.agg(F.min(column), F.max(column)).first()
+    below = 0
+    while low < high:
+        width = -(-(high - low + 1) // BUCKETS)
+        held = df.where(F.col(column).between(low, high)).groupBy(F.floor((F.col(column) - F.lit(low)) / F.lit(width)).cast("long").alias("b")).count().collect()
+        for r in sorted(held, key=lambda r: r["b"]):
+            if below + r["count"] >= place:
+                low, high = low + r["b"] * width, min(high, low + (r["b"] + 1) * width - 1)
+                break
+            below += r["count"]
+    return low, below
+
+
 def limit_runs(runs: DataFrame, maximum: int) -> DataFrame:
     """Closes the smallest gaps inside cells, ties by (cell, run), until ``maximum`` runs are left, at least one a cell.
 
@@ -197,21 +235,12 @@ def limit_runs(runs: DataFrame, maximum: int) -> DataFrame:
     w = Window.partitionBy("cell").orderBy("run_start")
     gaps = materialize(runs.withColumn("gap", F.col("run_start") - F.lag("run_end").over(w)))
     known = gaps.where("gap is not null")
-    # the gap at which the last closing falls: coarse classes of equal ratio first, then exact gaps of one class
-    ratio = F.floor(F.log2(F.greatest(F.col("gap"), F.lit(1)).cast("double")) * 64)
-    classes = sorted(known.groupBy(ratio.alias("c")).count().collect(), key=lambda r: r["c"])
-    left, at = spare, None
-    for r in classes:
-        at = r["c"]
-        if left <= r["count"]:
-            break
-        left -= r["count"]
-    inside = known.where(ratio == at).groupBy("gap").count()
-    up = Window.orderBy("gap").rowsBetween(Window.unboundedPreceding, 0)
-    edge = inside.withColumn("upto", F.sum("count").over(up)).where(F.col("upto") >= left).orderBy("gap").first()
-    cut, among = edge["gap"], left - (edge["upto"] - edge["count"])
-    # equal gaps go in order of cell and run
-    ties = known.where(F.col("gap") == cut).orderBy("cell", "run_start").limit(among).select("cell", "run_start", F.lit(True).alias("tied"))
+    # the gap at which the last closing falls; equal gaps go in order of cell and run
+    cut, below = _place(known, "gap", spare)
+    tied = known.where(F.col("gap") == cut)
+    cell, before = _place(tied, "cell", spare - below)
+    last, _ = _place(tied.where(F.col("cell") == cell), "run_start", spare - below - before)
+    ties = tied.where((F.col("cell") < cell) | ((F.col("cell") == cell) & (F.col("run_start") <= last))).select("cell", "run_start", F.lit(True).alias("tied"))
     marked = gaps.join(ties, ["cell", "run_start"], "left").withColumn(
         "closed", F.coalesce((F.col("gap") < cut) | F.col("tied"), F.lit(False))
     )

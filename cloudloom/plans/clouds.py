@@ -205,7 +205,7 @@ def dsm_max(spark, sf_dir):
 
 def dsm_dense(spark, sf_dir):
     sparse = folds.raster(cloud(spark, sf_dir), F.col("X"), F.col("Y"), F.col("Z"), 0.0, 20010.0, 100.0)
-    return folds.dense_raster(sparse, 201, 201).where("not isnan(value)")
+    return folds.dense_raster(sparse, 201, 201)
 
 
 def checksum(spark, sf_dir):
@@ -255,26 +255,17 @@ def cell_runs(spark, sf_dir):
 
 
 def coalesced_runs(spark, sf_dir):
-    r = runindex.cell_runs(_leafed(spark, sf_dir).where("cell % 5 = 0"), gap=20)
-    return runindex.merge_runs(r, [], 20).select("run_start", "run_end")
+    r = runindex.cell_runs(_leafed(spark, sf_dir), gap=3)
+    return runindex.merge_runs(r, [], 0).select("run_start", "run_end")
 
 
-def coarsen_one_level(spark, sf_dir):
-    """Joins four present siblings of the deepest level that hold fewer than 600 points together, once."""
-    level = 4
-    leaf = F.lit(runindex.level_offset(level)) + sum(
-        F.shiftleft(F.shiftright(c, 11 + k).bitwiseAND(F.lit(1)), 2 * k + s) for k in range(level) for c, s in (("X", 0), ("Y", 1))
+def coarsened(spark, sf_dir):
+    """Cells of a tree of four levels after joining present siblings that hold fewer than 600 points together."""
+    leaf = F.lit(runindex.level_offset(4)) + sum(
+        F.shiftleft(F.shiftright(c, 11 + k).bitwiseAND(F.lit(1)), 2 * k + s) for k in range(4) for c, s in (("X", 0), ("Y", 1))
     )
     counts = runindex.cell_counts(cloud(spark, sf_dir).select(leaf.cast("long").alias("cell")))
-    return _one_level(counts, level, 600)
-
-
-def _one_level(counts: DataFrame, level: int, minimum: int) -> DataFrame:
-    low, up = runindex.level_offset(level), runindex.level_offset(level - 1)
-    parent = F.lit(up) + F.shiftright(F.col("cell") - F.lit(low), 2)
-    w = Window.partitionBy(parent)
-    fits = (F.count(F.lit(1)).over(w) == 4) & (F.sum("full").over(w) < minimum)
-    return counts.withColumn("final", F.when(fits, parent).otherwise(F.col("cell"))).groupBy(F.col("final").alias("cell")).agg(F.sum("full").alias("full"))
+    return runindex.coarsen(counts, 4, 600).select("cell", "full").distinct()
 
 
 def limit_runs(spark, sf_dir):
@@ -313,7 +304,7 @@ def index_cells(spark, sf_dir):
 
 def zone_counts(spark, sf_dir):
     """Points of las_points per zone: a spatial join with half-open rectangles and open circles."""
-    inside = proximity.zones_by_strip(table(spark, sf_dir, "las_points"), table(spark, sf_dir, "zones"))
+    inside = proximity.zones_by_tile(table(spark, sf_dir, "las_points"), table(spark, sf_dir, "zones"))
     return inside.groupBy(F.col("left_id").alias("zone_id")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -350,7 +341,7 @@ QUERIES = {
         within_rect, within_circle, adjoining_rects, classification_thin, field_ranges, scaled_rect,
         points_slice, seek_point, preview, chunk_of_point, adaptive_chunks, chunk_starts,
         count_points, bounds, bounds_scaled, header_stats, by_return, dsm_max, dsm_dense, checksum, selection_checksum, file_summary, item_users,
-        cell_counts, cell_runs, coalesced_runs, coarsen_one_level, limit_runs, covered_points, indexed_rect, indexed_circle, index_candidates, index_cells,
+        cell_counts, cell_runs, coalesced_runs, coarsened, limit_runs, covered_points, indexed_rect, indexed_circle, index_candidates, index_cells,
         zone_counts, top_sources, return_cube, asof_header, gps_steps,
     )
 }
@@ -430,7 +421,9 @@ FROM (SELECT DISTINCT file_id, chunk_index, point_count, byte_offset FROM las_ch
     + " FROM pc",
     "by_return": _PC + " SELECT CAST(returns_and_flags & 7 AS SMALLINT) AS return_number, count(*) AS n FROM pc GROUP BY 1",
     "dsm_max": _PC + ' SELECT CAST(floor((20010::DOUBLE - Y) / 500) AS BIGINT) AS "row", CAST(floor(X / 500::DOUBLE) AS BIGINT) AS col, max(Z) AS value FROM pc GROUP BY 1, 2',
-    "dsm_dense": _PC + ' SELECT CAST(floor((20010::DOUBLE - Y) / 100) AS BIGINT) AS "row", CAST(floor(X / 100::DOUBLE) AS BIGINT) AS col, CAST(max(Z) AS DOUBLE) AS value FROM pc GROUP BY 1, 2',
+    "dsm_dense": _PC
+    + """, s AS (SELECT CAST(floor((20010::DOUBLE - Y) / 100) AS BIGINT) AS r, CAST(floor(X / 100::DOUBLE) AS BIGINT) AS c, CAST(max(Z) AS DOUBLE) AS v FROM pc GROUP BY 1, 2)
+SELECT CAST(g // 201 AS BIGINT) AS "row", CAST(g % 201 AS BIGINT) AS col, coalesce(v, 'NaN'::DOUBLE) AS value FROM range(201 * 201) t(g) LEFT JOIN s ON r = g // 201 AND c = g % 201""",
     "file_summary": """WITH h AS (SELECT DISTINCT file_id, version_minor, point_data_format_id, point_data_record_length, number_of_point_records, x_scale_factor FROM las_headers),
 p AS (SELECT file_id, count(DISTINCT point_id) AS points, min(X) AS a, max(X) AS b, min(Y) AS c, max(Y) AS d FROM las_points GROUP BY file_id)
 SELECT h.file_id, version_minor, point_data_format_id, point_data_record_length, number_of_point_records, points,
@@ -439,18 +432,23 @@ SELECT h.file_id, version_minor, point_data_format_id, point_data_record_length,
     "cell_counts": _PC + ' SELECT cell, count(*) AS "full" FROM leafed GROUP BY cell',
     "cell_runs": _PC + _RUNS + " SELECT cell, run_start, run_end, points FROM runs",
     "coalesced_runs": _PC
-    + """, s AS (SELECT cell, point_index, point_index - lag(point_index) OVER (PARTITION BY cell ORDER BY point_index) AS step FROM leafed WHERE cell % 5 = 0),
-i AS (SELECT *, sum(CASE WHEN step <= 20 THEN 0 ELSE 1 END) OVER (PARTITION BY cell ORDER BY point_index) AS island FROM s),
+    + """, s AS (SELECT cell, point_index, point_index - lag(point_index) OVER (PARTITION BY cell ORDER BY point_index) AS step FROM leafed),
+i AS (SELECT *, sum(CASE WHEN step <= 3 THEN 0 ELSE 1 END) OVER (PARTITION BY cell ORDER BY point_index) AS island FROM s),
 r AS (SELECT min(point_index) AS a, max(point_index) AS b FROM i GROUP BY cell, island),
 m AS (SELECT *, max(b) OVER (ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM r),
-g AS (SELECT *, sum(CASE WHEN a - before <= 20 THEN 0 ELSE 1 END) OVER (ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM m)
+g AS (SELECT *, sum(CASE WHEN a - before <= 0 THEN 0 ELSE 1 END) OVER (ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM m)
 SELECT min(a) AS run_start, max(b) AS run_end FROM g GROUP BY island""",
-    "coarsen_one_level": _PC
-    + ", l AS (SELECT 85 + ("
+    "coarsened": _PC
+    + ", l4 AS (SELECT "
     + " | ".join(f"(((X >> {11 + k}) & 1) << {2 * k}) | (((Y >> {11 + k}) & 1) << {2 * k + 1})" for k in range(4))
-    + """) AS cell, count(*) AS n FROM pc GROUP BY 1),
-w AS (SELECT cell, n, 21 + ((cell - 85) >> 2) AS parent, count(*) OVER (PARTITION BY (cell - 85) >> 2) AS present, sum(n) OVER (PARTITION BY (cell - 85) >> 2) AS total FROM l)
-SELECT CAST(CASE WHEN present = 4 AND total < 600 THEN parent ELSE cell END AS BIGINT) AS cell, CAST(sum(n) AS BIGINT) AS "full" FROM w GROUP BY 1""",
+    + """ AS c, count(*) AS n FROM pc GROUP BY 1),
+""" + ",\n".join(
+        # a parent stands if its four children stand whole and hold fewer than 600 points
+        f"u{k} AS (SELECT c >> 2 AS c, sum(n) AS n FROM {'l4' if k == 3 else f'u{k + 1}'} GROUP BY 1 HAVING count(*) = 4 AND sum(n) < 600)" for k in (3, 2, 1, 0)
+    ) + """,
+every AS (""" + " UNION ALL ".join(f"SELECT {k} AS level, c, n FROM {'l4' if k == 4 else f'u{k}'}" for k in range(5)) + """)
+SELECT CAST((4 ** level - 1) // 3 + c AS BIGINT) AS cell, CAST(n AS BIGINT) AS "full" FROM every e
+WHERE NOT EXISTS (SELECT 1 FROM every p WHERE p.level < e.level AND p.c = e.c >> CAST(2 * (e.level - p.level) AS INT))""",
     "limit_runs": _PC
     + _RUNS
     + """, g AS (SELECT *, run_start - lag(run_end) OVER (PARTITION BY cell ORDER BY run_start) AS gap FROM runs),

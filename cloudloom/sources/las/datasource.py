@@ -17,6 +17,7 @@ Writing: each task writes files of its own, or, with ``single``, the chunks of o
 from __future__ import annotations
 
 import glob
+import json
 import os
 import shutil
 import uuid
@@ -231,24 +232,50 @@ def read_slice(f: LasFile, schema: T.StructType, start: int, stop: int, rect=Non
 
 
 class LasStreamReader(DataSourceStreamReader):
-    """Files as they arrive under a path, in order of (time, name). Files must not change once they are there."""
+    """Files as they arrive under a path, each once, whatever its time or name. Files must not change once they are there.
+
+    Which files have been seen is kept in the folder of option ``log``, a list of files per offset; without it, in the offsets themselves.
+    """
 
     def __init__(self, options: dict, schema: T.StructType):
         self.options, self.batch = options, LasReader(options, schema)
+        self.log = _local(options["log"]) if "log" in options else None
+
+    def _logged(self, after: int, upto: int) -> list[str]:
+        out: list[str] = []
+        for k in range(after + 1, upto + 1):
+            with open(os.path.join(self.log, str(k)), encoding="utf-8") as f:
+                out += json.load(f)
+        return out
 
-    def _files(self) -> list[tuple[int, str, int]]:
-        return sorted((t, p, n) for p, n, t in list_files(self.options["path"]))
+    def _last(self) -> int:
+        if not os.path.isdir(self.log):
+            return 0
+        return max((int(n) for n in os.listdir(self.log) if n.isdigit()), default=0)
 
     def initialOffset(self) -> dict:
-        return {"time": -1, "file": ""}
+        return {"log": 0} if self.log else {"files": []}
 
     def latestOffset(self) -> dict:
-        files = self._files()
-        return {"time": files[-1][0], "file": files[-1][1]} if files else self.initialOffset()
+        there = {p for p, _, _ in list_files(self.options["path"])}
+        if not self.log:
+            return {"files": sorted(there | set(getattr(self, "_seen", ())))}
+        last = self._last()
+        new = sorted(there.difference(self._logged(0, last)))
+        if new:
+            # a list is there whole or not at all; one whose offset was lost is taken up again
+            os.makedirs(self.log, exist_ok=True)
+            part = os.path.join(self.log, f".{last + 1}")
+            with open(part, "w", encoding="utf-8") as f:
+                json.dump(new, f)
+            os.replace(part, os.path.join(self.log, str(last + 1)))
+            last += 1
+        return {"log": last}
 
     def partitions(self, start: dict, end: dict):
-        low, high = (start["time"], start["file"]), (end["time"], end["file"])
-        new = [(p, n, t) for t, p, n in self._files() if low < (t, p) <= high]
+        wanted = set(self._logged(start["log"], end["log"])) if self.log else set(end["files"]) - set(start["files"])
+        self._seen = end.get("files", ())
+        new = sorted(f for f in list_files(self.options["path"]) if f[0] in wanted)
         return plan_parts(new, int(self.options.get("splitPoints", SPLIT_POINTS)), int(self.options.get("groupBytes", GROUP_BYTES)))
 
     def read(self, partition: Part):

@@ -27,7 +27,10 @@ def stream_las(
     """
     register(spark)
     base = checkpoint or scratch(spark)
-    stream = spark.readStream.format("las").option("columns", ",".join(columns)).load(path)
+    stream = spark.readStream.format("las").option("columns", ",".join(columns))
+    if "://" not in base.removeprefix("file://"):
+        stream = stream.option("log", f"{base}/files")
+    stream = stream.load(path)
 
     def save(batch: DataFrame, number: int) -> None:
         each(batch).write.mode("overwrite").parquet(f"{base}/parts/batch={number}")

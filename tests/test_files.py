@@ -368,3 +368,38 @@ def test_sink_of_scaled_and_empty(spark, tmp_path):
     assert not [f for f in os.listdir(tmp_path / "b") if f.endswith((".las", ".laz"))]
     with pytest.raises(Exception, match="32 bits"):
         df.withColumn("x", F.lit(1e9)).write.format("las").mode("append").save(str(tmp_path / "c"))
+
+
+@pytest.mark.parametrize("log", [True, False])
+def test_stream_takes_files_that_land_late(spark, tmp_path, log):
+    from cloudloom.sources.las.datasource import LasStreamReader, read_headers  # noqa: F401
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+
+    def land(name, time):
+        (folder / name).write_bytes(b"")
+        os.utime(folder / name, (time, time))
+
+    options = {"path": str(folder), "columns": "X"} | ({"log": str(tmp_path / "log")} if log else {})
+    reader = LasStreamReader(options, None)
+    planned = []
+    import cloudloom.sources.las.datasource as source
+
+    before = source.plan_parts
+    source.plan_parts = lambda files, *_: planned.append([os.path.basename(f[0]) for f in files])
+    try:
+        start = reader.initialOffset()
+        land("b.las", 200)
+        for names in (["b.las"], ["a_late.las", "a_same.las"], []):
+            if "a_late.las" in names:
+                land("a_late.las", 100)
+                land("a_same.las", 200)
+            end = reader.latestOffset()
+            reader.partitions(start, end)
+            # a reader made anew, as after a restart, plans the same
+            LasStreamReader(options, None).partitions(start, end)
+            assert planned[-2:] == [names, names]
+            start = end
+    finally:
+        source.plan_parts = before

@@ -252,7 +252,7 @@ def test_neighbours_and_zones(spark, radius, spread):
     want = brute_near(rows, zones, radius)
     got = Counter((r.kind, r.left_id, r.right_id) for r in proximity.neighbours_and_zones(cloud(spark, rows), z, radius).collect())
     assert got == want and len(want) > 100
-    far = Counter((r.kind, r.left_id, r.right_id) for r in proximity.zones_by_strip(cloud(spark, rows), z.where("zone_id <= 5"), strip=128).collect())
+    far = Counter((r.kind, r.left_id, r.right_id) for r in proximity.zones_by_tile(cloud(spark, rows), z.where("zone_id <= 5"), salts=3).collect())
     assert far == Counter({k: v for k, v in want.items() if k[0] == "inside"})
 
 
