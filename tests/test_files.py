@@ -11,6 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from known_answers import FILES, RECTANGLES
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.datasource import GreaterThan, LessThan, LessThanOrEqual
 
 from cloudloom.operators import folds, regions, runindex
@@ -382,7 +383,7 @@ def test_stream_takes_files_that_land_late(spark, tmp_path, log):
         os.utime(folder / name, (time, time))
 
     options = {"path": str(folder), "columns": "X"} | ({"log": str(tmp_path / "log")} if log else {})
-    reader = LasStreamReader(options, None)
+    reader = LasStreamReader(options, T.StructType([T.StructField("X", T.IntegerType())]))
     planned = []
     import cloudloom.sources.las.datasource as source
 
@@ -398,7 +399,7 @@ def test_stream_takes_files_that_land_late(spark, tmp_path, log):
             end = reader.latestOffset()
             reader.partitions(start, end)
             # a reader made anew, as after a restart, plans the same
-            LasStreamReader(options, None).partitions(start, end)
+            LasStreamReader(options, reader.batch.schema).partitions(start, end)
             assert planned[-2:] == [names, names]
             start = end
     finally:
