@@ -30,6 +30,14 @@ def auto_offset(low: float, high: float, factor: float) -> float:
     return floor((low + high) / 2 / factor / 1e7) * 1e7 * factor
 
 
+def auto_offset_column(low: Column, high: Column, factor: float) -> Column:
+    """The same for columns of lowest and highest values."""
+    if not factor > 0:
+        raise ValueError("a scale factor must be positive")
+    middle = (low.cast("double") + high.cast("double")) / F.lit(2.0) / F.lit(float(factor)) / F.lit(1e7)
+    return F.floor(middle).cast("double") * F.lit(1e7) * F.lit(float(factor))
+
+
 def raw_bounds(low: float, high: float, factor: float, offset: float) -> tuple[int, int]:
     """Raw values that surely cover the scaled range: a prefilter a scan can use; the exact test must follow."""
     a, b = sorted(((low - offset) / factor, (high - offset) / factor))

@@ -7,6 +7,7 @@ import struct
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Values a field of a point record can hold (fixed by the format).
 RANGES = {
@@ -29,6 +30,11 @@ def holds(field: str) -> Column:
     return F.col(field).between(low, high)
 
 
+def colours(points: DataFrame) -> Column:
+    """The colour channels of a point as one value (red, green, blue, nir); a channel the points lack counts as 0."""
+    return F.struct(*[(F.coalesce(c, F.lit(0)) if c in points.columns else F.lit(0)).cast("int").alias(c) for c in ("red", "green", "blue", "nir")])
+
+
 def require_ranges(points: DataFrame) -> DataFrame:
     """The same points; a field that does not fit its bits raises when it is read. Nulls pass, other columns are left alone."""
 
@@ -42,7 +48,13 @@ def require_ranges(points: DataFrame) -> DataFrame:
 _PACKET = "<BQIffff"
 
 
-@F.pandas_udf("descriptor int, offset decimal(20,0), size long, return_point float, dx float, dy float, dz float")
+_PARTS = T.StructType(
+    [T.StructField("descriptor", T.IntegerType()), T.StructField("offset", T.DecimalType(20, 0)), T.StructField("size", T.LongType())]
+    + [T.StructField(c, T.FloatType()) for c in ("return_point", "dx", "dy", "dz")]
+)
+
+
+@F.pandas_udf(_PARTS)
 def _packet(raw: pd.Series) -> pd.DataFrame:
     from decimal import Decimal
 

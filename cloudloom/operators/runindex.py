@@ -256,6 +256,17 @@ class RunIndex:
 
     tree: Tree
     runs: DataFrame
+    #: What was odd about the bytes it was read from.
+    warnings: tuple[str, ...] = ()
+
+    def facts(self) -> DataFrame:
+        """One row: levels, bounds, cells, runs, points, and warnings."""
+        t = self.tree
+        one = self.runs.groupBy("cell").agg(F.max("full").alias("full"), F.count(F.lit(1)).alias("n")).agg(
+            F.count(F.lit(1)).alias("cells"), F.coalesce(F.sum("n"), F.lit(0)).alias("runs"), F.coalesce(F.sum("full"), F.lit(0)).alias("points")
+        )
+        lit = {"levels": t.levels, "min_x": t.min_x, "max_x": t.max_x, "min_y": t.min_y, "max_y": t.max_y}
+        return one.select(*[F.lit(v).alias(k) for k, v in lit.items()], "cells", "runs", "points", F.lit("; ".join(self.warnings)).alias("warnings"))
 
     def candidates(self, rect=None, circle=None, gap: int = GAP) -> DataFrame:
         """Merged runs (run_start, run_end) of the cells that meet an area, ascending."""
@@ -387,9 +398,9 @@ def parse(data: bytes) -> tuple[Tree, list[tuple[int, int, int, int]], list[str]
 
 
 def from_bytes(spark, data: bytes) -> RunIndex:
-    tree, rows, _ = parse(data)
+    tree, rows, warnings = parse(data)
     runs = spark.createDataFrame([(c, f, s, e, e - s + 1) for c, f, s, e in rows], "cell long, full long, run_start long, run_end long, n long")
-    return RunIndex(tree, with_boxes(tree, runs))
+    return RunIndex(tree, with_boxes(tree, runs), tuple(warnings))
 
 
 def spans(index: bytes, rect=None, circle=None, gap: int = GAP) -> list[tuple[int, int]]:

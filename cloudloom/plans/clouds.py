@@ -6,10 +6,12 @@ any engine repeats exactly. Scale and offset of that cloud are 0.01 and 0.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cloudloom.functions import bits, coords
+from cloudloom.functions import bits, coords, fields
 from cloudloom.operators import folds, proximity, regions, runindex
 from cloudloom.runtime import table
 
@@ -98,8 +100,7 @@ def class_bytes(spark, sf_dir):
 def colour_struct(spark, sf_dir):
     """Four colour channels of las_points as one value; a missing one counts as 0."""
     pts = table(spark, sf_dir, "las_points").where("red is not null")
-    packed = F.struct("red", "green", "blue", F.lit(0).alias("nir"))
-    return pts.select("file_id", "point_index", packed.alias("rgb")).select("file_id", "point_index", "rgb.red", "rgb.green", "rgb.blue", "rgb.nir").distinct()
+    return pts.select("file_id", "point_index", fields.colours(pts).alias("rgb")).select("file_id", "point_index", "rgb.red", "rgb.green", "rgb.blue", "rgb.nir").distinct()
 
 
 # predicates
@@ -128,8 +129,15 @@ def classification_thin(spark, sf_dir):
 
 def field_ranges(spark, sf_dir):
     """Points of las_points whose fields are out of the ranges a record can hold."""
-    bad = F.coalesce(~F.col("intensity").between(0, 65535), F.lit(False)) | F.coalesce(~F.col("classification").between(0, 31), F.lit(False))
-    return table(spark, sf_dir, "las_points").where(bad).select("point_id", "intensity", "classification").distinct()
+    bad = [F.coalesce(~fields.holds(f), F.lit(False)) for f in ("intensity", "classification", "user_data", "return_number", "red", "point_source_ID")]
+    return table(spark, sf_dir, "las_points").where(reduce(Column.__or__, bad)).select("point_id", "intensity", "classification").distinct()
+
+
+def checked_fields(spark, sf_dir):
+    """The other points, through the check that raises for a field that doesn't fit; per classification."""
+    good = [F.coalesce(fields.holds(f), F.lit(True)) for f in ("intensity", "classification")]
+    kept = table(spark, sf_dir, "las_points").where(reduce(Column.__and__, good)).select("point_id", "intensity", "classification").distinct()
+    return fields.require_ranges(kept).groupBy("classification").agg(F.count("point_id").alias("n"), F.max("intensity").alias("most"))
 
 
 def scaled_rect(spark, sf_dir):
@@ -338,7 +346,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         project_columns, scaled_xyz, unscale_roundtrip, unpack_fields, pack_flags, legacy_returns, scan_rank, class_bytes, colour_struct,
-        within_rect, within_circle, adjoining_rects, classification_thin, field_ranges, scaled_rect,
+        within_rect, within_circle, adjoining_rects, classification_thin, field_ranges, checked_fields, scaled_rect,
         points_slice, seek_point, preview, chunk_of_point, adaptive_chunks, chunk_starts,
         count_points, bounds, bounds_scaled, header_stats, by_return, dsm_max, dsm_dense, checksum, selection_checksum, file_summary, item_users,
         cell_counts, cell_runs, coalesced_runs, coarsened, limit_runs, covered_points, indexed_rect, indexed_circle, index_candidates, index_cells,
@@ -373,7 +381,63 @@ _RUNS = f""", lagged AS (SELECT cell, point_index, point_index - lag(point_index
 isl AS (SELECT *, sum(CASE WHEN step <= {RUN_GAP} THEN 0 ELSE 1 END) OVER (PARTITION BY cell ORDER BY point_index) AS island FROM lagged),
 runs AS (SELECT cell, island, min(point_index) AS run_start, max(point_index) AS run_end, count(*) AS points FROM isl GROUP BY cell, island)"""
 
+def low_first(v: str, size: int) -> str:
+    """The bytes of a whole number, lowest first, as a list."""
+    return "[" + ", ".join(f"CAST((({v})::BIGINT >> {8 * k}) & 255 AS INT)" for k in range(size)) + "]"
+
+
+def double_bytes(v: str) -> str:
+    bits_ = f"CAST({v} AS DOUBLE)::BIT::VARCHAR"
+    return "[" + ", ".join(f"CAST(substr({bits_}, {57 - 8 * k}, 8)::BIT::BIGINT & 255 AS INT)" for k in range(8)) + "]"
+
+
+def fnv_sql(bytes_: str) -> str:
+    """The 64-bit checksum (hex) of a list of bytes: multiply by the prime after each exclusive or."""
+    step = "((xor((h % 18446744073709551616::UHUGEINT)::UBIGINT, b::UBIGINT))::UHUGEINT * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT"
+    return f"lower(lpad(to_hex((list_reduce({bytes_}, lambda h, b: {step}, 14695981039346656037::UHUGEINT))::UBIGINT), 16, '0'))"
+
+
+def zeros(n: int) -> str:
+    return f"list_transform(range({n}), lambda x: 0::INT)"
+
+
+_RECORD = " || ".join(
+    [low_first(c, 4) for c in ("X", "Y", "Z")]
+    + [low_first("intensity", 2), low_first("returns_and_flags", 1), low_first("classification_byte", 1), zeros(4), double_bytes("gps_time"), zeros(42)]
+)
+# cells of 4 units, exact in single precision: a tree over whole cells, widened to a power of two, the larger half of the excess below
+_TREE = _PC + """, b AS (SELECT CAST(floor(min(x) / 4) AS BIGINT) AS ax, CAST(floor(max(x) / 4) + 1 AS BIGINT) AS bx, CAST(floor(min(y) / 4) AS BIGINT) AS ay, CAST(floor(max(y) / 4) + 1 AS BIGINT) AS by_ FROM xy),
+w AS (SELECT *, CAST(ceil(log2(greatest(bx - ax, by_ - ay))) AS INT) AS levels FROM b),
+t AS (SELECT levels, ax - ((1 << levels) - (bx - ax) - ((1 << levels) - (bx - ax)) // 2) AS ox, ay - ((1 << levels) - (by_ - ay) - ((1 << levels) - (by_ - ay)) // 2) AS oy FROM w),
+g AS (SELECT point_index, CAST(floor(x / 4) - ox AS BIGINT) AS gx, CAST(floor(y / 4) - oy AS BIGINT) AS gy, levels FROM xy, t),
+l AS (SELECT point_index, levels, CAST(list_sum(list_transform(range(15), lambda k: (((gx >> k) & 1) << (2 * k)) + (((gy >> k) & 1) << (2 * k + 1)))) AS BIGINT) AS leaf FROM g),
+c0 AS (SELECT leaf AS c, count(*) AS n FROM l GROUP BY 1),
+c1 AS (SELECT c >> 2 AS c, sum(n) AS n FROM c0 GROUP BY 1 HAVING count(*) = 4 AND sum(n) < {minimum}),
+c2 AS (SELECT c >> 2 AS c, sum(n) AS n FROM c1 GROUP BY 1 HAVING count(*) = 4 AND sum(n) < {minimum}),
+c3 AS (SELECT c >> 2 AS c, sum(n) AS n FROM c2 GROUP BY 1 HAVING count(*) = 4 AND sum(n) < {minimum}),
+every AS (SELECT 0 AS up, c, n FROM c0 UNION ALL SELECT 1, c, n FROM c1 UNION ALL SELECT 2, c, n FROM c2 UNION ALL SELECT 3, c, n FROM c3),
+home AS (SELECT l.point_index, l.levels, arg_max(e.c, e.up) AS c, max(e.up) AS up, arg_max(e.n, e.up) AS n FROM l JOIN every e ON e.c = l.leaf >> CAST(2 * e.up AS INT) GROUP BY ALL),
+cells AS (SELECT point_index, CAST((4 ** (levels - up) - 1) // 3 + c AS BIGINT) AS cell, CAST(n AS BIGINT) AS "full", levels, up, c FROM home),
+lg AS (SELECT *, point_index - lag(point_index) OVER (PARTITION BY cell ORDER BY point_index) AS step FROM cells),
+il AS (SELECT *, sum(CASE WHEN step <= 1000 THEN 0 ELSE 1 END) OVER (PARTITION BY cell ORDER BY point_index) AS island FROM lg),
+rr AS (SELECT cell, any_value("full") AS "full", any_value(levels) AS levels, any_value(up) AS up, any_value(c) AS c, island, min(point_index) AS run_start, max(point_index) AS run_end, count(*) AS n FROM il GROUP BY cell, island),
+gp AS (SELECT *, run_start - lag(run_end) OVER (PARTITION BY cell ORDER BY run_start) AS gap FROM rr),
+sp AS (SELECT greatest(0, count(*) - {most} * count(DISTINCT cell)) AS spare FROM rr),
+pl AS (SELECT *, CASE WHEN gap IS NOT NULL THEN row_number() OVER (ORDER BY gap NULLS LAST, cell, run_start) END AS place FROM gp),
+kp AS (SELECT *, sum(CASE WHEN place <= (SELECT spare FROM sp) THEN 0 ELSE 1 END) OVER (PARTITION BY cell ORDER BY run_start) AS kept FROM pl),
+idx AS (SELECT cell, any_value("full") AS "full", any_value(levels) AS levels, any_value(up) AS up, any_value(c) AS c, min(run_start) AS run_start, max(run_end) AS run_end, CAST(sum(n) AS BIGINT) AS n FROM kp GROUP BY cell, kept),
+boxed AS (SELECT idx.*, 4.0::DOUBLE * (ox + (list_sum(list_transform(range(15), lambda k: ((c >> (2 * k)) & 1) << k)) << up)) AS low_x, 4.0::DOUBLE * (oy + (list_sum(list_transform(range(15), lambda k: ((c >> (2 * k + 1)) & 1) << k)) << up)) AS low_y, 4.0::DOUBLE * (1 << up) AS side FROM idx, t)
+"""
+_INDEX_SQL = _TREE.replace("{minimum}", str(INDEX["minimum_points"])).replace("{most}", str(-INDEX["maximum_intervals"]))
+
 SQL = {
+    "checksum": _PC + ", r AS (SELECT point_index, " + _RECORD + " AS bytes FROM pc) SELECT 'events' AS file, " + fnv_sql("flatten(list(bytes ORDER BY point_index))") + ' AS hash, count(*) AS n FROM r',
+    "selection_checksum": _PC + f", r AS (SELECT point_index, {low_first('point_index', 8)} AS bytes FROM xy WHERE {_RECT_SQL}) SELECT 'events' AS file, " + fnv_sql("flatten(list(bytes ORDER BY point_index))") + " AS hash, count(*) AS n FROM r",
+    "index_cells": _INDEX_SQL + 'SELECT cell, "full", run_start, run_end, n, low_x, low_x + side AS high_x, low_y, low_y + side AS high_y FROM boxed',
+    "index_candidates": _INDEX_SQL + f""", hit AS (SELECT run_start AS a, run_end AS b FROM boxed WHERE low_x < {SMALL_RECT[2]} AND low_x + side > {SMALL_RECT[0]} AND low_y < {SMALL_RECT[3]} AND low_y + side > {SMALL_RECT[1]}),
+m AS (SELECT *, max(b) OVER (ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM hit),
+i AS (SELECT *, sum(CASE WHEN a - before <= 1000 THEN 0 ELSE 1 END) OVER (ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM m)
+SELECT min(a) AS run_start, max(b) AS run_end FROM i GROUP BY island""",
     "project_columns": _PC + " SELECT point_index, X, intensity, gps_time FROM pc",
     "scaled_xyz": _PC + " SELECT point_index, X * 0.01::DOUBLE AS sx, Y * 0.01::DOUBLE AS sy, Z * 0.01::DOUBLE AS sz FROM pc",
     "unscale_roundtrip": _PC + f", q AS (SELECT point_index, CAST({_away('((gps_time - 100::DOUBLE) / 0.5::DOUBLE)')} AS INT) AS q FROM pc) SELECT point_index, q, q * 0.5::DOUBLE + 100::DOUBLE AS back FROM q",
@@ -398,7 +462,10 @@ SELECT point_index, CAST(((flags << 5) & 224) | (CASE WHEN cls < 32 THEN cls ELS
     + """ SELECT CAST((CASE WHEN x < 50 THEN 0 ELSE 2 END) + (CASE WHEN y < 50 THEN 0 ELSE 1 END) AS INT) AS tile, count(*) AS n
 FROM xy WHERE x >= 0 AND x < 100 AND y >= 0 AND y < 100 GROUP BY 1""",
     "classification_thin": "SELECT DISTINCT file_id, point_index, X, Y, Z FROM las_points WHERE classification = 2",
-    "field_ranges": "SELECT DISTINCT point_id, intensity, classification FROM las_points WHERE intensity < 0 OR intensity > 65535 OR classification < 0 OR classification > 31",
+    "field_ranges": """SELECT DISTINCT point_id, intensity, classification FROM las_points WHERE intensity < 0 OR intensity > 65535 OR classification < 0 OR classification > 31
+  OR user_data < 0 OR user_data > 255 OR return_number < 0 OR return_number > 7 OR red < 0 OR red > 65535 OR point_source_ID < 0 OR point_source_ID > 65535""",
+    "checked_fields": """SELECT classification, count(*) AS n, max(intensity) AS most FROM (SELECT DISTINCT point_id, intensity, classification FROM las_points
+  WHERE coalesce(intensity BETWEEN 0 AND 65535, true) AND coalesce(classification BETWEEN 0 AND 31, true)) GROUP BY 1""",
     "scaled_rect": """SELECT DISTINCT point_id, X * 0.01::DOUBLE + 0.0::DOUBLE AS x, Y * 0.01::DOUBLE + 0.0::DOUBLE AS y FROM las_points
 WHERE X * 0.01::DOUBLE >= -20000 AND X * 0.01::DOUBLE < 60000 AND Y * 0.01::DOUBLE >= -10000 AND Y * 0.01::DOUBLE < 10000""",
     "points_slice": _PC + " SELECT point_index, X, Y, Z FROM pc WHERE point_index BETWEEN 100 AND 349",

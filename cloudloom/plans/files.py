@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cloudloom.functions import bits
 from cloudloom.operators import folds, runindex
-from cloudloom.plans.clouds import _PC, _RECT_SQL, RECT, cloud
+from cloudloom.plans.clouds import _PC, _RECT_SQL, RECT, cloud, double_bytes, fnv_sql, low_first, zeros
 from cloudloom.runtime import scratch, table
 from cloudloom.sources.las.datasource import read_headers, read_las, register, take_points
 from cloudloom.streaming.landing import parquet_counts, stream_las
@@ -177,6 +177,16 @@ SQL = {
     "laz_layered_scan": _F + f" SELECT {_names([*_NEW, 'red', 'green', 'blue', 'nir'])} FROM f",
     "laz_layers_skipped": _F + " SELECT point_index, X, intensity FROM f",
     "laz_compatibility": _F + f" SELECT {_names([*_NEW, 'nir'])} FROM f",
+    "laz_checksum": _PC
+    + ", r AS (SELECT point_index, "
+    + " || ".join(
+        [low_first(c, 4) for c in ("X", "Y", "Z")]
+        + [low_first("intensity", 2), low_first("returns_and_flags", 1), low_first("classification_byte", 1), low_first("point_index % 181 - 90", 1), low_first("X % 256", 1), low_first("Y % 65536", 2)]
+        + [double_bytes("gps_time"), low_first("Z * 60", 2), low_first("X * 3", 2), low_first("Y * 3", 2), zeros(36)]
+    )
+    + " AS bytes FROM pc) SELECT "
+    + fnv_sql("flatten(list(bytes ORDER BY point_index))")
+    + " AS hash, count(*) AS n FROM r",
     "laz_seek": _F + " SELECT point_index, X, Y, Z, gps_time FROM f WHERE point_index % 20 = 0",
     "laz_rect": _PC + f" SELECT point_index, x, y FROM xy WHERE {_RECT_SQL}",
     "laz_headers": _PC

@@ -17,6 +17,7 @@ Writing: each task writes files of its own, or, with ``single``, the chunks of o
 from __future__ import annotations
 
 import glob
+import base64
 import json
 import os
 import shutil
@@ -34,14 +35,16 @@ from pyspark.sql.datasource import (
 )
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from cloudloom.operators import regions
+from cloudloom.operators import regions, runindex
 from cloudloom.operators.runindex import spans
 from cloudloom.sources.las.file import LasFile, Layout, Source, Tally, assemble, chunks_of
-from cloudloom.sources.las.formats import ALL_LAYERS, NONE, is_wide, layers_for, point_schema, union_schema
+from cloudloom.sources.las.formats import ALL_LAYERS, LAYERED_CHUNKED, NONE, POINTWISE, POINTWISE_CHUNKED, is_wide, layers_for, point_schema, union_schema
+from cloudloom.sources.las.header import Vlr
 
-SPLIT_POINTS = 1_000_000
 #: Bytes of small files that share a partition.
 GROUP_BYTES = 16 << 20
+#: Bytes of a large file that make a partition.
+SPLIT_BYTES = 8 << 20
 #: Points of a chunk where chunks may have any size and no column decides.
 CHUNK = 50_000
 _ENDINGS = (".las", ".laz")
@@ -98,9 +101,10 @@ class Options(dict):
 
 @dataclass
 class Part(InputPartition):
-    """Slices (path, start, stop) of files; stop None means the whole file."""
+    """Slices (path, start, stop) of files; stop None means the whole file. ``share`` (k, n) means the k-th of n shares of the one file in it."""
 
     slices: tuple[tuple[str, int, int | None], ...]
+    share: tuple[int, int] | None = None
 
 
 class LasReader(DataSourceReader):
@@ -116,15 +120,31 @@ class LasReader(DataSourceReader):
         self.box = [-np.inf, -np.inf, np.inf, np.inf]
 
     def partitions(self):
-        return plan_parts(list_files(self.options["path"]), int(self.options.get("splitPoints", SPLIT_POINTS)), int(self.options.get("groupBytes", GROUP_BYTES)))
+        return plan_parts(list_files(self.options["path"]), self.options)
 
     def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
         for path, start, stop in partition.slices:
             with LasFile(path, self.selective) as f:
+                if partition.share:
+                    start, stop = share_of(f, *partition.share)
+                if start == stop or self._elsewhere(f):
+                    continue
                 for w in f.warnings:
                     warnings.warn(f"{path}: {w}", stacklevel=1)
                 yield from read_slice(f, self.schema, max(start, self.first), self._stop(stop, f), self.rect, self.circle, path, self.box)
 
+    def _elsewhere(self, f: LasFile) -> bool:
+        """True if the header says that no point lies in the area. Only with option ``trustBounds``, since headers may be wrong."""
+        if self.options.get("trustBounds", "false").lower() != "true" or not (self.rect or self.circle):
+            return False
+        h = f.header.fields
+        if self.rect:
+            low_x, low_y, high_x, high_y = self.rect
+        else:
+            cx, cy, r = self.circle
+            low_x, low_y, high_x, high_y = cx - r, cy - r, cx + r, cy + r
+        return h["min_x"] > high_x or h["max_x"] < low_x or h["min_y"] > high_y or h["max_y"] < low_y
+
     def _stop(self, stop: int | None, f: LasFile) -> int:
         stop = len(f) if stop is None else stop
         return stop if self.last is None else min(stop, self.last + 1)
@@ -154,8 +174,26 @@ class PushingReader(LasReader):
             yield f
 
 
-def plan_parts(files: list[tuple[str, int, int]], split: int, group: int) -> list[Part]:
-    """Small files are grouped by size alone, without opening them; large ones are opened and split."""
+def share_of(f: LasFile, k: int, n: int) -> tuple[int, int]:
+    """The ordinals of the k-th of n shares of a file: whole chunks, so that none is decoded twice. Of a file that can't be split the first share is all."""
+    total = len(f)
+    if not f.splittable:
+        return (0, total) if k == 0 else (0, 0)
+    ends = [total * k // n, total * (k + 1) // n]
+    if f.table is not None:
+        first = np.asarray(f.table.first[:-1] or [0], np.int64)
+        starts = [int(first[i]) if (i := int(np.searchsorted(first, e))) < len(first) else total for e in ends]
+        ends = [starts[0], total if k == n - 1 else starts[1]]
+    return ends[0], ends[1]
+
+
+def plan_parts(files: list[tuple[str, int, int]], options: Options) -> list[Part]:
+    """Files by size alone: small ones are grouped, large ones come in shares of ``splitBytes``, which the tasks cut at chunks. None is opened here.
+
+    With option ``splitPoints`` files over ``groupBytes`` are opened and cut at that many points instead.
+    """
+    group, share = int(options.get("groupBytes", GROUP_BYTES)), int(options.get("splitBytes", SPLIT_BYTES))
+    split = int(options.get("splitPoints", 0))
     parts, held, size = [], [], 0
     for path, n, _ in files:
         if n <= group:
@@ -165,6 +203,10 @@ def plan_parts(files: list[tuple[str, int, int]], split: int, group: int) -> lis
             held.append((path, 0, None))
             size += n
             continue
+        if not split:
+            shares = -(-n // share)
+            parts += [Part(((path, 0, None),), (k, shares)) for k in range(shares)]
+            continue
         with LasFile(path) as f:
             total = len(f)
             if not f.splittable:
@@ -276,7 +318,7 @@ class LasStreamReader(DataSourceStreamReader):
         wanted = set(self._logged(start["log"], end["log"])) if self.log else set(end["files"]) - set(start["files"])
         self._seen = end.get("files", ())
         new = sorted(f for f in list_files(self.options["path"]) if f[0] in wanted)
-        return plan_parts(new, int(self.options.get("splitPoints", SPLIT_POINTS)), int(self.options.get("groupBytes", GROUP_BYTES)))
+        return plan_parts(new, self.options)
 
     def read(self, partition: Part):
         return self.batch.read(partition)
@@ -295,26 +337,39 @@ class Written(WriterCommitMessage):
     first: int
 
 
+def _records(text: str) -> list[Vlr]:
+    """Records from JSON: a list of {user_id, record_id, data (base64), description}."""
+    return [Vlr(r["user_id"], int(r["record_id"]), base64.b64decode(r.get("data", "")), r.get("description", "")) for r in json.loads(text)]
+
+
 class LasWriter(DataSourceArrowWriter):
     def __init__(self, options: dict, schema: T.StructType, overwrite: bool):
         self.path, self.overwrite = _local(options["path"]), overwrite
         if "://" in self.path:
             raise ValueError("point files are written to a folder all executors share")
         flag = lambda k, d: options.get(k, d).lower() == "true"
-        fmt = int(options.get("pointFormat", "0"))
         self.single = flag("single", "false")
-        self.layout = Layout(
-            fmt,
-            scales=tuple(_numbers(options.get("scales"), 3) or (0.01, 0.01, 0.01)),
-            offsets=tuple(_numbers(options.get("offsets"), 3) or (0.0, 0.0, 0.0)),
-            extra=int(options.get("extraBytes", "0")),
-            compressed=flag("compressed", "true"),
-            item_version=int(options["itemVersion"]) if "itemVersion" in options else None,
-            chunk_size=int(options.get("chunkSize", "50000")),
-            version_minor=int(options["versionMinor"]) if "versionMinor" in options else None,
-            crs=(int(options["crs"]) if options["crs"].isdigit() else options["crs"]) if "crs" in options else None,
-            compatibility=flag("compatibility", "false"),
-        )
+        own = {
+            name: read(options[option])
+            for option, name, read in (
+                ("pointFormat", "point_format", int), ("scales", "scales", lambda v: tuple(_numbers(v, 3))), ("offsets", "offsets", lambda v: tuple(_numbers(v, 3))),
+                ("extraBytes", "extra", int), ("compressed", "compressed", lambda v: v.lower() == "true"), ("itemVersion", "item_version", int), ("chunkSize", "chunk_size", int),
+                ("versionMinor", "version_minor", int), ("crs", "crs", lambda v: int(v) if v.isdigit() else v), ("compatibility", "compatibility", lambda v: v.lower() == "true"),
+                ("container", "compressor", lambda v: {"pointwise": POINTWISE, "chunked": POINTWISE_CHUNKED, "layered": LAYERED_CHUNKED}[v.lower()]),
+                ("systemIdentifier", "system_identifier", str), ("generatingSoftware", "generating_software", str), ("creation", "creation", lambda v: tuple(int(x) for x in _numbers(v, 2))),
+                ("userData", "user_data", base64.b64decode), ("userDataAfter", "user_data_after", base64.b64decode), ("projectId", "project_id", base64.b64decode),
+                ("vlrs", "vlrs", _records), ("evlrs", "evlrs", _records),
+            )
+            if option in options
+        }
+        if "like" in options:
+            # everything of another file but its points
+            with LasFile(options["like"]) as f:
+                self.layout = f.layout(**own)
+        else:
+            self.layout = Layout(**{"point_format": 0} | own)
+        if self.layout.compressor == POINTWISE and not self.single:
+            raise ValueError("a pointwise file is one stream: write it with option single, from one partition")
         self.chunk_by = options.get("chunkBy")
         if self.chunk_by and self.layout.chunk_size:
             raise ValueError("chunkBy needs chunkSize 0")
@@ -371,7 +426,7 @@ class LasWriter(DataSourceArrowWriter):
         name = uuid.uuid4().hex
         body = f"{self.path}/_writing/{name}.body"
         with open(body, "wb") as out:
-            for cols in chunks_of(prepared(), 1 << 16 if lay.compressor == NONE else lay.chunk_size or (0 if self.chunk_by else CHUNK)):
+            for cols in chunks_of(prepared(), 1 << 62 if lay.compressor == POINTWISE else 1 << 16 if lay.compressor == NONE else lay.chunk_size or (0 if self.chunk_by else CHUNK)):
                 raw = lay.chunk(cols)
                 out.write(raw)
                 lengths.append(len(raw))
@@ -379,6 +434,8 @@ class LasWriter(DataSourceArrowWriter):
         if not tally.count:
             os.remove(body)
             return Written(None, None, tally, [], [], 0)
+        if self.single and lay.compressor == POINTWISE and seen and seen[0] > 0:
+            raise ValueError("a pointwise file is one stream: write it from one partition")
         if self.single:
             return Written(body, None, tally, lengths, counts, seen[0] if seen else 0)
         whole = f"{self.path}/_writing/{name}{self.ending}"
@@ -398,7 +455,7 @@ class LasWriter(DataSourceArrowWriter):
             for m in done:
                 tally.merge(m.tally)
             counts = [c for m in done for c in m.counts]
-            if self.layout.chunk_size and self.layout.compressor != NONE and any(c != self.layout.chunk_size for c in counts[:-1]):
+            if self.layout.chunk_size and self.layout.compressor not in (NONE, POINTWISE) and any(c != self.layout.chunk_size for c in counts[:-1]):
                 raise ValueError("tasks end in the middle of chunks of fixed size; write with chunkSize 0")
             whole = f"{self.path}/_writing/whole{self.ending}"
             with open(whole, "wb") as out:
@@ -413,6 +470,11 @@ class LasWriter(DataSourceArrowWriter):
         for m in messages:
             if m is not None and m.temporary and os.path.exists(m.temporary):
                 os.remove(m.temporary)
+        try:
+            # tasks that failed left nothing of their own, or what they left is in no file's way
+            os.rmdir(f"{self.path}/_writing")
+        except OSError:
+            pass
 
 
 def _pieces(path: str, size: int = 1 << 20) -> Iterator[bytes]:
@@ -478,7 +540,8 @@ def read_las(spark: SparkSession, path: str, columns: list[str] | None = None, *
 
 def read_headers(spark: SparkSession, path: str):
     """One row per file: the facts of its header, and its warnings. Files are opened in tasks."""
-    files = spark.createDataFrame([(p,) for p, _, _ in list_files(path)], "file string")
+    listed = list_files(path)
+    files = spark.createDataFrame([(p,) for p, _, _ in listed], "file string")
     kind = (
         "file string, version string, point_format int, record_length int, points long, compressor int, chunk_size long, chunks int,"
         " x_scale double, y_scale double, z_scale double, x_offset double, y_offset double, z_offset double,"
@@ -505,7 +568,71 @@ def read_headers(spark: SparkSession, path: str):
     schema = StructType.fromDDL(kind)
     arrow = to_arrow_schema(schema)
     assert schema.names == names
-    return files.repartition(max(1, min(len(files.take(1)) and files.count(), 1000))).mapInArrow(run, schema)
+    return files.repartition(max(1, min(len(listed), 1000))).mapInArrow(run, schema)
+
+
+def metadata_records(spark: SparkSession, path: str):
+    """One row per record of each file, before and behind the points: file, extended, position, user_id, record_id, description, size, data."""
+    kind = "file string, extended boolean, position int, user_id string, record_id int, description string, size long, data binary"
+
+    def each(path: str) -> Iterator[tuple]:
+        with LasFile(path) as f:
+            for extended, records in ((False, f.header.vlrs), (True, f.header.evlrs)):
+                for k, v in enumerate(records):
+                    data = f.payload(v)
+                    yield path, extended, k, v.user_id, v.record_id, v.description, len(data), data
+
+    return _per_file(spark, path, each, kind)
+
+
+def chunk_table(spark: SparkSession, path: str):
+    """One row per chunk of each compressed file: file, chunk, first_index, points, byte_offset, byte_size."""
+
+    def each(path: str) -> Iterator[tuple]:
+        with LasFile(path) as f:
+            if f.table is not None:
+                t = f.table
+                for k in range(len(t.starts) - 1):
+                    yield path, k, t.first[k], t.first[k + 1] - t.first[k], t.starts[k], t.starts[k + 1] - t.starts[k]
+
+    return _per_file(spark, path, each, "file string, chunk int, first_index long, points long, byte_offset long, byte_size long")
+
+
+def _per_file(spark: SparkSession, path: str, each, kind: str):
+    """Rows that a function makes of every file under a path; files are opened in tasks."""
+    files = list_files(path)
+    arrow = to_arrow_schema(T.StructType.fromDDL(kind))
+
+    def run(batches):
+        for b in batches:
+            for path in b["file"].to_pylist():
+                if rows := list(each(path)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), arrow.types)], names=arrow.names)
+
+    listed = spark.createDataFrame([(p,) for p, _, _ in files], "file string")
+    return listed.repartition(max(1, min(len(files), 1000))).mapInArrow(run, kind)
+
+
+def copy_las(df, like: str, target: str, **options) -> None:
+    """Writes points under ``target`` with everything else of the file ``like``: scales, offsets, records, coordinate system, names of extra bytes. Options override."""
+    register(df.sparkSession)
+    w = df.write.format("las").mode("append").option("like", like)
+    for k, v in options.items():
+        w = w.option(k, str(v).lower() if isinstance(v, bool) else v)
+    w.save(target)
+
+
+def write_index(spark: SparkSession, path: str, **how) -> None:
+    """Builds a spatial index for every file under a path and writes it beside the file, on whatever file system Spark can write to. ``how`` goes to ``runindex.build``."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for file, _, _ in list_files(path):
+        index = runindex.build(read_las(spark, file, ["point_index", "x", "y"], scaled=True), **how).serialize()
+        target = jvm.org.apache.hadoop.fs.Path(os.path.splitext(file)[0] + ".lax")
+        out = target.getFileSystem(conf).create(target, True)
+        try:
+            out.write(bytearray(index))
+        finally:
+            out.close()
 
 
 def take_points(wanted, schema: T.StructType, near: int = 50_000):
@@ -543,8 +670,9 @@ def take_points(wanted, schema: T.StructType, near: int = 50_000):
     cut = wanted.select("file", wanted["point_index"].cast("long").alias("point_index"))
     from pyspark.sql import functions as F
 
-    parts = int(wanted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return cut.repartition(parts, "file", F.floor(F.col("point_index") / near)).mapInArrow(run, schema)
+    # neighbouring chunks go to one task in the same amount, and each is decoded once, up to the last point wanted of it
+    parts = 2 * int(wanted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut.repartitionByRange(parts, "file", F.floor(F.col("point_index") / near)).mapInArrow(run, schema)
 
 
 def decode_binary(files, schema: T.StructType):
@@ -559,4 +687,4 @@ def decode_binary(files, schema: T.StructType):
     return files.select("path", "content").mapInArrow(run, schema)
 
 
-__all__ = ["ALL_LAYERS", "LasDataSource", "Source", "decode_binary", "list_files", "read_headers", "read_las", "register", "spans", "take_points"]
+__all__ = ["ALL_LAYERS", "LasDataSource", "Source", "chunk_table", "copy_las", "decode_binary", "list_files", "metadata_records", "read_headers", "read_las", "register", "spans", "take_points", "write_index"]

@@ -87,7 +87,7 @@ class LasFile:
         at = h.fields.get("start_of_first_extended_variable_length_record", 0)
         if h.fields.get("number_of_extended_variable_length_records", 0):
             if 0 < at <= s.size:
-                H.parse_evlrs(h, s.read(at, s.size - at), at)
+                H.parse_evlrs(h, s.read, s.size)
             else:
                 h.warnings.append("the extended records lie outside the file")
         M.upgrade(h)
@@ -208,19 +208,47 @@ class LasFile:
         """Bytes of the spatial index: the one inside the file, else the sidecar's; None if there is none."""
         v = self.header.record(H.SPATIAL_INDEX, True) or self.header.record(H.SPATIAL_INDEX)
         if v is not None:
-            return v.data
+            return self.payload(v)
         n, at = self.header.special
         if n > 0 and 0 < at and at + H.LONG_RECORD.size <= self.source.size:
             _, user, number, length, _ = H.LONG_RECORD.unpack(self.source.read(at, H.LONG_RECORD.size))
             if (H.text(user), number) == H.SPATIAL_INDEX:
                 return self.source.read(at + H.LONG_RECORD.size, length)
         if self.path:
-            side = os.path.splitext(self.path.removeprefix("file://"))[0] + ".lax"
-            if "://" not in side and os.path.exists(side):
+            side = os.path.splitext(self.path.removeprefix("file://").removeprefix("file:"))[0] + ".lax"
+            if "://" in side:
+                from pyarrow import fs
+
+                system, inner = fs.FileSystem.from_uri(side)
+                if system.get_file_info(inner).is_file:
+                    with system.open_input_file(inner) as f:
+                        return f.read()
+            elif os.path.exists(side):
                 with open(side, "rb") as f:
                     return f.read()
         return None
 
+    def payload(self, record: H.Vlr) -> bytes:
+        """The bytes of a record, read now if they were left in the file."""
+        return self.source.read(record.at, record.length) if isinstance(record, H.FarVlr) else record.data
+
+    def layout(self, **other) -> Layout:
+        """How this file is written: scales, offsets, records, coordinate system and all else of its header. ``other`` overrides."""
+        h, f = self.header, self.header.fields
+        made = (H.COMPRESSION, H.SPATIAL_INDEX, *((H.EXTRA_BYTES,) if h.compat else ()))
+        fmt = other.get("point_format", h.format)
+        kept = {
+            "point_format": fmt, "scales": h.scales, "offsets": h.offsets, "extra": self.extra, "compressed": h.compressor != NONE, "system_identifier": f["system_identifier"],
+            "generating_software": f["generating_software"], "creation": (f["file_creation_day"], f["file_creation_year"]), "project_id": f.get("project_id", b""),
+            "user_data": h.user_data, "user_data_after": h.user_data_after, "vlrs": [v for v in h.vlrs if v.key not in made],
+            "evlrs": [H.Vlr(v.user_id, v.record_id, self.payload(v), v.description) for v in h.evlrs if v.key != H.SPATIAL_INDEX],
+        }
+        if not h.compat and fmt == h.format:
+            kept["version_minor"] = f["version_minor"]
+        if any(v.key == H.EXTRA_BYTES for v in kept["vlrs"]):
+            kept.pop("extra")
+        return Layout(**kept | other)
+
     def summary(self) -> dict:
         """Facts of the file for a report."""
         h = self.header

@@ -195,19 +195,34 @@ def _compression(h: Header, raw: bytes) -> None:
         raise LasDataError("the item versions do not fit the container")
 
 
-def parse_evlrs(h: Header, raw: bytes, base: int) -> None:
-    """Adds the records behind the points; ``raw`` starts at file position ``base``. A cut block keeps what is whole."""
-    at = h.fields.get("start_of_first_extended_variable_length_record", 0) - base
+#: Bytes of a record behind the points that are read at once; longer payloads stay in the file until they are asked for.
+EAGER = 1 << 20
+
+
+@dataclass(frozen=True)
+class FarVlr(Vlr):
+    """A record behind the points whose payload is still in the file, ``length`` bytes at ``at``. ``LasFile.payload`` reads it."""
+
+    at: int = 0
+    length: int = 0
+
+
+def parse_evlrs(h: Header, read, size: int) -> None:
+    """Adds the records behind the points of a file of ``size`` bytes, header by header; ``read(at, n)`` gives bytes. A cut block keeps what is whole."""
+    at = h.fields.get("start_of_first_extended_variable_length_record", 0)
     for _ in range(h.fields.get("number_of_extended_variable_length_records", 0)):
-        if at < 0 or at + LONG_RECORD.size > len(raw):
+        if at + LONG_RECORD.size > size:
             h.warnings.append("the extended records are cut short")
             return
-        _, user, number, length, about = LONG_RECORD.unpack_from(raw, at)
+        _, user, number, length, about = LONG_RECORD.unpack(read(at, LONG_RECORD.size))
         at += LONG_RECORD.size
-        if at + length > len(raw):
+        if at + length > size:
             h.warnings.append("an extended record is cut short")
             return
-        h.evlrs.append(Vlr(text(user), number, bytes(raw[at : at + length]), text(about)))
+        if length <= EAGER:
+            h.evlrs.append(Vlr(text(user), number, read(at, length), text(about)))
+        else:
+            h.evlrs.append(FarVlr(text(user), number, b"", text(about), at, length))
         at += length
 
 

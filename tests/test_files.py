@@ -388,7 +388,7 @@ def test_stream_takes_files_that_land_late(spark, tmp_path, log):
     import cloudloom.sources.las.datasource as source
 
     before = source.plan_parts
-    source.plan_parts = lambda files, *_: planned.append([os.path.basename(f[0]) for f in files])
+    source.plan_parts = lambda files, _: planned.append([os.path.basename(f[0]) for f in files])
     try:
         start = reader.initialOffset()
         land("b.las", 200)
