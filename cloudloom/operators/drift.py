@@ -175,39 +175,40 @@ def header_fields(headers: DataFrame) -> list[str]:
     return [c for c in headers.columns if c not in (*NOT_FIELDS, *_LEAD)]
 
 
-def _facts(headers: DataFrame) -> DataFrame:
-    """Per file the plain values of its header: file_id, facts (field, plain)."""
-    names = header_fields(headers)
-    # under names of their own, whatever a header table may call its columns
-    own = [f"__header_{k}" for k in range(len(names))]
-    known = headers.where("file_id is not null").dropDuplicates(["file_id"]).select(F.col("file_id").cast("long"), *[F.col(f"`{c}`").alias(o) for c, o in zip(names, own)])
-    fact = pa.list_(pa.struct([("field", pa.string()), ("plain", pa.string())]))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            columns = [[_fact(v) for v in b[o].to_pylist()] for o in own]
-            rows = [[{"field": f, "plain": p} for f, p in zip(names, row) if p is not None] for row in zip(*columns)] if columns else [[]] * b.num_rows
-            yield pa.RecordBatch.from_arrays([b["file_id"], pa.array(rows, fact)], names=["file_id", "facts"])
-
-    return known.mapInArrow(run, "file_id long, facts array<struct<field: string, plain: string>>")
-
-
-def _fact(value: object) -> str | None:
-    return plain(value) if value is None or isinstance(value, (bool, int, float, str, list)) else plain(str(value))
+def _fact(column: Column, kind: T.DataType) -> tuple[Column, Column]:
+    """A header value as the plain text and the number it may be compared as."""
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return column.cast("string"), column.cast("double")
+    if isinstance(kind, T.ArrayType):
+        listed = F.when(F.size(column) == 1, column[0].cast("string")).otherwise(F.concat(F.lit("["), F.array_join(column.cast("array<string>"), ","), F.lit("]")))
+        return listed, F.lit(None).cast("double")
+    if isinstance(kind, T.StringType):
+        text = F.trim(column)
+        return F.when(text.rlike("^[+-]?[0-9]{1,18}$"), text.try_cast("long").cast("string")).otherwise(text), F.lit(None).cast("double")
+    return column.cast("string"), F.lit(None).cast("double")
 
 
 def learn_names(read: DataFrame, layouts: DataFrame, headers: DataFrame) -> DataFrame:
     """Foreign paths and the header columns they stand for: path, field."""
-    fields = header_fields(headers)
+    wanted = [f for f in headers.schema if f.name in header_fields(headers)]
+    fields = [f.name for f in wanted]
+    # under names of their own, whatever a header table may call its columns
+    own = [f"__header_{k}" for k in range(len(wanted))]
+    known = headers.where("file_id is not null").dropDuplicates(["file_id"]).select(F.col("file_id").cast("long"), *[F.col(f"`{f}`").alias(o) for f, o in zip(fields, own)])
+    if is_small(known, BROADCAST_ROWS // 10):
+        known = F.broadcast(known)
     foreign = read.select("file_id", F.explode(F.arrays_zip("paths", "plains")).alias("leaf")).select("file_id", F.col("leaf.paths").alias("path"), F.col("leaf.plains").alias("plain"))
     foreign = foreign.where(F.col("plain").isNotNull() & ~F.col("path").isin(fields))
     masked = F.when(F.col("plain").rlike("^[0-9]{1,9}$"), (F.col("plain").cast("int").bitwiseAND(F.lit(~COMPRESSED_BIT))).cast("string")).otherwise(F.col("plain"))
-    met = foreign.join(_small(materialize(_facts(headers))), "file_id").select("path", "plain", masked.alias("masked"), F.explode("facts").alias("fact"))
-    agrees = F.col("fact.plain") == F.when(F.col("fact.field") == FORMAT_FIELD, F.col("masked")).otherwise(F.col("plain"))
-    counted = met.groupBy("path", F.col("fact.field").alias("field")).agg(F.count(F.lit(1)).alias("seen"), F.count_if(agrees).alias("hits"))
+    facts = F.array(*[F.struct(F.lit(f.name).alias("field"), text.alias("text"), number.alias("number")) for f, o in zip(wanted, own) for text, number in [_fact(F.col(o), f.dataType)]])
+    met = foreign.join(known, "file_id").select("path", "plain", masked.alias("masked"), F.expr("try_cast(plain as double)").alias("number"), F.explode(facts).alias("fact"))
+    agrees = F.coalesce(
+        F.when(F.col("fact.number").isNotNull(), F.col("number") == F.col("fact.number")).otherwise(F.col("fact.text") == F.when(F.col("fact.field") == FORMAT_FIELD, F.col("masked")).otherwise(F.col("plain"))), F.lit(False)
+    )
+    counted = met.where("fact.text is not null").groupBy("path", F.col("fact.field").alias("field")).agg(F.count(F.lit(1)).alias("seen"), F.count_if(agrees).alias("hits"))
     # which names stand side by side, from the layouts alone
-    own = F.filter("paths", lambda p: p.isin(fields))
-    each = layouts.select("dumps", own.alias("own"), F.explode("paths").alias("path")).where(~F.col("path").isin(fields))
+    beside_ = F.filter("paths", lambda p: p.isin(fields))
+    each = layouts.select("dumps", beside_.alias("own"), F.explode("paths").alias("path")).where(~F.col("path").isin(fields))
     holders = each.groupBy("path").agg(F.sum("dumps").alias("holders"))
     beside = each.select("dumps", "path", F.explode("own").alias("field")).groupBy("path", "field").agg(F.sum("dumps").alias("beside"))
     found = counted.where((F.col("hits") >= MATCH * F.col("seen")) & (F.col("hits") > 0)).join(holders, "path").join(beside, ["path", "field"], "left")
