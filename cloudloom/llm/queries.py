@@ -37,7 +37,8 @@ def p2_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per classification: rows, range, and whether each percentile of all files put together is within the stated bound of its true rank."""
     once = quantiles.once(table(spark, sf_dir, "las_points"), "point_id", ["classification", "Z"]).where("classification is not null and Z is not null")
     whole = p2_percentiles(spark, sf_dir).where("file_id is null").select("classification", "lowest", "highest", *[c for c in ("p1", "p5", "p25", "p50", "p75", "p95", "p99")])
-    return quantiles.within_bound(once, whole, "Z", "classification", SHARES).join(whole.select("classification", "lowest", "highest"), "classification")
+    checked = quantiles.within_bound(once, whole, "Z", "classification", SHARES).join(whole.select("classification", "lowest", "highest"), "classification")
+    return checked.select("classification", "n", "lowest", "highest", *[c for c in checked.columns if c.endswith("_ok")])
 
 
 def _beside(*single: DataFrame) -> DataFrame:
