@@ -6,7 +6,7 @@ import base64
 import json
 import struct
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cloudloom.__main__ import report
@@ -17,10 +17,11 @@ from cloudloom.plans.files import _F, _NEW, _OLD, _fields, _folder, _names, _wid
 from cloudloom.runtime import table
 from cloudloom.sources.las import header as H
 from cloudloom.sources.las import metadata as M
-from cloudloom.sources.las.datasource import chunk_table, copy_las, decode_binary, metadata_records, read_headers, read_las, register, write_index
+from cloudloom.sources.las.datasource import chunk_table, copy_las, decode_binary, find_chunks, metadata_records, read_headers, read_las, register, write_index
 from cloudloom.sources.las.entropy import LasDataError
 from cloudloom.sources.las.file import Layout, append_index
 from cloudloom.sources.las.formats import UnsupportedFormat
+from cloudloom.sources.las.lanes import MOST_LANES
 
 
 def _whole(df: DataFrame, **options) -> str:
@@ -34,6 +35,28 @@ def _whole(df: DataFrame, **options) -> str:
     return path
 
 
+def _ranked(df: DataFrame, block: int = 1 << 16) -> DataFrame:
+    """Adds ``rank``, the place of a row in the order of ``point_index``, from 0; no task sees more than blocks of it."""
+    at = df.withColumn("block", F.floor(F.col("point_index") / block))
+    before = at.groupBy("block").count().withColumn("before", F.sum("count").over(Window.orderBy("block")) - F.col("count")).drop("count")
+    within = F.row_number().over(Window.partitionBy("block").orderBy("point_index"))
+    return at.join(before, "block").withColumn("rank", F.col("before") + within - 1).drop("block", "before")
+
+
+def _chunked(df: DataFrame, size: int, **options) -> str:
+    """Writes one file of chunks of a fixed size from many tasks: each gets whole chunks."""
+    spark = df.sparkSession
+    register(spark)
+    path = _folder(spark)
+    # enough chunks a task for them to be coded side by side, but no core without any
+    parts = max(spark.sparkContext.defaultParallelism, -(-df.count() // (MOST_LANES * size)))
+    w = _ranked(df).withColumn("chunk", F.floor(F.col("rank") / size)).repartitionByRange(parts, "chunk").sortWithinPartitions("rank").drop("rank", "chunk").write.format("las").mode("append")
+    for k, v in ({"single": "true", "chunkSize": size} | options).items():
+        w = w.option(k, v)
+    w.save(path)
+    return path
+
+
 def _extra(df: DataFrame) -> DataFrame:
     """Three extra bytes a point."""
     h = F.lpad(F.hex((F.col("point_index") * 7) % 16777216), 6, "0")
@@ -102,7 +125,7 @@ def laz_waves_wide(spark, sf_dir):
 
 def laz_lost_table(spark, sf_dir):
     """A file whose chunk table was never written: points come in order, with a warning."""
-    path = _whole(_fields(spark, sf_dir), pointFormat="1", chunkSize="500")
+    path = _chunked(_fields(spark, sf_dir), 500, pointFormat="1")
     with open(f"{path}/points.laz", "r+b") as f:
         f.seek(96)
         start = struct.unpack("<I", f.read(4))[0]
@@ -112,7 +135,7 @@ def laz_lost_table(spark, sf_dir):
         f.write(struct.pack("<q", start))
         f.truncate(end)
     warned = read_headers(spark, path).select("file", F.size("warnings").alias("warnings"))
-    return read_las(spark, path, ["file", "point_index", "X", "gps_time"]).join(F.broadcast(warned), "file").drop("file")
+    return read_las(spark, path, ["file", "point_index", "X", "gps_time"], chunkTables=find_chunks(spark, path)).join(F.broadcast(warned), "file").drop("file")
 
 
 def laz_index_inside(spark, sf_dir):

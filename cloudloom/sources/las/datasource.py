@@ -7,7 +7,7 @@
 Reading: ``path`` is a file, directory, glob or URI. ``columns`` prunes columns, and with them the layers that are decoded;
 ``scaled`` gives x, y, z in place of X, Y, Z; ``rect`` or ``circle`` selects an area in the tasks, through a file's spatial index where it has one
 (the exact test always follows); ``merge`` reads files of different formats into one schema; ``selective`` is the bit mask of layers
-for those who want undecoded columns to hold the value of their chunk's first point. Small files share a
+for those who want undecoded columns to hold the value of their chunk's first point; ``chunkTables`` is a folder of ``find_chunks``, for files whose chunk table is lost. Small files share a
 partition, large ones are split by runs of chunks or records, so no task holds more than ``splitPoints`` points at once.
 
 Writing: each task writes files of its own, or, with ``single``, the chunks of one file that the driver puts in order of
@@ -40,6 +40,7 @@ from cloudloom.operators.runindex import spans
 from cloudloom.sources.las.file import LasFile, Layout, Source, Tally, assemble, chunks_of
 from cloudloom.sources.las.formats import ALL_LAYERS, LAYERED_CHUNKED, NONE, POINTWISE, POINTWISE_CHUNKED, is_wide, layers_for, point_schema, union_schema
 from cloudloom.sources.las.header import Vlr
+from cloudloom.sources.las.lost import find_chunks, found_starts
 
 #: Bytes of small files that share a partition.
 GROUP_BYTES = 16 << 20
@@ -124,7 +125,7 @@ class LasReader(DataSourceReader):
 
     def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
         for path, start, stop in partition.slices:
-            with LasFile(path, self.selective) as f:
+            with LasFile(path, self.selective, found_starts(self.options.get("chunkTables"), path)) as f:
                 if partition.share:
                     start, stop = share_of(f, *partition.share)
                 if start == stop or self._elsewhere(f):
@@ -207,7 +208,7 @@ def plan_parts(files: list[tuple[str, int, int]], options: Options) -> list[Part
             shares = -(-n // share)
             parts += [Part(((path, 0, None),), (k, shares)) for k in range(shares)]
             continue
-        with LasFile(path) as f:
+        with LasFile(path, starts=found_starts(options.get("chunkTables"), path)) as f:
             total = len(f)
             if not f.splittable:
                 parts.append(Part(((path, 0, None),)))
@@ -426,11 +427,11 @@ class LasWriter(DataSourceArrowWriter):
         name = uuid.uuid4().hex
         body = f"{self.path}/_writing/{name}.body"
         with open(body, "wb") as out:
-            for cols in chunks_of(prepared(), 1 << 62 if lay.compressor == POINTWISE else 1 << 16 if lay.compressor == NONE else lay.chunk_size or (0 if self.chunk_by else CHUNK)):
-                raw = lay.chunk(cols)
+            size = 1 << 62 if lay.compressor == POINTWISE else 1 << 16 if lay.compressor == NONE else lay.chunk_size or (0 if self.chunk_by else CHUNK)
+            for raw, n in lay.encoded(chunks_of(prepared(), size)):
                 out.write(raw)
                 lengths.append(len(raw))
-                counts.append(len(cols["X"]))
+                counts.append(n)
         if not tally.count:
             os.remove(body)
             return Written(None, None, tally, [], [], 0)
@@ -687,4 +688,4 @@ def decode_binary(files, schema: T.StructType):
     return files.select("path", "content").mapInArrow(run, schema)
 
 
-__all__ = ["ALL_LAYERS", "LasDataSource", "Source", "chunk_table", "copy_las", "decode_binary", "list_files", "metadata_records", "read_headers", "read_las", "register", "spans", "take_points", "write_index"]
+__all__ = ["ALL_LAYERS", "LasDataSource", "Source", "chunk_table", "copy_las", "decode_binary", "find_chunks", "list_files", "metadata_records", "read_headers", "read_las", "register", "spans", "take_points", "write_index"]
